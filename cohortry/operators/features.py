@@ -14,17 +14,25 @@ from cohortry.operators.schema import feature_lineage, first_present, require_co
 from cohortry.operators.skew import attach_group_size
 
 
+def status_column_flags(df: DataFrame, candidates=presets.STATUS_COLUMNS) -> DataFrame:
+    """Per candidate column: does it hold at least one known status?"""
+    present = [c for c in candidates if c in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame([], "column string, has_status boolean")
+    one_row = df.agg(*[F.bool_or(fx.status_text(c).isin(*presets.STATUS_VALUES)).alias(f"c{i}")
+                       for i, c in enumerate(present)])
+    return one_row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"c{i}"), F.lit(False))
+                 .alias("has_status")) for i, c in enumerate(present)])))
+
+
 def detect_status_columns(df: DataFrame, candidates=presets.STATUS_COLUMNS) -> list[str]:
-    """Candidate columns that hold at least one known status; one aggregation.
+    """Names of the columns that hold statuses, in candidate order.
 
     Run it on the train split and pass the result on for the other splits.
     """
-    present = [c for c in candidates if c in df.columns]
-    if not present:
-        return []
-    row = df.agg(*[F.bool_or(fx.status_text(c).isin(*presets.STATUS_VALUES)).alias(f"c{i}")
-                   for i, c in enumerate(present)]).first()
-    return [c for i, c in enumerate(present) if row[f"c{i}"]]
+    found = {r["column"] for r in status_column_flags(df, candidates).collect() if r["has_status"]}
+    return [c for c in candidates if c in found]
 
 
 def with_recurrency(df: DataFrame, entity: str = presets.ENTITY_COLUMN,
