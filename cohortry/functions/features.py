@@ -2,81 +2,74 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry import presets
-from cohortry.functions.tokens import number_or, parse_number, quoted, strip
-
-
-def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+from cohortry.functions.tokens import (
+    number_or_sql, number_sql, sql_double, sql_list, stripped, stripped_sql,
+)
 
 
 def severity(df: DataFrame, diagnoses: str, terms=presets.SEVERITY_TERMS) -> Column:
     """Weighted sum of counts, each scaled and held within 0..1."""
-    parts = [
-        F.lit(weight) * clip(number_or(df, name or diagnoses) / F.lit(divisor), 0.0, 1.0)
-        for name, divisor, weight in terms
-    ]
-    return reduce(add, parts).cast("float")
+    parts = []
+    for name, divisor, weight in terms:
+        scaled = f"{number_or_sql(df, name or diagnoses)} / {sql_double(divisor)}"
+        parts.append(f"{sql_double(weight)} * least(greatest({scaled}, 0D), 1D)")
+    return F.expr(f"CAST({' + '.join(parts)} AS FLOAT)")
 
 
 def utilization(df: DataFrame, columns=presets.VISIT_COUNT_COLUMNS) -> Column:
-    return reduce(add, [number_or(df, c) for c in columns]).cast("float")
+    return F.expr(f"CAST({' + '.join(number_or_sql(df, c) for c in columns)} AS FLOAT)")
 
 
-def status_text(name: str) -> Column:
-    return F.upper(strip(quoted(name).cast("string")))
+def has_status(name: str, values=presets.STATUS_VALUES) -> str:
+    """SQL: is the column's text, in any case, one of the values?"""
+    return f"coalesce(upper({stripped_sql(name)}) IN ({sql_list(values)}), false)"
 
 
-def _status_count(columns: list[str], values) -> Column:
-    hits = [F.coalesce(status_text(c).isin(*values).cast("int"), F.lit(0)) for c in columns]
-    return reduce(add, hits, F.lit(0))
+def _status_count(columns: list[str], values) -> str:
+    return " + ".join([f"CAST({has_status(c, values)} AS INT)" for c in columns] or ["0"])
 
 
 def observed_statuses(columns: list[str]) -> Column:
-    return _status_count(columns, presets.STATUS_VALUES)
+    return F.expr(_status_count(columns, presets.STATUS_VALUES))
 
 
 def change_ratio(columns: list[str]) -> Column:
     """Share of known statuses that report a change; 0 when none is known."""
-    seen = observed_statuses(columns)
+    seen = _status_count(columns, presets.STATUS_VALUES)
     changed = _status_count(columns, presets.CHANGED_VALUES)
-    ratio = changed.cast("double") / F.nullif(seen.cast("double"), F.lit(0.0))
-    return F.coalesce(ratio, F.lit(0.0)).cast("float")
+    return F.expr(f"CAST(coalesce(CAST({changed} AS DOUBLE) / nullif(CAST({seen} AS DOUBLE), 0D), "
+                  "0D) AS FLOAT)")
 
 
 def complex_discharge(df: DataFrame, name: str, home_ids=presets.HOME_DISPOSITION_IDS) -> Column:
     """0 for a home-like disposition, 1 for all else, unknown included."""
-    home = parse_number(df, name).isin(*[float(i) for i in home_ids])
-    return F.when(home, F.lit(0)).otherwise(F.lit(1)).cast("byte")
+    homes = ", ".join(sql_double(i) for i in home_ids)
+    return F.expr(f"CAST(CASE WHEN {number_sql(df, name)} IN ({homes}) THEN 0 ELSE 1 END AS TINYINT)")
 
 
-def _age_floor(name: str) -> Column:
-    bare = strip(quoted(name).cast("string"))
-    return F.regexp_extract(bare, r"^\[(\d+)-(\d+)\)$", 1).try_cast("long")
+def _age_floor(name: str) -> str:
+    pattern = r"^\[(\d+)-(\d+)\)$"
+    return f"try_cast(regexp_extract({stripped_sql(name)}, r'{pattern}', 1) AS BIGINT)"
 
 
 def age_is_known(name: str) -> Column:
-    return _age_floor(name).isNotNull()
+    return F.expr(f"{_age_floor(name)} IS NOT NULL")
 
 
 def age_bucket(name: str) -> Column:
     """Decade of a ``[a-b)`` bucket, -1 when the text has another shape."""
-    decade = F.floor(_age_floor(name) / F.lit(10))
-    return F.coalesce(decade, F.lit(-1)).cast("short")
+    return F.expr(f"CAST(coalesce({_age_floor(name)} DIV 10, -1) AS SMALLINT)")
 
 
 def binary_target(name: str, positive: str = presets.POSITIVE_LABEL) -> Column:
-    return (strip(quoted(name).cast("string")) == positive).cast("byte")
+    return (stripped(name) == positive).cast("byte")
 
 
 def class_index(name: str, labels=presets.CLASS_LABELS) -> Column:
     """Position of the label in a fixed order; null for an unknown label."""
-    position = F.array_position(F.array(*[F.lit(x) for x in labels]),
-                                strip(quoted(name).cast("string")))
-    return F.nullif(position, F.lit(0)).cast("double") - F.lit(1.0)
+    place = f"array_position(array({sql_list(labels)}), {stripped_sql(name)})"
+    return F.expr(f"CAST(nullif({place}, 0) - 1 AS DOUBLE)")

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry import presets
 from cohortry.functions.text import psi_band
-from cohortry.functions.tokens import finite, parse_number, quoted
+from cohortry.functions.tokens import finite, finite_sql, number_sql, quoted, sql_double
 from cohortry.operators.quantiles import exact_quantiles
 
 SMALLEST_SHARE = 1e-6
@@ -29,14 +29,15 @@ def quantile_edges(reference: DataFrame, columns: list[str], bins: int) -> dict[
             for c, q in exact_quantiles(reference, columns, shares).items()}
 
 
-def _bin_of(value: Column, edges: list[float]) -> Column:
+def _bin_sql(value: str, edges: list[float]) -> str:
     """Bin number; the outermost bins are open, so no value falls outside."""
-    return reduce(lambda a, b: a + b, [(value >= e).cast("int") for e in edges[1:-1]], F.lit(0))
+    steps = [f"CAST({value} >= {sql_double(e)} AS INT)" for e in edges[1:-1]]
+    return f"CASE WHEN {finite_sql(value)} IS NOT NULL THEN {' + '.join(steps or ['0'])} END"
 
 
 def _numbers(df: DataFrame, features: list[str], current: bool) -> DataFrame:
-    return df.select(F.lit(current).alias("is_current"),
-                     *[parse_number(df, f).alias(f"x{i}") for i, f in enumerate(features)])
+    return df.selectExpr(f"{current} AS is_current",
+                         *[f"{number_sql(df, f)} AS x{i}" for i, f in enumerate(features)])
 
 
 def feature_bins(reference: DataFrame, current: DataFrame, features: list[str],
@@ -49,10 +50,10 @@ def feature_bins(reference: DataFrame, current: DataFrame, features: list[str],
     base, new = _numbers(reference, features, False), _numbers(current, features, True)
     columns = base.columns[1:]
     edges = quantile_edges(base, columns, bins)
-    cells = base.unionByName(new).select("is_current", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("feature_index"), F.col(c).alias("x"),
-                 F.when(finite(F.col(c)).isNotNull(), _bin_of(F.col(c), edges[c])).alias("bin"))
-        for i, c in enumerate(columns)]))).where("x IS NOT NULL")
+    structs = [f"struct({i} AS feature_index, {c} AS x, {_bin_sql(c, edges[c])} AS bin)"
+               for i, c in enumerate(columns)]
+    cells = base.unionByName(new).selectExpr(
+        "is_current", f"inline(array({', '.join(structs)}))").where("x IS NOT NULL")
     now, then = F.col("is_current"), ~F.col("is_current")
     counted = cells.groupBy("feature_index", "bin").agg(
         F.count_if(then).alias("reference_n"), F.count_if(now).alias("current_n"),
@@ -212,14 +213,13 @@ def inference_runtime(records: DataFrame, versions: DataFrame,
 def _facts(table: DataFrame, section: str, subject: str | None, numbers: list[str],
            texts: list[str] = ()) -> DataFrame:
     """A wide result as rows (section, subject, metric, value, text)."""
-    none_number, none_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"),
-                      none_text.alias("text")) for c in numbers]
-    cells += [F.struct(F.lit(c).alias("metric"), none_number.alias("value"),
-                       F.col(c).cast("string").alias("text")) for c in texts]
-    name = F.col(subject).cast("string") if subject else F.lit("*")
-    return table.select(F.lit(section).alias("section"), name.alias("subject"),
-                        F.inline(F.array(*cells)))
+    cells = [f"struct('{c}' AS metric, CAST({c} AS DOUBLE) AS value, CAST(NULL AS STRING) AS text)"
+             for c in numbers]
+    cells += [f"struct('{c}' AS metric, CAST(NULL AS DOUBLE) AS value, CAST({c} AS STRING) AS text)"
+              for c in texts]
+    name = f"CAST({subject} AS STRING)" if subject else "'*'"
+    return table.selectExpr(f"'{section}' AS section", f"{name} AS subject",
+                            f"inline(array({', '.join(cells)}))")
 
 
 def monitoring_summary(records: DataFrame, reference: DataFrame | None,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry import presets
 from cohortry.functions import features as fx
-from cohortry.functions.tokens import is_null, parse_number, quoted
+from cohortry.functions.tokens import is_null, parse_number, sql_name, sql_text
 from cohortry.operators.schema import feature_lineage, first_present, require_columns
 from cohortry.operators.skew import attach_group_size
 
@@ -19,11 +19,10 @@ def status_column_flags(df: DataFrame, candidates=presets.STATUS_COLUMNS) -> Dat
     present = [c for c in candidates if c in df.columns]
     if not present:
         return df.sparkSession.createDataFrame([], "column string, has_status boolean")
-    one_row = df.agg(*[F.bool_or(fx.status_text(c).isin(*presets.STATUS_VALUES)).alias(f"c{i}")
-                       for i, c in enumerate(present)])
-    return one_row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"c{i}"), F.lit(False))
-                 .alias("has_status")) for i, c in enumerate(present)])))
+    one_row = df.selectExpr(*[f"coalesce(bool_or({fx.has_status(c)}), false) AS c{i}"
+                              for i, c in enumerate(present)])
+    rows = [f"struct({sql_text(c)} AS column, c{i} AS has_status)" for i, c in enumerate(present)]
+    return one_row.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def detect_status_columns(df: DataFrame, candidates=presets.STATUS_COLUMNS) -> list[str]:
@@ -102,10 +101,10 @@ def fallback_counts(df: DataFrame, status_columns: list[str],
 def feature_stats(df: DataFrame, features=presets.ENGINEERED_FEATURES,
                   by: str = "split") -> DataFrame:
     """Mean, sample std, min, max and missing values per split and feature."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), quoted(f).cast("double").alias("x"))
-                      for f in features])
+    cells = [f"struct({sql_text(f)} AS feature, CAST({sql_name(f)} AS DOUBLE) AS x)"
+             for f in features]
     missing = F.count_if(F.col("x").isNull() | F.isnan("x"))
-    return (df.select(by, F.inline(cells)).groupBy(by, "feature").agg(
+    return (df.selectExpr(by, f"inline(array({', '.join(cells)}))").groupBy(by, "feature").agg(
         F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"),
         missing.alias("missing_count"), (missing / F.count(F.lit(1))).alias("missing_rate")))

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from cohortry import presets
 from cohortry.functions import scoring as sx
 from cohortry.functions.features import class_index
-from cohortry.functions.tokens import parse_number, quoted
+from cohortry.functions.tokens import (
+    number_sql, parse_number, quoted, sql_double, sql_name, sql_text,
+)
 from cohortry.operators.hashrank import kth_hashes, number_rows_by_hash, seeded_hash
 from cohortry.operators.metrics import (
     binary_metrics, class_report, multiclass_metrics, roc_auc,
@@ -42,20 +44,11 @@ BOOST_COLUMN_SHARE = "0.9"
 
 # ---------------------------------------------------------------- preprocessing
 
-def _sql_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mode (ties to the lowest value) and distinct count per column."""
-    cells = F.array(*[F.struct(F.lit(i).alias("column_index"),
-                               quoted(c).cast("string").alias("value"))
-                      for i, c in enumerate(columns)])
-    counts = (df.select(F.inline(cells)).where("value IS NOT NULL")
+    cells = [f"struct({i} AS column_index, CAST({sql_name(c)} AS STRING) AS value)"
+             for i, c in enumerate(columns)]
+    counts = (df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
               .groupBy("column_index", "value").agg(F.count(F.lit(1)).alias("n")))
     names = df.sparkSession.createDataFrame(list(enumerate(columns)),
                                             "column_index int, column string")
@@ -68,12 +61,12 @@ def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
 def imputed_moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
     """(median, mean, population std) per numeric column, the last two after
     filling with the median."""
-    numbers = df.select(*[parse_number(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    numbers = df.selectExpr(*[f"{number_sql(df, c)} AS x{i}" for i, c in enumerate(columns)])
     medians = {c: (q[0] if q else 0.0)
                for c, q in exact_quantiles(numbers, numbers.columns, (0.5,)).items()}
-    filled = [F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items()]
-    row = numbers.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(filled)],
-                      *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(filled)]).first()
+    filled = [f"coalesce({c}, {sql_double(m)})" for c, m in medians.items()]
+    row = numbers.selectExpr(*[f"avg({f}) AS m{i}" for i, f in enumerate(filled)],
+                             *[f"stddev_pop({f}) AS s{i}" for i, f in enumerate(filled)]).first()
     return {name: (medians[f"x{i}"], row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0)
             for i, name in enumerate(columns)}
 
@@ -91,10 +84,10 @@ def fit_preprocessor(train: DataFrame, inputs: list[str],
     columns, parts, stages = ["*"], [], []
     if numeric:
         for c, (median, mean, std) in imputed_moments(train, numeric).items():
-            x = f"CAST({_sql_name(c)} AS DOUBLE)"
-            filled = f"coalesce(nullif({x}, DOUBLE('NaN')), DOUBLE('{median!r}'))"
-            columns.append(f"({filled} - DOUBLE('{mean!r}')) / DOUBLE('{std!r}') "
-                           f"AS {_sql_name('numeric__' + c)}")
+            x = f"CAST({sql_name(c)} AS DOUBLE)"
+            filled = f"coalesce(nullif({x}, DOUBLE('NaN')), {sql_double(median)})"
+            columns.append(f"({filled} - {sql_double(mean)}) / {sql_double(std)} "
+                           f"AS {sql_name('numeric__' + c)}")
             parts.append("numeric__" + c)
     if categorical:
         facts = most_frequent(train, categorical).collect()
@@ -102,9 +95,9 @@ def fit_preprocessor(train: DataFrame, inputs: list[str],
         if wide:
             raise ValueError(f"too many categories to one-hot code: {', '.join(wide)}")
         for r in facts:
-            filled = f"coalesce(CAST({_sql_name(r['column'])} AS STRING), " \
-                     f"{_sql_text(r['mode'] or '')})"
-            columns.append(f"{filled} AS {_sql_name('filled__' + r['column'])}")
+            filled = f"coalesce(CAST({sql_name(r['column'])} AS STRING), " \
+                     f"{sql_text(r['mode'] or '')})"
+            columns.append(f"{filled} AS {sql_name('filled__' + r['column'])}")
     shape = SQLTransformer(statement=f"SELECT {', '.join(columns)} FROM __THIS__")
     stages.append(shape)
     table = shape.transform(train)

@@ -15,51 +15,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry import presets
-from cohortry.functions.tokens import is_numeric, label_text, quoted, strip, token_masks
+from cohortry.functions.tokens import (
+    BLANK, EMPTY, NULL, ORDINARY, QUESTION_MARK, cell_kind, is_numeric, label_text, number_sql,
+    quoted, sql_double, sql_name, sql_text, strip_sql, stripped, text_kind,
+)
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.schema import (
     FeatureCandidacy, column_role, numeric_and_categorical, require_columns,
 )
 
-_KINDS = ("standard_null", "question_mark", "empty_string", "whitespace_only")
+_KINDS = {NULL: "standard_null", QUESTION_MARK: "question_mark", EMPTY: "empty_string",
+          BLANK: "whitespace_only"}
 
 
-def _one_row_to_many(one_row: DataFrame, structs: list[Column]) -> DataFrame:
-    """Turn a one-row aggregate into one row per struct."""
-    return one_row.select(F.inline(F.array(*structs)))
+def _one_row_to_many(one_row: DataFrame, structs: list[str]) -> DataFrame:
+    """Turn a one-row aggregate into one row per struct (SQL text)."""
+    return one_row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 def missingness(df: DataFrame, columns=None) -> DataFrame:
     """Missing counts per column by kind, highest rate first.
 
-    A single pass: every mask of every column sits in one aggregation.
+    A single pass: each cell is classed once, and one aggregation counts the
+    classes of every column.
     """
     columns = list(df.columns if columns is None else columns)
-    sums = [F.count(F.lit(1)).alias("rows")]
+    kinds = df.select(*[cell_kind(df, c).alias(f"k{i}") for i, c in enumerate(columns)])
+    sums, rows = ["count(1) AS rows"], []
     for i, name in enumerate(columns):
-        masks = token_masks(df, name)
-        sums += [F.count_if(m).alias(f"{kind}_{i}") for kind, m in masks.items()]
-    one_row = df.agg(*sums)
-
-    def entry(i: int, name: str) -> Column:
-        counts = [F.col(f"{k}_{i}") if f"{k}_{i}" in one_row.columns else F.lit(0).cast("long")
-                  for k in _KINDS]
-        total = reduce(lambda a, b: a + b, counts)
-        return F.struct(
-            F.lit(name).alias("column"), F.lit(i).alias("column_index"),
-            F.col("rows"), total.alias("missing_count"),
-            F.when(F.col("rows") > 0, total / F.col("rows")).otherwise(F.lit(0.0))
-             .alias("missing_rate"),
-            *[c.alias(f"{k}_count") for k, c in zip(_KINDS, counts)],
-        )
-
-    table = _one_row_to_many(one_row, [entry(i, n) for i, n in enumerate(columns)])
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        counts = {}
+        for code, kind in _KINDS.items():
+            counts[kind] = "0L"
+            if is_text or code == NULL:
+                sums.append(f"count_if(k{i} = {code}) AS {kind}_{i}")
+                counts[kind] = f"{kind}_{i}"
+        total = " + ".join(counts.values())
+        rows.append(
+            f"struct({sql_text(name)} AS column, {i} AS column_index, rows, "
+            f"{total} AS missing_count, "
+            f"CASE WHEN rows > 0 THEN ({total}) / rows ELSE 0D END AS missing_rate, "
+            + ", ".join(f"{v} AS {k}_count" for k, v in counts.items()) + ")")
+    table = _one_row_to_many(kinds.selectExpr(*sums), rows)
     return table.orderBy(F.desc("missing_rate"), "column_index")
 
 
 def null_token_totals(df: DataFrame, columns=None) -> DataFrame:
     per_column = missingness(df, columns)
-    return per_column.agg(*[F.sum(f"{k}_count").alias(f"{k}_total") for k in _KINDS])
+    return per_column.agg(*[F.sum(f"{k}_count").alias(f"{k}_total") for k in _KINDS.values()])
 
 
 def highly_missing(df: DataFrame, threshold: float = 0.30) -> DataFrame:
@@ -69,10 +72,10 @@ def highly_missing(df: DataFrame, threshold: float = 0.30) -> DataFrame:
 def replace_null_tokens(df: DataFrame) -> DataFrame:
     """``?``, blank and whitespace-only text become null; one projection."""
     def cleaned(field: T.StructField) -> Column:
-        column = quoted(field.name)
         if not isinstance(field.dataType, T.StringType):
-            return column
-        return F.when(~strip(column).isin("?", ""), column).alias(field.name)
+            return quoted(field.name)
+        return F.when(text_kind(sql_name(field.name)) == ORDINARY,
+                      quoted(field.name)).alias(field.name)
 
     return df.select(*[cleaned(f) for f in df.schema.fields])
 
@@ -129,23 +132,23 @@ def top_repeated_entities(df: DataFrame, entity_column: str = presets.ENTITY_COL
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Counts per stripped value; null is shown as ``<NA>``."""
-    return (df.groupBy(label_text(quoted(column)).alias("value"))
+    return (df.groupBy(label_text(column).alias("value"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _value_text(df: DataFrame, name: str) -> Column:
-    column = quoted(name)
+def _value_sql(df: DataFrame, name: str) -> str:
+    column = sql_name(name)
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         # One text for -0.0 and 0.0, and null for NaN.
-        column = F.when(~F.isnan(column), column + F.lit(0.0))
-    return column.cast("string")
+        column = f"CASE WHEN NOT isnan({column}) THEN {column} + 0D END"
+    return f"CAST({column} AS STRING)"
 
 
-def _column_values(df: DataFrame, columns: list[str], extra: list[Column] = ()) -> DataFrame:
+def _column_values(df: DataFrame, columns: list[str], *extra: str) -> DataFrame:
     """Long form (column_index, value): one row per cell, null kept."""
-    cells = F.array(*[F.struct(F.lit(i).alias("column_index"), _value_text(df, c).alias("value"))
-                      for i, c in enumerate(columns)])
-    return df.select(*extra, F.inline(cells))
+    cells = [f"struct({i} AS column_index, {_value_sql(df, c)} AS value)"
+             for i, c in enumerate(columns)]
+    return df.selectExpr(*extra, f"inline(array({', '.join(cells)}))")
 
 
 def _column_names(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -164,8 +167,8 @@ def categorical_summary(df: DataFrame, columns=None, top_n: int = 5) -> DataFram
     counts = (_column_values(df, columns).groupBy("column_index", "value")
               .agg(F.count(F.lit(1)).alias("n")))
     distinct = counts.groupBy("column_index").agg(F.count("value").alias("unique_non_null_count"))
-    shown = strip(F.coalesce(F.col("value"), F.lit("<NA>")))
-    shown = F.when(shown == "", F.lit("<EMPTY>")).otherwise(shown)
+    bare = strip_sql("coalesce(value, '<NA>')")
+    shown = F.expr(f"coalesce(nullif({bare}, ''), '<EMPTY>')")
     by_shown = counts.groupBy("column_index", shown.alias("value")).agg(F.sum("n").alias("n"))
     order = Window.partitionBy("column_index").orderBy(F.desc("n"), "value")
     top = (by_shown.withColumn("position", F.row_number().over(order))
@@ -180,29 +183,23 @@ def numeric_summary(df: DataFrame, columns=None, exact: bool = True) -> DataFram
     """count, mean, sample std, min, quartiles and max per numeric column."""
     columns = numeric_and_categorical(df)[0] if columns is None else list(columns)
     quarters = (0.25, 0.5, 0.75)
-    numbers = df.select(*[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    numbers = numbers.select(*[F.when(~F.isnan(c), quoted(c)).alias(c) for c in numbers.columns])
+    numbers = df.selectExpr(*[f"{number_sql(df, c)} AS x{i}" for i, c in enumerate(columns)])
     if exact:
         cuts = exact_quantiles(numbers, numbers.columns, quarters)
     else:
         found = numbers.approxQuantile(numbers.columns, list(quarters), 0.001)
         cuts = {c: (q or None) for c, q in zip(numbers.columns, found)}
-    sums = []
-    for c in numbers.columns:
-        sums += [F.count(c).alias(f"count_{c}"), F.avg(c).alias(f"mean_{c}"),
-                 F.stddev_samp(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"),
-                 F.max(c).alias(f"max_{c}")]
-
-    def entry(name: str, c: str) -> Column:
-        q25, q50, q75 = cuts[c] or (None, None, None)
-        stat = lambda s: F.col(f"{s}_{c}").alias(s)
-        cut = lambda v, s: F.lit(v).cast("double").alias(s)
-        return F.struct(F.lit(name).alias("column"), stat("count"), stat("mean"), stat("std"),
-                        stat("min"), cut(q25, "p25"), cut(q50, "p50"), cut(q75, "p75"),
-                        stat("max"))
-
-    return _one_row_to_many(numbers.agg(*sums),
-                            [entry(n, c) for n, c in zip(columns, numbers.columns)])
+    stats = {"count": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    sums = [f"{fn}({c}) AS {stat}_{c}" for c in numbers.columns for stat, fn in stats.items()]
+    rows = []
+    for name, c in zip(columns, numbers.columns):
+        found = {stat: f"{stat}_{c}" for stat in stats}
+        for label, value in zip(("p25", "p50", "p75"), cuts[c] or (None,) * 3):
+            found[label] = "CAST(NULL AS DOUBLE)" if value is None else sql_double(value)
+        listed = ", ".join(f"{found[k]} AS {k}" for k in
+                           ("count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+        rows.append(f"struct({sql_text(name)} AS column, {listed})")
+    return _one_row_to_many(numbers.selectExpr(*sums), rows)
 
 
 def negative_counts(df: DataFrame, columns=presets.COUNT_COLUMNS) -> DataFrame:
@@ -210,16 +207,16 @@ def negative_counts(df: DataFrame, columns=presets.COUNT_COLUMNS) -> DataFrame:
     present = [c for c in columns if c in df.columns and is_numeric(df.schema[c].dataType)]
     if not present:
         return df.sparkSession.createDataFrame([], "column string, negative_count long")
-    one_row = df.agg(*[F.count_if(quoted(c) < 0).alias(f"n{i}") for i, c in enumerate(present)])
+    one_row = df.selectExpr(*[f"count_if({sql_name(c)} < 0) AS n{i}"
+                              for i, c in enumerate(present)])
     return _one_row_to_many(one_row, [
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("negative_count"))
-        for i, c in enumerate(present)])
+        f"struct({sql_text(c)} AS column, n{i} AS negative_count)" for i, c in enumerate(present)])
 
 
 def label_issues(df: DataFrame, column: str = presets.TARGET_COLUMN,
                  allowed=presets.CLASS_LABELS) -> DataFrame:
     """Rows (issue, label, n): missing labels, labels not allowed, labels absent."""
-    seen = (df.groupBy(strip(quoted(column).cast("string")).alias("label"))
+    seen = (df.groupBy(stripped(column).alias("label"))
             .agg(F.count(F.lit(1)).alias("n")))
     issue = (F.when(F.col("label").isNull(), F.lit("missing"))
              .when(~F.col("label").isin(*allowed), F.lit("unexpected")))
@@ -234,7 +231,7 @@ def require_labels(df: DataFrame, column: str = presets.TARGET_COLUMN,
                    allowed=presets.CLASS_LABELS, shown: int = 20) -> None:
     """Raise when a label is missing or not allowed (one small aggregation)."""
     require_columns(df, [column], "label check")
-    label = strip(quoted(column).cast("string"))
+    label = stripped(column)
     unexpected = label.isNotNull() & ~label.isin(*allowed)
     missing, bad = df.agg(F.count_if(label.isNull()), F.count_if(unexpected)).first()
     if missing:
@@ -330,10 +327,10 @@ def data_dictionary(df: DataFrame, order_by: str, target: str = presets.TARGET_C
     row order is given by ``order_by``.
     """
     columns = df.columns
-    cells = _column_values(df, columns, [quoted(order_by).alias("_order")])
+    cells = _column_values(df, columns, f"{sql_name(order_by)} AS _order")
     values = (cells.groupBy("column_index", "value")
               .agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("first_seen")))
-    missing = F.coalesce(strip(F.col("value")).isin("?", ""), F.lit(True))
+    missing = text_kind("value") != ORDINARY
     counts = values.groupBy("column_index").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(missing, F.col("n")).otherwise(F.lit(0))).alias("missing"),

@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions.tokens import finite, quoted
+from cohortry.functions.tokens import finite_sql, sql_name
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -31,10 +31,11 @@ def sketch_borders(df: DataFrame, columns: list[str], buckets: int | None = None
     the plan as constants, so a recomputed task puts a row in the same bucket.
     """
     buckets = buckets or bucket_count(df)
-    shares = [j / buckets for j in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(quoted(c), shares, max(10_000, 20 * buckets)).alias(c)
-                   for c in columns]).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
+    shares = ", ".join(f"{j / buckets!r}D" for j in range(1, buckets))
+    row = df.selectExpr(*[
+        f"percentile_approx({sql_name(c)}, array({shares}), {max(1_000, 20 * buckets)}) AS q{i}"
+        for i, c in enumerate(columns)]).first()
+    return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
 
 
 def add_buckets(df: DataFrame, borders: dict[str, list[float]], suffix: str = "_bucket"
@@ -61,50 +62,49 @@ def exact_quantiles(df: DataFrame, columns, probabilities, buckets: int | None =
     runs at once and returns a few numbers per column.
     """
     columns = list(columns)
-    values = df.select(*[finite(quoted(c).cast("double")).alias(f"v{i}")
-                         for i, c in enumerate(columns)])
+    values = df.selectExpr(*[f"{finite_sql(f'CAST({sql_name(c)} AS DOUBLE)')} AS v{i}"
+                             for i, c in enumerate(columns)])
     borders = sketch_borders(values, values.columns, buckets)
     live = [c for c in values.columns if borders[c]]
     if not live:
         return {c: None for c in columns}
     bucketed = add_buckets(values, {c: borders[c] for c in live})
-    cells = bucketed.select(F.inline(F.array(*[
-        F.struct(F.lit(int(c[1:])).alias("f"), F.col(c + "_bucket").cast("int").alias("b"),
-                 F.col(c).alias("v")) for c in live]))).where("v IS NOT NULL")
+    # One number names column and bucket: place = column * width + bucket.
+    width = max(len(borders[c]) for c in live) + 2
+    pairs = [f"struct(CAST({c}_bucket AS INT) + {int(c[1:]) * width} AS place, {c} AS v)"
+             for c in live]
+    cells = bucketed.selectExpr(f"inline(array({', '.join(pairs)}))").where("v IS NOT NULL")
 
     # At most (buckets + 1) rows per column come to the driver.
     sizes: dict[int, dict[int, int]] = {}
-    for f, b, n in cells.groupBy("f", "b").count().collect():
-        sizes.setdefault(f, {})[b] = n
+    for place, n in cells.groupBy("place").count().collect():
+        sizes.setdefault(place // width, {})[place] = n
 
     wanted = set()
-    places = {}
-    for f, by_bucket in sizes.items():
-        total = sum(by_bucket.values())
+    located = {}
+    for f, by_place in sizes.items():
+        total = sum(by_place.values())
         for p in probabilities:
             at = p * (total - 1)
             for rank in {math.floor(at), math.ceil(at)}:
                 seen = 0
-                for b in sorted(by_bucket):
-                    if rank < seen + by_bucket[b]:
-                        places[f, rank] = (b, rank - seen)
-                        wanted.add((f, b, rank - seen))
+                for place in sorted(by_place):
+                    if rank < seen + by_place[place]:
+                        located[f, rank] = (place, rank - seen)
+                        wanted.add(located[f, rank])
                         break
-                    seen += by_bucket[b]
+                    seen += by_place[place]
 
-    chosen = sorted({(f, b) for f, b, _ in wanted})
-    spark = df.sparkSession
-    near = cells.where(F.struct("f", "b").isin(
-        *[F.struct(F.lit(f), F.lit(b)) for f, b in chosen]))
-    order = Window.partitionBy("f", "b").orderBy("v").rowsBetween(
+    near = cells.where(F.col("place").isin(*sorted({place for place, _ in wanted})))
+    order = Window.partitionBy("place").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranked = (near.groupBy("f", "b", "v").count()
+    ranked = (near.groupBy("place", "v").count()
               .withColumn("upto", F.sum("count").over(order)))
-    targets = spark.createDataFrame(sorted(wanted), "f int, b int, rank long")
-    found = {(r.f, r.b, r["rank"]): r.v for r in ranked.join(
-        F.broadcast(targets), ["f", "b"]).where(
+    targets = df.sparkSession.createDataFrame(sorted(wanted), "place int, rank long")
+    found = {(r["place"], r["rank"]): r["v"] for r in ranked.join(
+        F.broadcast(targets), "place").where(
         (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("count")))
-        .select("f", "b", "rank", "v").collect()}
+        .select("place", "rank", "v").collect()}
 
     result: dict[str, list[float] | None] = {}
     for i, name in enumerate(columns):
@@ -112,7 +112,7 @@ def exact_quantiles(df: DataFrame, columns, probabilities, buckets: int | None =
             result[name] = None
             continue
         total = sum(sizes[i].values())
-        at_rank = lambda r: found[(i, *places[i, r])]
+        at_rank = lambda r: found[located[i, r]]
         result[name] = [
             _interpolate(at_rank(math.floor(p * (total - 1))), at_rank(math.ceil(p * (total - 1))),
                          p * (total - 1) - math.floor(p * (total - 1)))

@@ -110,7 +110,7 @@ def split_manifest(df: DataFrame, entity: str = presets.ENTITY_COLUMN,
     parts = [sized.select(F.lit("size").alias("section"), "split", "key", "value")]
     for label in labels:
         if label in df.columns:
-            counted = (df.groupBy("split", label_text(quoted(label)).alias("key"))
+            counted = (df.groupBy("split", label_text(label).alias("key"))
                        .agg(F.count(F.lit(1)).alias("value")))
             parts.append(counted.select(F.lit(label).alias("section"), "split", "key", "value"))
     shared = entity_overlap(df, entity).select(

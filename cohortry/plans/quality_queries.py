@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry.functions.features import binary_target, class_index
-from cohortry.functions.tokens import finite, label_text, quoted
+from cohortry.functions.tokens import finite, label_text
 from cohortry.operators import quality as q
 from cohortry.operators import schema as sc
 from cohortry.plans.visits import INTAKE_SQL, VISITS_SQL, intake, table, visits
@@ -165,7 +165,7 @@ def data_dictionary(spark, sf):
 
 
 def label_texts(spark, sf):
-    return (intake(spark, sf).groupBy(label_text(quoted("readmitted")).alias("label"))
+    return (intake(spark, sf).groupBy(label_text("readmitted").alias("label"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
