@@ -13,6 +13,7 @@ from cohortry.functions.tokens import quoted
 from cohortry.operators.metrics import roc_auc
 from cohortry.operators.schema import clamp_top_n
 from cohortry.operators.shadow import with_shadow
+from cohortry.sources.scratch import settle
 
 
 def slot_means(vectors: DataFrame, column: str = "features") -> list[float]:
@@ -62,7 +63,8 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str,
     Works for any model; one scoring pass per column.
     """
     def auc(table: DataFrame) -> float:
-        rows = score_rows(model, table).select("label", F.col("positive_share").alias("score"))
+        scored = score_rows(model, table)
+        rows = settle(scored.select("label", F.col("positive_share").alias("score")))
         return roc_auc(rows).first()["roc_auc"]
 
     whole = auc(df)

@@ -266,17 +266,21 @@ def score(model: PipelineModel, df: DataFrame, task: str,
 
 
 def evaluate(scored: DataFrame, task: str, labels=presets.CLASS_LABELS) -> dict[str, float | None]:
-    """Headline numbers of one scored table."""
+    """Headline numbers of one scored table.
+
+    The metrics read label, prediction and score several times, so those three
+    columns are written once and the model scores every row a single time.
+    """
     if task == "binary":
-        y = scored.select(F.col("label").cast("int").alias("label"),
-                          F.col("prediction").cast("int").alias("prediction"),
-                          F.col("positive_share").alias("score"))
+        y = settle(scored.select(F.col("label").cast("int").alias("label"),
+                                 F.col("prediction").cast("int").alias("prediction"),
+                                 F.col("positive_share").alias("score")))
         found = binary_metrics(y).first().asDict()
         found["roc_auc"] = roc_auc(y).first()["roc_auc"]
         return found
-    y = scored.select(
+    y = settle(scored.select(
         sx.decode_label(F.col("label").cast("int"), list(labels)).alias("label"),
-        F.col("predicted_label").alias("prediction"))
+        F.col("predicted_label").alias("prediction")))
     found = multiclass_metrics(y).first().asDict()
     for r in class_report(y, labels).collect():
         for name in ("precision", "recall", "f1", "support"):

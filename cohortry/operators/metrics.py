@@ -30,7 +30,8 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score",
         bucketed = pairs.withColumn("bucket", F.lit(0))
     else:
         bucketed = add_buckets(pairs, borders).withColumn("bucket", F.col("score_bucket").cast("int"))
-    counts = bucketed.groupBy("bucket", "score").agg(
+    # The filter keeps the two uses of ``counts`` alike, so it is computed once.
+    counts = bucketed.where("bucket IS NOT NULL").groupBy("bucket", "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
     # One row per bucket, so neither the plain ordering nor the broadcast grows.
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +55,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve with ties counted half; null for one class only."""
     won = F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    pairs = F.max("all_pos").cast("double") * F.max("all_neg").cast("double")
     return score_counts(df, label, score, buckets).agg(
         (F.sum(won) / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
 

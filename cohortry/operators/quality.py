@@ -159,14 +159,16 @@ def _column_names(df: DataFrame, columns: list[str]) -> DataFrame:
 def categorical_summary(df: DataFrame, columns=None, top_n: int = 5) -> DataFrame:
     """Distinct count and most frequent values per categorical column.
 
-    Counts by raw value are shared by both results. The rank filter becomes a
-    per-task group limit below the shuffle, so one column with very many
-    values never lands whole in one task.
+    Both results read every column of ``counts`` (the always-true ``n > 0``
+    included), so their plans stay equal below and the table is scanned and
+    shuffled once. The rank filter becomes a per-task group limit below the
+    shuffle, so one column with very many values never lands whole in one task.
     """
     columns = numeric_and_categorical(df)[1] if columns is None else list(columns)
     counts = (_column_values(df, columns).groupBy("column_index", "value")
               .agg(F.count(F.lit(1)).alias("n")))
-    distinct = counts.groupBy("column_index").agg(F.count("value").alias("unique_non_null_count"))
+    distinct = counts.groupBy("column_index").agg(
+        F.count(F.expr("CASE WHEN n > 0 THEN value END")).alias("unique_non_null_count"))
     bare = strip_sql("coalesce(value, '<NA>')")
     shown = F.expr(f"coalesce(nullif({bare}, ''), '<EMPTY>')")
     by_shown = counts.groupBy("column_index", shown.alias("value")).agg(F.sum("n").alias("n"))
@@ -260,15 +262,18 @@ def validation_report(df: DataFrame, target: str = presets.TARGET_COLUMN,
         return table.select(F.lit(rule).alias("rule"), subject.alias("subject"),
                             value.cast("double").alias("value"), bad.alias("violated"))
 
-    miss = missingness(df)
+    # Rates and the token total come from one pass over the table.
+    cells = missingness(df).selectExpr(
+        "stack(2, 'high_missingness', column, missing_rate, 'question_mark_tokens', '*', "
+        "CAST(question_mark_count AS DOUBLE)) AS (rule, subject, value)")
+    summed = cells.groupBy("rule", "subject").agg(F.sum("value").alias("value"))
+    is_bad = (F.when(F.col("rule") == "high_missingness", F.col("value") >= missing_threshold)
+              .otherwise(F.col("value") > 0))
     parts = [
         columns_rule,
         rows(duplicate_row_count(df), "duplicate_rows", F.lit("*"),
              F.col("duplicate_rows"), F.col("duplicate_rows") > 0),
-        rows(miss.agg(F.sum("question_mark_count").alias("q")), "question_mark_tokens",
-             F.lit("*"), F.col("q"), F.col("q") > 0),
-        rows(miss, "high_missingness", F.col("column"), F.col("missing_rate"),
-             F.col("missing_rate") >= missing_threshold),
+        summed.withColumn("violated", is_bad),
         rows(negative_counts(df, count_columns), "negative_values", F.col("column"),
              F.col("negative_count"), F.col("negative_count") > 0),
     ]
@@ -297,16 +302,14 @@ def preprocessing_summary(raw: DataFrame, cleaned: DataFrame, candidacy: Feature
         return table.select(F.lit(section).alias("section"), subject.alias("subject"),
                             value.cast("long").alias("value"))
 
-    # cleaned may have a derived label column more than raw; each is profiled once.
-    before, after = missingness(raw), missingness(cleaned)
-    count_of = lambda t: t.agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"))
     parts = []
-    for name, table in (("original", before), ("preprocessed", after)):
-        shape = count_of(table)
-        parts.append(rows(shape, f"shape_{name}", F.lit("rows"), F.col("rows")))
-        parts.append(rows(shape, f"shape_{name}", F.lit("columns"), F.col("columns")))
-    parts.append(rows(before, "missing_before", F.col("column"), F.col("missing_count")))
-    parts.append(rows(after, "missing_after", F.col("column"), F.col("missing_count")))
+    for name, table in (("before", raw), ("after", cleaned)):
+        shape = "shape_original" if name == "before" else "shape_preprocessed"
+        cells = missingness(table).selectExpr(
+            f"stack(3, 'missing_{name}', column, missing_count, "
+            f"'{shape}', 'rows', if(column_index = 0, rows, 0L), "
+            f"'{shape}', 'columns', 1L) AS (section, subject, value)")
+        parts.append(cells.groupBy("section", "subject").agg(F.sum("value").alias("value")))
     for target in targets:
         if target in cleaned.columns:
             parts.append(rows(value_distribution(cleaned, target), f"distribution_{target}",
@@ -324,7 +327,8 @@ def data_dictionary(df: DataFrame, order_by: str, target: str = presets.TARGET_C
     """One row per column: role, type, counts, first examples, description.
 
     "First" examples need an order, which a distributed table lacks, so the
-    row order is given by ``order_by``.
+    row order is given by ``order_by``. As above, both results read all columns
+    of ``values`` to share one scan and shuffle.
     """
     columns = df.columns
     cells = _column_values(df, columns, f"{sql_name(order_by)} AS _order")
@@ -336,9 +340,9 @@ def data_dictionary(df: DataFrame, order_by: str, target: str = presets.TARGET_C
         F.sum(F.when(missing, F.col("n")).otherwise(F.lit(0))).alias("missing"),
         F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(F.lit(0)))
          .alias("non_null_count"),
-        F.count("value").alias("unique_count"))
+        F.count(F.expr("CASE WHEN first_seen IS NOT NULL THEN value END")).alias("unique_count"))
     order = Window.partitionBy("column_index").orderBy("first_seen", "value")
-    shown = (values.where(~missing).withColumn("position", F.row_number().over(order))
+    shown = (values.where(~missing & (F.col("n") > 0)).withColumn("position", F.row_number().over(order))
              .where(F.col("position") <= examples)
              .groupBy("column_index")
              .agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("found"))

@@ -10,6 +10,8 @@ whatever borders it picks, the result is exact.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
@@ -18,9 +20,14 @@ from pyspark.sql import functions as F
 from cohortry.functions.tokens import finite_sql, sql_name
 
 
+LEAST_BUCKETS = 256
+
+
 def bucket_count(df: DataFrame) -> int:
-    """As many buckets as the session has shuffle partitions, 16 at least."""
-    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Four buckets per shuffle partition of the session: a task then holds less
+    than it would in a sort. The cluster is expected to set its partitions to
+    suit its data, as for any other shuffle."""
+    return max(LEAST_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def sketch_borders(df: DataFrame, columns: list[str], buckets: int | None = None
@@ -33,7 +40,7 @@ def sketch_borders(df: DataFrame, columns: list[str], buckets: int | None = None
     buckets = buckets or bucket_count(df)
     shares = ", ".join(f"{j / buckets!r}D" for j in range(1, buckets))
     row = df.selectExpr(*[
-        f"percentile_approx({sql_name(c)}, array({shares}), {max(1_000, 20 * buckets)}) AS q{i}"
+        f"percentile_approx({sql_name(c)}, array({shares}), {4 * buckets}) AS q{i}"
         for i, c in enumerate(columns)]).first()
     return {c: sorted(set(row[f"q{i}"] or [])) for i, c in enumerate(columns)}
 
@@ -83,17 +90,14 @@ def exact_quantiles(df: DataFrame, columns, probabilities, buckets: int | None =
     wanted = set()
     located = {}
     for f, by_place in sizes.items():
-        total = sum(by_place.values())
-        for p in probabilities:
-            at = p * (total - 1)
+        places = sorted(by_place)
+        ends = list(accumulate(by_place[p] for p in places))
+        for share in probabilities:
+            at = share * (ends[-1] - 1)
             for rank in {math.floor(at), math.ceil(at)}:
-                seen = 0
-                for place in sorted(by_place):
-                    if rank < seen + by_place[place]:
-                        located[f, rank] = (place, rank - seen)
-                        wanted.add(located[f, rank])
-                        break
-                    seen += by_place[place]
+                i = bisect_right(ends, rank)
+                located[f, rank] = (places[i], rank - (ends[i - 1] if i else 0))
+                wanted.add(located[f, rank])
 
     near = cells.where(F.col("place").isin(*sorted({place for place, _ in wanted})))
     order = Window.partitionBy("place").orderBy("v").rowsBetween(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.tokens import quoted
+from cohortry.functions.tokens import quoted, sql_name
 
 HOT_KEYS = 1000
 
@@ -19,9 +19,10 @@ def attach_group_size(df: DataFrame, keys: list[str], name: str, hot_keys: int =
     largest groups - a list of fixed length, so safe to broadcast - are matched
     in place; their rows pass through the shuffled join spread over ``salts``
     keys of their own, where no size row exists. What is left for one join key
-    is smaller than each of the broadcast groups.
+    is smaller than each of the broadcast groups. Rows with a null key get null.
     """
-    sizes = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_size"))
+    known = " AND ".join(f"{sql_name(k)} IS NOT NULL" for k in keys)
+    sizes = df.where(known).groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_size"))
     order = [F.desc("_size"), *[quoted(k) for k in keys]]
     hot = sizes.orderBy(*order).limit(hot_keys).withColumnRenamed("_size", "_hot")
     rest: list[Column] = [quoted(c) for c in df.columns]

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,12 +23,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Keep a table that several jobs read; lost blocks are computed again from
-    its deterministic plan."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and go on from the files, so that a
     lost executor costs a file read instead of the whole plan before it."""
