@@ -41,8 +41,9 @@ def with_recurrency(df: DataFrame, entity: str = presets.ENTITY_COLUMN,
     if check and df.where(is_null(df, entity)).limit(1).count():
         raise ValueError(f"column {entity} has missing values")
     keys = [within, entity] if within and within in df.columns else [entity]
-    sized = attach_group_size(df, keys, "_rows")
-    return (sized.withColumn("recurrency", F.greatest(F.col("_rows") - 1, F.lit(0)).cast("int"))
+    # Entities with one row need no size row: they have no other rows.
+    sized = attach_group_size(df, keys, "_rows", at_least=2)
+    return (sized.withColumn("recurrency", F.coalesce(F.col("_rows") - 1, F.lit(0)).cast("int"))
             .drop("_rows"))
 
 

@@ -26,6 +26,7 @@ from cohortry.operators.metrics import (
 )
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.schema import numeric_and_categorical, require_columns
+from cohortry.operators.shadow import select_features
 from cohortry.sources.scratch import settle
 
 FAMILIES = ("logistic_regression", "random_forest", "boosted_trees")
@@ -315,15 +316,15 @@ def selection_key(task: str) -> tuple[str, str]:
 def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, target: str,
                 families=FAMILIES, samplings=("none",), select: str = "none",
                 labels=presets.CLASS_LABELS, seed: int = 42,
-                params: dict[str, dict] | None = None) -> tuple[list[Run], Run]:
+                params: dict[str, dict] | None = None,
+                selection: dict | None = None) -> tuple[list[Run], Run]:
     """Fit every family with every sampling on train, measure on val and test,
     and name the best run by its validation metrics; the first wins a tie.
 
     The feature vectors are computed once, written to the shared folder and
-    read by all runs. Several class labels allow no resampling.
+    read by all runs. Several class labels allow no resampling. ``params`` holds
+    estimator settings by family, ``selection`` those of the feature selection.
     """
-    from cohortry.operators.shadow import select_features
-
     samplings = ("none",) if task == "multiclass" else tuple(samplings)
     table = labelled(splits, task, target, labels)
     pre = fit_preprocessor(table.where("split = 'train'"), inputs)
@@ -336,7 +337,7 @@ def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, targe
 
     middle, slots, notes = [], all_slots, []
     if select != "none":
-        chosen, note = select_features(train, len(all_slots), seed=seed)
+        chosen, note = select_features(train, len(all_slots), seed=seed, **(selection or {}))
         notes += [note] if note else []
         if chosen:
             slots = [all_slots[i] for i in chosen]

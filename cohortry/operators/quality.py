@@ -23,6 +23,7 @@ from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.schema import (
     FeatureCandidacy, column_role, numeric_and_categorical, require_columns,
 )
+from cohortry.operators.skew import attach_group_size
 
 _KINDS = {NULL: "standard_null", QUESTION_MARK: "question_mark", EMPTY: "empty_string",
           BLANK: "whitespace_only"}
@@ -84,15 +85,17 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows.
 
     Rows are first counted by an 8-byte hash, so a table with few repeats never
-    shuffles whole rows: only rows whose hash occurs again are compared in
-    full, and AQE broadcasts the list of those hashes when it proves small.
+    shuffles whole rows: the list of repeated hashes is broadcast while it is
+    small, and only rows with such a hash are compared in full, the many copies
+    of one row combined before that shuffle.
     Null positions go into the hash because ``xxhash64`` skips nulls.
     """
     columns = [quoted(c) for c in df.columns]
-    keyed = df.withColumn("_row_hash", F.xxhash64(*columns, *[c.isNull() for c in columns]))
-    repeated = keyed.groupBy("_row_hash").count().where("count > 1").select("_row_hash")
-    groups = (keyed.join(repeated, "_row_hash", "leftsemi")
-              .groupBy("_row_hash", *columns).agg(F.count(F.lit(1)).alias("copies")))
+    flags = [f"{sql_name(c)} IS NULL" for c in df.columns]
+    hashed = F.expr(f"xxhash64({', '.join([sql_name(c) for c in df.columns] + flags)})")
+    keyed = attach_group_size(df.withColumn("_row_hash", hashed), ["_row_hash"], "_n", at_least=2)
+    groups = (keyed.where("_n IS NOT NULL").groupBy("_row_hash", *columns)
+              .agg(F.count(F.lit(1)).alias("copies")))
     return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long")
                       .alias("duplicate_rows"))
 

@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.tokens import quoted, sql_name
+from cohortry.sources.scratch import settle
 
 HOT_KEYS = 1000
+BROADCAST_BYTES = 32 * 1024 * 1024
+_ROW_OVERHEAD = 64
 
 
-def attach_group_size(df: DataFrame, keys: list[str], name: str, hot_keys: int = HOT_KEYS,
-                      salts: int = 32) -> DataFrame:
-    """Every row with the number of rows that share its key.
+def _bytes_of(sizes: DataFrame, keys: list[str]) -> int:
+    """Upper estimate of the table's size in memory, from its actual keys."""
+    lengths = " + ".join(f"octet_length(CAST({sql_name(k)} AS STRING))" for k in keys)
+    return sizes.selectExpr(f"coalesce(sum({lengths} + {_ROW_OVERHEAD}), 0)").first()[0]
+
+
+def attach_group_size(df: DataFrame, keys: list[str], name: str, at_least: int = 1,
+                      hot_keys: int = HOT_KEYS, salts: int = 256,
+                      broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every row with the number of rows that share its key; null for groups
+    smaller than ``at_least`` and for rows with a null key.
 
     A window over the key would put all rows of one key into one task. Sizes
-    are counted with map-side combine instead and joined back. The ``hot_keys``
-    largest groups - a list of fixed length, so safe to broadcast - are matched
-    in place; their rows pass through the shuffled join spread over ``salts``
-    keys of their own, where no size row exists. What is left for one join key
-    is smaller than each of the broadcast groups. Rows with a null key get null.
+    are counted with map-side combine instead, written once, measured, and
+    joined back. A size table below ``broadcast_bytes`` is broadcast, and no row
+    is shuffled. Beyond that the join is shuffled, all but the ``hot_keys``
+    largest groups: these - a list of fixed length - are broadcast, and their
+    rows pass the shuffle under keys of their own that no size row has, spread
+    by the task that read them. A repeated task has the same number, and even
+    equal rows are spread. What is left for one join key is smaller than each
+    of the broadcast groups.
     """
     known = " AND ".join(f"{sql_name(k)} IS NOT NULL" for k in keys)
-    sizes = df.where(known).groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_size"))
-    order = [F.desc("_size"), *[quoted(k) for k in keys]]
-    hot = sizes.orderBy(*order).limit(hot_keys).withColumnRenamed("_size", "_hot")
-    rest: list[Column] = [quoted(c) for c in df.columns]
-    spread = F.pmod(F.xxhash64(*rest), F.lit(salts)) + F.lit(1)
-    marked = (df.join(F.broadcast(hot), keys, "left")
-              .withColumn("_salt", F.when(F.col("_hot").isNotNull(), spread)
-                          .otherwise(F.lit(0).cast("long"))))
-    joined = marked.join(sizes.withColumn("_salt", F.lit(0).cast("long")), [*keys, "_salt"], "left")
-    return joined.select(*rest, F.coalesce("_hot", "_size").alias(name))
+    sizes = settle(df.where(known).groupBy(*[quoted(k) for k in keys])
+                   .agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= at_least))
+    rows = [quoted(c) for c in df.columns]
+    if _bytes_of(sizes, keys) <= broadcast_bytes:
+        return (df.join(F.broadcast(sizes), keys, "left")
+                .select(*rows, F.col("_size").alias(name)))
+    hot = (sizes.orderBy(F.desc("_size"), *[quoted(k) for k in keys]).limit(hot_keys)
+           .withColumnRenamed("_size", "_hot"))
+    spread = F.pmod(F.spark_partition_id(), F.lit(salts)) + F.lit(1)
+    marked = (df.withColumn("_spread", spread).join(F.broadcast(hot), keys, "left")
+              .withColumn("_salt", F.expr("CASE WHEN _hot IS NOT NULL THEN _spread ELSE 0 END")))
+    joined = marked.join(sizes.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")
+    return joined.select(*rows, F.coalesce("_hot", "_size").alias(name))

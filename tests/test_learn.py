@@ -119,6 +119,15 @@ def test_shadow_selection_finds_the_signal(spark):
     assert shadow.select_features(df, 4, max_slots=3)[0] == []
 
 
+def test_sweep_with_selection(spark):
+    rows = training_rows(spark, 120)
+    found, best = sweep(rows, "binary", ("logistic_regression",), select="shadow",
+                        selection={"rounds": 8, "trees": 10, "max_depth": 3})
+    assert best.slots == ["numeric__num_feature"] and best.name.endswith("_fs-shadow")
+    scored = learn.score(best.model, rows, "binary")
+    assert scored.where("positive_share BETWEEN 0 AND 1").count() == 360
+
+
 def test_permutation_importance(spark):
     rows = training_rows(spark, 100)
     _, best = sweep(rows, "binary", ("logistic_regression",))

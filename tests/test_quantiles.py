@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import metrics as m
 from cohortry.operators.hashrank import kth_hashes, number_rows_by_hash, seeded_hash
+from cohortry.operators.quality import duplicate_row_count
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.skew import attach_group_size
 
@@ -78,10 +79,28 @@ def test_kth_hash_and_numbering(spark):
     assert [r.h for r in numbered] == want
 
 
-@pytest.mark.parametrize("hot_keys", [1, 3, 1000])
-def test_group_sizes_with_a_hot_key(spark, hot_keys):
+@pytest.mark.parametrize("hot_keys,broadcast_bytes", [(1, 0), (3, 0), (1000, 0), (1000, 10**9)])
+def test_group_sizes_with_a_hot_key(spark, hot_keys, broadcast_bytes):
     keys = [0] * 400 + [i % 50 + 1 for i in range(300)] + [1000 + i for i in range(100)]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "row int, k int")
-    rows = attach_group_size(df, ["k"], "n", hot_keys=hot_keys, salts=4).collect()
+    limits = {"hot_keys": hot_keys, "broadcast_bytes": broadcast_bytes, "salts": 4}
+    rows = attach_group_size(df, ["k"], "n", **limits).collect()
     assert len(rows) == len(keys) and len({r.row for r in rows}) == len(keys)
     assert all(r.n == keys.count(r.k) for r in rows)
+    rows = attach_group_size(df, ["k"], "n", at_least=2, **limits).collect()
+    assert len(rows) == len(keys)
+    assert all(r.n == (keys.count(r.k) if keys.count(r.k) > 1 else None) for r in rows)
+
+
+def test_hot_copies_without_broadcast(spark):
+    """Many copies of one row, with joins that have to shuffle."""
+    df = spark.createDataFrame([("a", 1)] * 900 + [(None, i) for i in range(300)] + [("b", 2)] * 2,
+                               "x string, y int").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert duplicate_row_count(df).first()[0] == 900
+        sized = attach_group_size(df, ["x"], "n", hot_keys=1, salts=4, broadcast_bytes=0)
+        counts = {(r.x, r.n): r["count"] for r in sized.groupBy("x", "n").count().collect()}
+        assert counts == {("a", 900): 900, ("b", 2): 2, (None, None): 300}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
