@@ -12,7 +12,7 @@ from cohortry.functions import text as tx
 from cohortry.functions.tokens import quoted
 from cohortry.operators.metrics import roc_auc
 from cohortry.operators.schema import clamp_top_n
-from cohortry.operators.shadow import with_shadow
+from cohortry.operators.shadow import bucket_digits, with_shadow
 from cohortry.sources.scratch import settle
 
 
@@ -56,7 +56,7 @@ def tree_importances(model, names: list[str], spark, top_n: int = 25) -> DataFra
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], key: str,
-                           score_rows, seed: int = 42, digits: int = 3) -> DataFrame:
+                           score_rows, seed: int = 42, digits: int | None = None) -> DataFrame:
     """Loss of ROC AUC when a column takes the values of other rows.
 
     ``score_rows(model, df)`` gives rows with ``label`` and ``positive_share``.
@@ -67,6 +67,7 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str,
         rows = settle(scored.select("label", F.col("positive_share").alias("score")))
         return roc_auc(rows).first()["roc_auc"]
 
+    digits = digits or bucket_digits(df.count())
     whole = auc(df)
     losses = []
     for i, name in enumerate(columns):

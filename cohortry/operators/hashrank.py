@@ -6,6 +6,8 @@ of equal size: no sampling, and the same bucket on every recomputation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ def seeded_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def hash_share(hashed: Column) -> Column:
-    """The hash as a number in [0, 1)."""
-    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def share_border(share: float) -> str:
+    """The text that splits hashes at a share of all hashes: those before it in
+    text order are that share. No hash has to be turned into a number."""
+    border = math.ceil(share * 2 ** 32)
+    return f"{border:08x}" if border < 2 ** 32 else "g"
 
 
 def kth_hashes(hashes: DataFrame, ranks: list[int], digits: int = PREFIX_DIGITS) -> list[str]:

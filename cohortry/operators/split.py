@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortry import presets
 from cohortry.functions.tokens import is_null, label_text, quoted
-from cohortry.operators.hashrank import hash_share, kth_hashes, seeded_hash
+from cohortry.operators.hashrank import kth_hashes, seeded_hash, share_border
 from cohortry.operators.schema import require_columns
 
 SPLITS = ("train", "val", "test")
@@ -41,7 +41,7 @@ def split_by_entity(df: DataFrame, entity: str = presets.ENTITY_COLUMN, train: f
                     exact: bool = False, check: bool = True) -> DataFrame:
     """The table with a ``split`` column.
 
-    Default: the hash of the entity as a share in [0, 1), cut at the sizes;
+    Default: entity hashes, evenly spread, are cut at the sizes;
     entity counts then meet the sizes up to chance. ``exact``: floor(train * n)
     entities go to train and so on. The cuts are then the two hashes at those
     ranks, so assigning rows stays a projection.
@@ -51,9 +51,9 @@ def split_by_entity(df: DataFrame, entity: str = presets.ENTITY_COLUMN, train: f
         check_entities(df, entity)
     hashed = seeded_hash(quoted(entity), seed)
     if not exact:
-        share = hash_share(hashed)
-        split = (F.when(share < train, F.lit("train"))
-                 .when(share < train + val, F.lit("val")).otherwise(F.lit("test")))
+        split = (F.when(hashed < share_border(train), F.lit("train"))
+                 .when(hashed < share_border(train + val), F.lit("val"))
+                 .otherwise(F.lit("test")))
         return df.withColumn("split", split)
     entities = df.select(hashed.alias("h")).distinct()
     n = entities.count()

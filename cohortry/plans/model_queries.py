@@ -136,7 +136,7 @@ def column_permutation_loss(spark, sf):
     held_out = learn.labelled(rows.where("split = 'test'"), "binary", _target("binary"))
     return explain.permutation_importance(
         best.model, held_out, ["charge", "num_medications", "age_bucket_risk"], "encounter_id",
-        lambda model, df: learn.score(model, df, "binary"), digits=1)
+        lambda model, df: learn.score(model, df, "binary"))
 
 
 def feature_selection(spark, sf):

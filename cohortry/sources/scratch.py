@@ -19,8 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, below the application's own name, so
+    that all of a run's tables can be cleared at once."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def settle(df: DataFrame) -> DataFrame:

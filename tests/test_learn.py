@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortry import presets
 from cohortry.operators import explain, learn, runs, shadow
 from cohortry.plans import jobs
-from cohortry.sources import raw, store
+from cohortry.sources import predictions, raw, store
 
 BRIEF = {"logistic_regression": {"maxIter": 10}, "random_forest": {"numTrees": 5, "maxDepth": 3},
          "boosted_trees": {"maxIter": 2, "maxDepth": 2}}
@@ -133,7 +133,7 @@ def test_permutation_importance(spark):
     _, best = sweep(rows, "binary", ("logistic_regression",))
     table = explain.permutation_importance(
         best.model, learn.labelled(rows, "binary", "readmitted_30d"), ["num_feature", "util_feature"],
-        "encounter_id", lambda m, df: learn.score(m, df, "binary"), digits=1).collect()
+        "encounter_id", lambda m, df: learn.score(m, df, "binary")).collect()
     assert table[0].feature == "num_feature" and table[0].auc_loss > 0.05
 
 
@@ -193,5 +193,10 @@ def test_jobs_from_file_to_monitoring(spark, tmp_path):
         features.where("split = 'test'").count())
     drifted = summary.where("section = 'feature_drift' AND metric = 'status'").count()
     assert drifted == len(presets.MONITORED_COLUMNS)
-    jobs.monitor(spark, slim, log, append=True)
+    again = jobs.monitor(spark, slim, log, append=True)
+    tested = features.where("split = 'test'").count()
+    assert again.where("subject = 'prediction_records'").first().value == tested
+    assert predictions.read_log(spark, log).count() == 2 * tested
+    from_log = jobs.monitor(spark, slim, log, current_split="none")
+    assert from_log.where("subject = 'prediction_records'").first().value == 2 * tested
     assert jobs.final_comparison(spark, slim).count() == 2
