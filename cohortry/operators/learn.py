@@ -367,12 +367,14 @@ def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, targe
                 scored = score(model, ready.where(F.col("split") == split), task,
                                None if task == "binary" else list(labels))
                 measured[split] = evaluate(scored, task, labels)
+            run_notes = [f"ROC AUC is undefined on {split}: one class only"
+                         for split, m in measured.items() if m.get("roc_auc", 0.0) is None]
             runs.append(Run(
                 name=f"{task}_{family}_sampling-{sampling}_fs-{select}", task=task, family=family,
                 sampling=sampling, selection=select, run_order=len(runs),
                 model=PipelineModel([*pre.stages, *model.stages]), inputs=list(inputs),
                 slots=slots, val=measured["val"], test=measured["test"],
-                settings=estimator_settings(estimator), warnings=list(notes)))
+                settings=estimator_settings(estimator), warnings=[*notes, *run_notes]))
     if not runs:
         raise RuntimeError("no training run was asked for")
     first, second = selection_key(task)

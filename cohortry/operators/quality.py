@@ -107,20 +107,25 @@ def _key_counts(df: DataFrame, key: str) -> DataFrame:
 def identifier_summary(df: DataFrame, id_column: str = presets.ID_COLUMN,
                        entity_column: str = presets.ENTITY_COLUMN) -> DataFrame:
     """One row on the id and the entity key. Null counts as a value when
-    looking for duplicates, but not as a distinct id."""
+    looking for duplicates, but not as a distinct id. Facts about a column that
+    the table lacks are null."""
     known = F.col("key").isNotNull()
-    ids = _key_counts(df, id_column).agg(
-        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("id_non_null_count"),
-        F.count("key").alias("id_unique_count"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("id_duplicate_count"),
-    )
-    entities = _key_counts(df, entity_column).agg(
-        F.count("key").alias("entity_unique_count"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
-         .alias("entity_repeated_row_count"),
-    )
-    both = ids.unionByName(entities, allowMissingColumns=True)
-    one_row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    facts = ("id_non_null_count", "id_unique_count", "id_duplicate_count",
+             "entity_unique_count", "entity_repeated_row_count")
+    found = []
+    if id_column in df.columns:
+        found.append(_key_counts(df, id_column).agg(
+            F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("id_non_null_count"),
+            F.count("key").alias("id_unique_count"),
+            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("id_duplicate_count")))
+    if entity_column in df.columns:
+        found.append(_key_counts(df, entity_column).agg(
+            F.count("key").alias("entity_unique_count"),
+            F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
+             .alias("entity_repeated_row_count")))
+    empty = df.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in facts))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found, empty)
+    one_row = both.agg(*[F.max(c).alias(c) for c in facts])
     return one_row.withColumn("id_unique", (
         F.col("id_unique_count") == F.col("id_non_null_count"))
         & (F.col("id_duplicate_count") == 0))
@@ -297,10 +302,10 @@ def validation_report(df: DataFrame, target: str = presets.TARGET_COLUMN,
 
 
 def preprocessing_summary(raw: DataFrame, cleaned: DataFrame, candidacy: FeatureCandidacy,
-                          targets=(presets.TARGET_COLUMN, presets.BINARY_TARGET_COLUMN)
-                          ) -> DataFrame:
+                          targets=(presets.TARGET_COLUMN, presets.BINARY_TARGET_COLUMN),
+                          entity: str = presets.ENTITY_COLUMN) -> DataFrame:
     """Rows (section, subject, value): shapes, missing counts before and after,
-    label counts and column lists."""
+    label counts, column lists, and a warning when there is no entity column."""
     def rows(table: DataFrame, section: str, subject: Column, value: Column) -> DataFrame:
         return table.select(F.lit(section).alias("section"), subject.alias("subject"),
                             value.cast("long").alias("value"))
@@ -321,6 +326,8 @@ def preprocessing_summary(raw: DataFrame, cleaned: DataFrame, candidacy: Feature
         ("identifier_column", candidacy.identifiers), ("target_column", candidacy.targets),
         ("excluded_column", candidacy.excluded), ("candidate_column", candidacy.candidates))
         for i, name in enumerate(names)]
+    if entity not in cleaned.columns:
+        lists.append(("warning", f"{entity} is missing; splitting by entity will fail", 1))
     parts.append(raw.sparkSession.createDataFrame(lists, "section string, subject string, value long"))
     return reduce(DataFrame.unionByName, parts)
 

@@ -200,3 +200,12 @@ def test_jobs_from_file_to_monitoring(spark, tmp_path):
     from_log = jobs.monitor(spark, slim, log, current_split="none")
     assert from_log.where("subject = 'prediction_records'").first().value == 2 * tested
     assert jobs.final_comparison(spark, slim).count() == 2
+    rows = jobs.explain_split(spark, slim).collect()
+    assert len(rows) == tested
+    assert all(r.raising_factors and "not medical advice" in r.explanation_text for r in rows)
+    assert any("numeric__" in f for r in rows for f in r.raising_factors)
+    jobs.evaluation_tables(spark, slim)
+    base = f"{slim}/evaluation/binary/test"
+    cells = store.read_rows(spark, f"{base}/confusion_matrix")
+    assert cells.agg(F.sum("n")).first()[0] == tested
+    assert store.read_rows(spark, f"{base}/pr_curve").count() > 1

@@ -127,6 +127,16 @@ def test_identifiers_count_null_as_a_value(spark):
     assert [tuple(r) for r in q.top_repeated_entities(df).collect()] == [(5, 2)]
 
 
+def test_absent_keys_give_null_facts(spark):
+    df = spark.createDataFrame([(1,), (1,)], "encounter_id long")
+    row = q.identifier_summary(df).first()
+    assert (row.id_duplicate_count, row.id_unique, row.entity_unique_count) == (1, False, None)
+    row = q.identifier_summary(df.withColumnRenamed("encounter_id", "x")).first()
+    assert row.id_unique is None and row.id_non_null_count is None
+    rows = q.preprocessing_summary(df, df, sc.feature_candidacy(df)).collect()
+    assert any(r.section == "warning" and "patient_nbr" in r.subject for r in rows)
+
+
 def test_dictionary_roles(spark):
     df = spark.createDataFrame(
         [(1, 10, "NO", "Up", "250", 1, 5, "?"), (2, 10, "<30", "No", "401", 0, 6, "Asian")],
