@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import xxhash
@@ -19,11 +23,27 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark) -> None:
-    """Arrow batches of at most BATCH_ROWS rows from now on in this session."""
+_shipped: set[str] = set()
+
+
+def ready(spark) -> None:
+    """Make a session ready for Python tasks: Arrow batches of at most BATCH_ROWS
+    rows, and this package on the tasks' path where it is not there anyway."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    package = Path(__file__).resolve().parent.parent
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(package.parent) in known or not package.is_dir():
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    # Spark serves it from the driver to every executor, later ones included.
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

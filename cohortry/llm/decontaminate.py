@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import small_batches
+from cohortry.llm.common import ready
 from cohortry.sources.scratch import settle
 
 WINDOW = 10
@@ -203,7 +203,7 @@ def find_spans(docs: DataFrame, items: DataFrame, carry: dict[str, Column], text
     apart by nothing: their windows count for that id. Null and empty texts have
     no words; a null item id is the text 'null'. No items: no hits.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     listed = [("null" if r[0] is None else str(r[0]), words_of(bytes(r[1]))) for r in
               items.select(item_id, F.coalesce(F.col(item_text), F.lit("")).cast("binary"))
               .orderBy(item_id).toLocalIterator()]

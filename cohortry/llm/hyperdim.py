@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import small_batches
+from cohortry.llm.common import ready
 from cohortry.llm.samples import bounded_sample, held_out
 from cohortry.sources.scratch import settle
 
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
     """``docs`` plus language and score. The score is the share of the best
     language in a softmax over the cosines; 'und' with score 0 where a text is
     null or has no letters, or nothing was learned. Ties go to the first name."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     names = sorted(profiles)
     shared = docs.sparkSession.sparkContext.broadcast(
         (names, np.array([profiles[n] for n in names], np.float32).reshape(len(names), DIMS)))

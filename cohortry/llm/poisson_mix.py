@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import hashed_unit, join_groups
+from cohortry.llm.common import hashed_unit, join_groups, ready
 from cohortry.sources.scratch import settle
 
 #: Share of a source in the mix: its share of the documents to this power.
@@ -87,6 +87,7 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 42, key: str = "doc_id",
     get no copies. Texts play no part and may be null, empty or long. ``rates``
     is a small written table; a hot source is no hot key (see join_groups).
     """
+    ready(docs.sparkSession)
     total = rates.agg(F.sum("n")).first()[0] or 0
     named = docs.withColumn("mix_key", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")))
     by_name = rates.select(

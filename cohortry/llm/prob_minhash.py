@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import WordHash, batches_of, join_groups, small_batches
+from cohortry.llm.common import WordHash, batches_of, join_groups, ready
 from cohortry.sources.scratch import settle
 
 SHINGLE = 5
@@ -128,7 +128,7 @@ def probability_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.n
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The written table (row, id, text_hash, print, sig, bands); the last three
     are null for texts without words."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()

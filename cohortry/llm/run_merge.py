@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import join_groups
+from cohortry.llm.common import join_groups, ready
 from cohortry.sources.scratch import settle
 
 #: The characters that do not count when texts are compared.
@@ -117,6 +117,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     empty rows are one group. A null id loses ties. An empty table gives no rows.
     Other columns of ``docs`` play no part, whatever their names.
     """
+    ready(docs.sparkSession)
     settled = settle(digests(docs, key, text))
     first = settled.agg(F.max("run"), F.count(F.lit(1))).first()
     n_runs, total = (first[0] or 0) + 1, first[1]

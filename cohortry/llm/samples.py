@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortry.llm.common import ready
 from cohortry.sources.scratch import settle
 
 
@@ -21,6 +22,7 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_
     Only ids and labels are ranked; Spark keeps each task's first ones before the
     shuffle, so a label that holds most rows is no hot key.
     """
+    ready(rows.sparkSession)
     ranked = rows.select(key, label, F.md5(F.col(key).cast("string").cast("binary")).alias("_h"))
     order = Window.partitionBy(label).orderBy("_h", key)
     chosen = (ranked.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(order))

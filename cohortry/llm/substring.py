@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import WordHash, batches_of, small_batches
+from cohortry.llm.common import WordHash, batches_of, ready
 
 WINDOW = 50
 #: Windows held by a task at once, and at most about as many per hash range.
@@ -278,7 +278,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     Null ids are larger than all others and share one id. Null text has no words,
     and texts of fewer words than the window stay whole. Other columns play no part.
     """
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     # Rows with the same id and text have the same result and may share a name.
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import batches_of, small_batches
+from cohortry.llm.common import batches_of, ready
 from cohortry.llm.warc import open_store
 from cohortry.sources.scratch import scratch_path, settle
 
@@ -209,7 +209,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
                     end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents; the written index (part, number, file, n_docs,
     n_tokens). Parts ascend with doc_id, and numbers inside a part."""
-    small_batches(docs.sparkSession)
+    ready(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     ordered = (docs.select(F.col(key).cast("bigint").alias("doc_id"), body.alias("text"))
                .orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")))

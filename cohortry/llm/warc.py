@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import batches_of, join_groups, small_batches
+from cohortry.llm.common import batches_of, join_groups, ready
 from cohortry.sources.scratch import scratch_path, settle
 
 #: Shorter payloads are always written whole.
@@ -188,7 +188,7 @@ def _write(folder: str):
 
 def write_archives(marked: DataFrame, folder: str) -> DataFrame:
     """Write the rows of ``with_revisits``; the written table (file, records)."""
-    small_batches(marked.sparkSession)
+    ready(marked.sparkSession)
     return settle(marked.select("page_id", "row", "url", "payload", "digest", "first_id", "first_row")
                   .mapInArrow(_write(folder), "file string, records bigint"))
 
