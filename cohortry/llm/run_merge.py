@@ -51,8 +51,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = pa.Table.from_batches([batch] if open_entry is None else [open_entry, batch])
-        rows = rows.combine_chunks().to_batches()[0]
+        if open_entry is None:
+            rows = batch
+        else:
+            rows = pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(pair) for pair in zip(open_entry.columns, batch.columns)],
+                names=batch.schema.names)
         n = rows.num_rows
         same = np.ones(n - 1, bool)
         for name in ("digest", "n_bytes", "verifier"):
@@ -61,8 +65,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], ~same]))
         copies = np.add.reduceat(rows.column("copies").to_numpy(), starts)
         heads = rows.take(pa.array(starts))
-        heads = heads.set_column(heads.schema.get_field_index("copies"), "copies",
-                                 pa.array(copies, pa.int64()))
+        heads = pa.RecordBatch.from_arrays([*heads.columns[:-1], pa.array(copies, pa.int64())],
+                                           names=heads.schema.names)
         open_entry = heads.slice(heads.num_rows - 1)
         yield heads.slice(0, heads.num_rows - 1)
     if open_entry is not None:
