@@ -46,6 +46,16 @@ def ready(spark) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+def marked(docs: DataFrame) -> list[Column]:
+    """The columns under names that begin with 'in_', so that an operator's own
+    names clash with none of them."""
+    return [F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns]
+
+
+def unmarked(names: list[str]) -> list[Column]:
+    return [F.col(f"`in_{c}`").alias(c) for c in names]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows LEFT JOIN groups on ``key``, safe for groups of any size.
 

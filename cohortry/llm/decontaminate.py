@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import ready
+from cohortry.llm.common import ready, unmarked
 from cohortry.sources.scratch import settle
 
 WINDOW = 10
@@ -261,8 +261,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, max_hit: int = 0, max_share:
     and more than ``max_share`` of their words hit. With the defaults every
     document with a hit goes. Columns, nulls and clean documents stay as they are.
     """
-    names = docs.columns
-    found = find_spans(docs, items, {f"c{i}": F.col(f"`{n}`") for i, n in enumerate(names)},
-                       window=window)
+    carried = {f"in_{c}": F.col(f"`{c}`") for c in docs.columns}
+    found = find_spans(docs, items, carried, window=window)
     gone = (hit_words() > max_hit) & (hit_words() > F.lit(max_share) * F.col("n_words"))
-    return found.where(~gone).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return found.where(~gone).select(*unmarked(docs.columns))

@@ -17,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import ready
+from cohortry.llm.common import marked, ready, unmarked
 from cohortry.llm.samples import bounded_sample, held_out
-from cohortry.sources.scratch import settle
 
 DIMS = 1024
 GRAM = 3
-#: Training texts per language at most: the bound of the labelled sample.
+#: Training texts per language: the bound of the labelled sample.
 PER_LANGUAGE = 1000
 #: n-grams whose vectors a worker keeps; they are rebuilt when more come.
 KEPT_GRAMS = 30_000
@@ -182,9 +181,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without the rows whose language is unknown or scores below
     ``least``; same columns."""
-    names = docs.columns
-    coded = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
-    text = f"c{names.index('text')}"
-    found = predict(coded, learn(docs), text)
+    found = predict(docs.select(*marked(docs)), learn(docs), "in_text")
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(
-        *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+        *unmarked(docs.columns))

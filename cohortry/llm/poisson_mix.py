@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import hashed_unit, join_groups, ready
+from cohortry.llm.common import hashed_unit, join_groups, marked, ready, unmarked
 from cohortry.sources.scratch import settle
 
 #: Share of a source in the mix: its share of the documents to this power.
@@ -77,10 +77,11 @@ def _copies(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series(inverse_poisson(units.to_numpy(), rates.fillna(0.0).to_numpy()))
 
 
-def mix(docs: DataFrame, rates: DataFrame, seed: int = 42, key: str = "doc_id",
-        source: str = "source") -> DataFrame:
-    """``docs`` replicated: each row as often as its count says, plus mix_rate,
-    mix_copies, mix_copy (from 0) and mix_order, in a globally shuffled order.
+def replicate(docs: DataFrame, rates: DataFrame, seed: int = 42, key: str = "doc_id",
+              source: str = "source") -> DataFrame:
+    """Each row of ``docs`` as often as its count says, in a globally shuffled
+    order by ``place``: its columns under names that begin with 'in_', and rate,
+    n_copies, copy (from 0) and place.
 
     The count depends on seed and id only: rows that share an id share the
     count. A null id counts as the text 'null'. Rows whose source has no rate
@@ -89,21 +90,29 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 42, key: str = "doc_id",
     """
     ready(docs.sparkSession)
     total = rates.agg(F.sum("n")).first()[0] or 0
-    named = docs.withColumn("mix_key", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("~")))
+    named = docs.select(*marked(docs)).withColumn(
+        "name", F.coalesce(F.concat(F.lit("="), f"in_{source}"), F.lit("~")))
     by_name = rates.select(
-        F.coalesce(F.concat(F.lit("="), "mix_source"), F.lit("~")).alias("mix_key"),
-        F.col("n").alias("mix_n"), F.col("rate").alias("mix_rate"))
-    rows = join_groups(named, by_name, "mix_key", "mix_n", total)
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    unit = hashed_unit(F.lit(str(seed)), name)
+        F.coalesce(F.concat(F.lit("="), "mix_source"), F.lit("~")).alias("name"), "n", "rate")
+    rows = join_groups(named, by_name, "name", "n", total)
+    identity = F.coalesce(F.col(f"in_{key}").cast("string"), F.lit("null"))
     copies_of = F.pandas_udf(_copies, "bigint")
-    counted = rows.withColumn("mix_copies", copies_of(unit, "mix_rate")).where("mix_copies > 0")
-    copies = (counted
-              .withColumn("mix_block", F.explode(F.expr(f"sequence(0, (mix_copies - 1) div {BLOCK})")))
-              .withColumn("mix_copy", F.explode(F.expr(
-                  f"sequence(mix_block * {BLOCK}, least(mix_copies, (mix_block + 1) * {BLOCK}) - 1)"))))
-    order = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), name, F.col("mix_copy")).cast("binary"))
-    # The order is a hash, so a hash partitioning of it and a sort inside each
+    counted = rows.withColumn("n_copies", copies_of(hashed_unit(F.lit(str(seed)), identity), "rate"))
+    copies = (counted.where("n_copies > 0")
+              .withColumn("block", F.explode(F.expr(f"sequence(0, (n_copies - 1) div {BLOCK})")))
+              .withColumn("copy", F.explode(F.expr(
+                  f"sequence(block * {BLOCK}, least(n_copies, (block + 1) * {BLOCK}) - 1)"))))
+    place = F.md5(F.concat_ws(":", F.lit(f"order {seed}"), identity, F.col("copy")).cast("binary"))
+    # The place is a hash, so a hash partitioning of it and a sort inside each
     # partition is a global shuffle; no range has to be sampled for it.
-    return (copies.withColumn("mix_order", order).drop("mix_key", "mix_n", "mix_block")
-            .repartition("mix_order").sortWithinPartitions("mix_order"))
+    return (copies.withColumn("place", place).drop("name", "n", "block")
+            .repartition("place").sortWithinPartitions("place"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 42,
+        epochs: float = 1.0) -> DataFrame:
+    """``docs`` mixed to target weights (see target_rates): the same columns,
+    whatever their names, with as many copies of a row as it was given. An empty
+    table stays empty."""
+    return replicate(docs, target_rates(docs, weights, epochs=epochs), seed).select(
+        *unmarked(docs.columns))

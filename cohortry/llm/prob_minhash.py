@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import WordHash, batches_of, join_groups, ready
+from cohortry.llm.common import WordHash, join_groups, marked, ready, unmarked
 from cohortry.sources.scratch import settle
 
 SHINGLE = 5
@@ -350,10 +350,8 @@ def _classes(sig: DataFrame, nodes: DataFrame, labels: DataFrame, total: int) ->
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class; same columns. Rows that share id and
     text are one document: one of them stays."""
-    kept = (near_duplicates(docs).where("kept")
-            .select(_name(F.col("doc_id")), F.col("text_hash").alias("_text_hash"))
-            .withColumnRenamed("id_name", "_id_name").distinct())
-    named = docs.withColumn("_id_name", _name(F.col("doc_id").cast("bigint"))).withColumn(
-        "_text_hash", F.xxhash64("text"))
-    return (named.join(kept, ["_id_name", "_text_hash"], "left_semi")
-            .dropDuplicates(["_id_name", "_text_hash"]).drop("_id_name", "_text_hash"))
+    kept = near_duplicates(docs).where("kept").select(
+        _name(F.col("doc_id")), "text_hash").distinct()
+    named = docs.select(*marked(docs), _name(F.col("doc_id").cast("bigint")), F.xxhash64("text").alias("text_hash"))
+    return (named.join(kept, ["id_name", "text_hash"], "left_semi")
+            .dropDuplicates(["id_name", "text_hash"]).select(*unmarked(docs.columns)))

@@ -38,11 +38,13 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 def tokens(text: str | None) -> list[str]:
-    """Words, numbers and runs of signs. A word in capitals counts as <caps>, any
-    other as itself in small letters.
-    """
-    return [("<caps>" if len(w) > 1 and w.isupper() else w.lower()) for w in
-            _TOKEN.findall(text or "")]
+    """Words, numbers and runs of signs. A word in capitals counts as <caps>, and
+    one that repeats the word before it, signs between them or not, as <again>;
+    any other as itself in small letters."""
+    found = _TOKEN.findall(text or "")
+    return [("<again>" if w == before or w == earlier else "<caps>" if len(w) > 1 and w.isupper()
+             else w.lower()) if w.isalpha() else w
+            for w, before, earlier in zip(found, ["", *found], ["", "", *found])]
 
 
 def index_vector(token: str) -> np.ndarray:
@@ -169,7 +171,7 @@ def fit_temperature(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> f
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fit on at most ``per_label`` labelled rows of each label, none of them held
+    """Fit on about ``per_label`` labelled rows of each label, none of them held
     out. Rows are weighted back to the labels' true shares. Every fifth row of
     the sample is left for the temperature. Without labels the score is 0.5."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()

@@ -59,10 +59,10 @@ def op9_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return poisson_mix.mix(docs, poisson_mix.target_rates(docs)).select(
-        "doc_id", "source", F.col("mix_rate").alias("rate"), F.col("mix_copies").alias("n_copies"),
-        F.col("mix_copy").cast("bigint").alias("copy"), F.col("mix_order").alias("place"),
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return poisson_mix.replicate(docs, poisson_mix.target_rates(docs)).select(
+        F.col("in_doc_id").alias("doc_id"), F.col("in_source").alias("source"), "rate", "n_copies",
+        F.col("copy").cast("bigint").alias("copy"), "place",
+        F.sha2(F.coalesce("in_text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (

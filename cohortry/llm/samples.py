@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import ready
+from cohortry.llm.common import hashed_unit, join_groups, ready
 from cohortry.sources.scratch import settle
 
 
@@ -16,15 +16,18 @@ def held_out(key: Column) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per_label`` rows of each label, those with the smallest md5 of
-    their id: the same rows whatever the partitions.
+    """About ``per_label`` rows of each label, or all where there are fewer.
 
-    Only ids and labels are ranked; Spark keeps each task's first ones before the
-    shuffle, so a label that holds most rows is no hot key.
+    A row is taken when the number hashed from its id lies below per_label / rows
+    of its label, so the choice is a filter: no label's rows are gathered or
+    ranked, and partitions do not matter. A label exceeds its bound by a tenth
+    with probability below one in a thousand at 1000 rows, and never by half. Null
+    ids and labels are left out.
     """
     ready(rows.sparkSession)
-    ranked = rows.select(key, label, F.md5(F.col(key).cast("string").cast("binary")).alias("_h"))
-    order = Window.partitionBy(label).orderBy("_h", key)
-    chosen = (ranked.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(order))
-              .where(F.col("_n") <= per_label).select(key).distinct())
-    return settle(rows.join(settle(chosen), key, "left_semi"))
+    known = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    sizes = settle(known.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    sized = join_groups(known.withColumn("_label", F.col(label)), sizes, "_label", "_n", total)
+    taken = hashed_unit(F.lit("sample"), F.col(key).cast("string")) < F.lit(per_label) / F.col("_n")
+    return settle(sized.where(taken).select(*rows.columns))
