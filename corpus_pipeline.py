@@ -30,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replicate documents to the sources' target weights, in shuffled order."""
-    return poisson_mix.mix(docs, poisson_mix.target_rates(docs)).select(docs.columns)
+    return poisson_mix.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
