@@ -45,7 +45,8 @@ def shares_by_label(shares: Column, labels: list[str]) -> Column:
 
 
 def positive_share(shares: Column) -> Column:
-    return F.element_at(shares, 2)
+    """The second class's share; the last one of a model that saw one class."""
+    return F.coalesce(F.try_element_at(shares, F.lit(2)), F.try_element_at(shares, F.lit(-1)))
 
 
 def positive_share_of_map(shares: Column) -> Column:
@@ -58,6 +59,3 @@ def numeric_entries(raw: Column) -> Column:
     parsed = F.transform_values(raw, lambda _, v: v.try_cast("double"))
     return F.map_filter(parsed, lambda _, v: v.isNotNull())
 
-
-def json_number(value: Column) -> Column:
-    return finite(value)

@@ -17,6 +17,7 @@ from cohortry import presets
 from cohortry.functions.text import psi_band
 from cohortry.functions.tokens import finite, finite_sql, number_sql, quoted, sql_double
 from cohortry.operators.quantiles import exact_quantiles
+from cohortry.sources.scratch import settle
 
 SMALLEST_SHARE = 1e-6
 
@@ -40,25 +41,42 @@ def _numbers(df: DataFrame, features: list[str], current: bool) -> DataFrame:
                          *[f"{number_sql(df, f)} AS x{i}" for i, f in enumerate(features)])
 
 
+def value_edges(reference: DataFrame, columns: list[str], most: int = 50) -> dict[str, list[float]]:
+    """Borders that give every reference value a bin of its own, for columns of
+    few values such as 0 and 1. A column with more than ``most`` values is an
+    error: quantile bins are for those."""
+    out = {}
+    for c in columns:
+        found = sorted(r[0] for r in reference.selectExpr(f"{finite_sql(c)} AS v")
+                       .where("v IS NOT NULL").distinct().limit(most + 1).collect())
+        if len(found) > most:
+            raise ValueError(f"more than {most} values; use quantile bins")
+        middles = [(a + b) / 2 for a, b in zip(found, found[1:])]
+        out[c] = [found[0], *middles, found[-1]] if len(found) > 1 else found
+    return out
+
+
 def feature_bins(reference: DataFrame, current: DataFrame, features: list[str],
-                 bins: int = 10) -> DataFrame:
+                 bins: int | None = 10) -> DataFrame:
     """Counts and sums per feature and bin of both tables; empty bins included.
 
     ``bin`` is null for values that are infinite: they count, but have no bin.
+    Without ``bins`` every value of the reference has its own.
     """
     spark = reference.sparkSession
     base, new = _numbers(reference, features, False), _numbers(current, features, True)
     columns = base.columns[1:]
-    edges = quantile_edges(base, columns, bins)
+    edges = quantile_edges(base, columns, bins) if bins else value_edges(base, columns)
     structs = [f"struct({i} AS feature_index, {c} AS x, {_bin_sql(c, edges[c])} AS bin)"
                for i, c in enumerate(columns)]
     cells = base.unionByName(new).selectExpr(
         "is_current", f"inline(array({', '.join(structs)}))").where("x IS NOT NULL")
     now, then = F.col("is_current"), ~F.col("is_current")
-    counted = cells.groupBy("feature_index", "bin").agg(
+    # Everything after this is some rows per feature: written once, read often.
+    counted = settle(cells.groupBy("feature_index", "bin").agg(
         F.count_if(then).alias("reference_n"), F.count_if(now).alias("current_n"),
         F.sum(F.when(then, F.col("x"))).alias("reference_sum"),
-        F.sum(F.when(now, F.col("x"))).alias("current_sum"))
+        F.sum(F.when(now, F.col("x"))).alias("current_sum")))
     places = [(i, features[i], b, len(edges[c])) for i, c in enumerate(columns)
               for b in [None, *range(max(1, len(edges[c]) - 1))]]
     grid = spark.createDataFrame(places, "feature_index int, feature string, bin int, n_edges int")
@@ -90,7 +108,8 @@ def _psi_per_feature(counts: DataFrame) -> DataFrame:
             .withColumn("psi", F.when(~one_side_empty, F.col("raw_psi"))))
 
 
-def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
+def psi(reference: DataFrame, current: DataFrame, features: list[str],
+        bins: int | None = 10) -> DataFrame:
     """Population stability index per feature, null when a side has no value."""
     counts = feature_bins(reference, current, features, bins)
     return _psi_per_feature(counts).select("feature", "psi")
@@ -166,8 +185,8 @@ def prediction_distribution(records: DataFrame, columns=(
     """Count and rate per predicted class and model; a missing one is ``unknown``."""
     cells = F.array(*[F.struct(F.lit(c).alias("model_output"), F.coalesce(
         quoted(c).cast("string"), F.lit("unknown")).alias("label")) for c in columns])
-    counts = records.select(F.inline(cells)).groupBy("model_output", "label").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = settle(records.select(F.inline(cells)).groupBy("model_output", "label").agg(
+        F.count(F.lit(1)).alias("n")))
     # One row per output: every record has a label for each of them.
     totals = counts.groupBy("model_output").agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(totals), "model_output").select(
@@ -195,13 +214,16 @@ def inference_runtime(records: DataFrame, versions: DataFrame,
     ``records.inference_runtime`` maps a model name to a struct (device,
     used_fallback); ``versions`` has one row per model.
     """
+    # The log's model names are free text: only those of known models count, so
+    # the table of first records is as small as that of the models.
     per_model = records.select(F.col(order_by).alias("_at"), F.explode("inference_runtime")
-                               .alias("model", "runtime"))
+                               .alias("model", "runtime")).join(
+        versions.select("model"), "model", "left_semi")
     first = per_model.where("runtime.device IS NOT NULL").groupBy("model").agg(
         F.min_by("runtime", F.struct("_at", "runtime")).alias("runtime"))
     moved = (F.col("training_device") == "cuda") & (F.col("inference_device") == "cpu")
     stored = F.coalesce("fallback_path", moved, F.lit(False))
-    return versions.join(F.broadcast(first), "model", "left").select(
+    return versions.join(first, "model", "left").select(
         "model", "device_requested", "training_device",
         F.coalesce("runtime.device", "inference_device").alias("inference_device"),
         F.coalesce("runtime.used_fallback", stored).alias("used_fallback"),
@@ -239,8 +261,8 @@ def monitoring_summary(records: DataFrame, reference: DataFrame | None,
             F.concat_ws(":", "model_output", "label").alias("class"), "n", "rate"),
             "prediction_distribution", "class", ["n", "rate"]),
     ]
-    score_drift = probability_drift(reference_scores, records, min_sample_size=min_sample_size,
-                                    bins=bins)
+    score_drift = settle(probability_drift(reference_scores, records,
+                                           min_sample_size=min_sample_size, bins=bins))
     parts.append(_facts(score_drift, "binary_probability_drift", None,
                         ["psi", "reference_count", "current_count"], ["status"]))
     if reference_scores is None:
@@ -262,12 +284,12 @@ def monitoring_summary(records: DataFrame, reference: DataFrame | None,
     elif reference.isEmpty() or current.isEmpty():
         warnings.append(one("empty_feature_table", "*", "feature drift checks skipped"))
     else:
-        drift = drift_summary(reference, current, features, min_sample_size, bins)
+        drift = settle(drift_summary(reference, current, features, min_sample_size, bins))
         parts.append(_facts(drift, "feature_drift", "feature",
                             ["psi", "reference_count", "current_count", "reference_mean",
                              "current_mean", "absolute_mean_shift"], ["status"]))
         warnings.append(drift_warnings(drift, features, reference, current))
-    labels = label_availability(records)
+    labels = settle(label_availability(records))
     parts.append(_facts(labels, "label_monitoring", None,
                         ["true_label_count", "true_label_30d_count"],
                         ["labels_available", "performance_monitoring"]))
@@ -279,7 +301,7 @@ def monitoring_summary(records: DataFrame, reference: DataFrame | None,
         F.format_string("records=%d, recommended=%d", "n_records", F.lit(min_sample_size))
          .alias("detail")))
     if versions is not None:
-        runtime = inference_runtime(records, versions)
+        runtime = settle(inference_runtime(records, versions))
         parts.append(_facts(runtime, "inference_runtime", "model", [],
                             ["device_requested", "training_device", "inference_device",
                              "used_fallback"]))

@@ -11,13 +11,31 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_DIGITS = 3
+from cohortry.functions.tokens import quoted
+
+BUCKET_ROWS = 1_000_000
+
+
+def prefix_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Hex digits of a prefix that about ``bucket_rows`` rows share, at any size."""
+    digits = 1
+    while rows > bucket_rows * 16 ** digits:
+        digits += 1
+    return digits
 
 
 def seeded_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def seeded_row_hash(df: DataFrame, key: Column, seed: int) -> Column:
+    """A hash for drawing rows: never null, and equal only for rows that are
+    equal in all columns, which can stand for each other."""
+    name = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
+    whole = F.xxhash64(*[quoted(c) for c in df.columns])
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), name, whole.cast("string")).cast("binary"))
+
+
 def share_border(share: float) -> str:
     """The text that splits hashes at a share of all hashes: those before it in
     text order are that share. No hash has to be turned into a number."""
@@ -25,12 +43,15 @@ def share_border(share: float) -> str:
     return f"{border:08x}" if border < 2 ** 32 else "g"
 
 
-def kth_hashes(hashes: DataFrame, ranks: list[int], digits: int = PREFIX_DIGITS) -> list[str]:
+def kth_hashes(hashes: DataFrame, ranks: list[int], digits: int | None = None) -> list[str]:
     """Hashes at the given ranks (from 1) of a one-column table ``h``.
 
-    The driver sees one count per prefix (16**digits at most); only the
-    prefixes that hold a wanted rank are ranked, each in a task of its own.
+    The driver sees one count per prefix, of which there is about one for each
+    BUCKET_ROWS rows; only the prefixes that hold a wanted rank are ranked, each
+    in a task of its own. Null hashes have no rank.
     """
+    hashes = hashes.where("h IS NOT NULL")
+    digits = digits or prefix_digits(hashes.count())
     prefixed = hashes.select("h", F.substring("h", 1, digits).alias("prefix"))
     counts = sorted((r["prefix"], r["count"]) for r in prefixed.groupBy("prefix").count().collect())
     places, seen = {}, 0
@@ -52,12 +73,13 @@ def kth_hashes(hashes: DataFrame, ranks: list[int], digits: int = PREFIX_DIGITS)
 
 
 def number_rows_by_hash(df: DataFrame, hashed: Column, name: str,
-                        digits: int = PREFIX_DIGITS) -> DataFrame:
+                        digits: int | None = None) -> DataFrame:
     """Rows numbered 0, 1, 2, ... in hash order.
 
-    Rank inside a prefix plus the count of all earlier prefixes; the prefix
-    counts are a table of at most 16**digits rows, hence the broadcast.
+    Rank inside a prefix plus the count of all earlier prefixes. There is about
+    one prefix for each BUCKET_ROWS rows, hence the broadcast of their counts.
     """
+    digits = digits or prefix_digits(df.count())
     keyed = df.withColumn("_h", hashed).withColumn("_prefix", F.substring("_h", 1, digits))
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     starts = (keyed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))

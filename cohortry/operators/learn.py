@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -20,7 +21,7 @@ from cohortry.functions.features import class_index
 from cohortry.functions.tokens import (
     number_sql, parse_number, quoted, sql_double, sql_name, sql_text,
 )
-from cohortry.operators.hashrank import kth_hashes, number_rows_by_hash, seeded_hash
+from cohortry.operators.hashrank import kth_hashes, number_rows_by_hash, seeded_row_hash
 from cohortry.operators.metrics import (
     binary_metrics, class_report, multiclass_metrics, roc_auc,
 )
@@ -73,13 +74,16 @@ def imputed_moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[float,
 
 
 def fit_preprocessor(train: DataFrame, inputs: list[str],
-                     max_categories: int = 10_000) -> PipelineModel:
+                     hashed: dict[str, int] | None = None) -> PipelineModel:
     """Numeric: median fill and standardize. Categorical: mode fill and one-hot,
     unknown values all zero. The statistics become constants of one projection.
 
-    One-hot coding keeps the value list of each column in the model, so a
-    column with more than ``max_categories`` values is refused, not cut.
+    One-hot coding keeps the value list of a column in the model and gives every
+    value a slot of a sparse vector. For columns whose values are too many for a
+    model, ``hashed`` names the slots to spread them over: a chosen mode, never
+    switched on by the data.
     """
+    hashed = dict(hashed or {})
     require_columns(train, inputs, "preprocessing")
     numeric, categorical = numeric_and_categorical(train, inputs)
     columns, parts, stages = ["*"], [], []
@@ -91,33 +95,41 @@ def fit_preprocessor(train: DataFrame, inputs: list[str],
                            f"AS {sql_name('numeric__' + c)}")
             parts.append("numeric__" + c)
     if categorical:
-        facts = most_frequent(train, categorical).collect()
-        wide = [r["column"] for r in facts if (r["n_distinct"] or 0) > max_categories]
-        if wide:
-            raise ValueError(f"too many categories to one-hot code: {', '.join(wide)}")
-        for r in facts:
+        for r in most_frequent(train, categorical).collect():
             filled = f"coalesce(CAST({sql_name(r['column'])} AS STRING), " \
                      f"{sql_text(r['mode'] or '')})"
             columns.append(f"{filled} AS {sql_name('filled__' + r['column'])}")
+            if slots := hashed.get(r["column"]):
+                columns.append(f"CAST(pmod(xxhash64({filled}), {slots}) AS DOUBLE) "
+                               f"AS {sql_name('index__' + r['column'])}")
     shape = SQLTransformer(statement=f"SELECT {', '.join(columns)} FROM __THIS__")
     stages.append(shape)
     table = shape.transform(train)
     if categorical:
-        index = StringIndexer(
-            inputCols=[f"filled__{c}" for c in categorical],
-            outputCols=[f"index__{c}" for c in categorical],
-            stringOrderType="alphabetAsc", handleInvalid="keep").fit(table)
-        table = index.transform(table)
-        # The indexer's extra slot for unknown values is the one dropped.
-        encode = OneHotEncoder(
-            inputCols=[f"index__{c}" for c in categorical],
-            outputCols=[f"categorical__{c}" for c in categorical], dropLast=True).fit(table)
-        stages += [index, encode]
+        listed = [c for c in categorical if c not in hashed]
+        if listed:
+            index = StringIndexer(
+                inputCols=[f"filled__{c}" for c in listed],
+                outputCols=[f"index__{c}" for c in listed],
+                stringOrderType="alphabetAsc", handleInvalid="keep").fit(table)
+            table = index.transform(table)
+            # The indexer's extra slot for unknown values is the one dropped.
+            stages += [index, _one_hot(table, listed, "error")]
+        if wide := [c for c in categorical if c in hashed]:
+            # A slot number above those of the training rows becomes all zero.
+            stages.append(_one_hot(table, wide, "keep"))
         parts += [f"categorical__{c}" for c in categorical]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return PipelineModel(stages)
 
 
+def _one_hot(table: DataFrame, columns: list[str], invalid: str):
+    return OneHotEncoder(
+        inputCols=[f"index__{c}" for c in columns],
+        outputCols=[f"categorical__{c}" for c in columns], dropLast=True,
+        handleInvalid=invalid).fit(table)
+
+
 def slot_names(df: DataFrame, column: str = "features") -> list[str]:
     """Names of the vector's slots, from the metadata of the column."""
     groups = df.schema[column].metadata["ml_attr"]["attrs"]
@@ -146,22 +158,33 @@ def _weight_column(weights: dict[float, float]) -> Column:
 
 
 def undersample(df: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
-    """As many rows of each class as the smallest class has, drawn by key hash.
+    """As many rows of each class as the smallest class has, drawn by hash.
 
     Per larger class one hash marks the border, so rows are kept by a filter
-    and no class is gathered in one task.
+    and no class is gathered in one task. Rows that share the border's hash are
+    equal in all columns; as many of them are kept as the size still lacks. Null
+    and repeated keys are drawn like others.
     """
     sizes = {r["label"]: r["n"] for r in class_weights(df, label).collect()}
-    smallest = min(sizes.values())
-    hashed = seeded_hash(quoted(key), seed)
-    keep = F.lit(False)
+    smallest = min(sizes.values(), default=0)
+    hashed = df.withColumn("_hash", seeded_row_hash(df, quoted(key), seed))
+    keep, ties = F.lit(False), []
     for value, n in sizes.items():
-        of_class = quoted(label) == F.lit(value)
+        of_class = quoted(label).eqNullSafe(F.lit(value))
         if n > smallest:
-            (border,) = kth_hashes(df.where(of_class).select(hashed.alias("h")), [smallest])
-            of_class = of_class & (hashed <= F.lit(border))
+            rows = hashed.where(of_class)
+            (border,) = kth_hashes(rows.select(F.col("_hash").alias("h")), [smallest])
+            at_border = rows.where(F.col("_hash") == F.lit(border))
+            lacking = smallest - rows.where(F.col("_hash") < F.lit(border)).count()
+            ties.append(at_border.limit(lacking))
+            of_class = of_class & (F.col("_hash") < F.lit(border))
         keep = keep | of_class
-    return df.where(keep)
+    return reduce(DataFrame.unionByName, ties, hashed.where(keep)).drop("_hash")
+
+
+#: Copies made by one explode; a row that is drawn more often is exploded in
+#: blocks of this many, so no array grows with the data.
+COPY_BLOCK = 1000
 
 
 def oversample(df: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
@@ -169,22 +192,26 @@ def oversample(df: DataFrame, key: str, label: str = "label", seed: int = 42) ->
     it to the size of the largest class.
 
     Draws are row numbers from a distributed range, counted before the join,
-    so a row drawn many times is still one join row.
+    so a row drawn many times is still one join row. Rows with the same number in
+    another evaluation are equal in all columns; null and repeated keys are
+    drawn like others.
     """
     spark = df.sparkSession
     sizes = {r["label"]: r["n"] for r in class_weights(df, label).collect()}
-    largest = max(sizes.values())
+    largest = max(sizes.values(), default=0)
     parts = df
-    for i, (value, n) in enumerate(sorted(sizes.items())):
+    for i, (value, n) in enumerate(sorted(sizes.items(), key=lambda item: str(item[0]))):
         if n == largest:
             continue
-        numbered = number_rows_by_hash(df.where(quoted(label) == F.lit(value)),
-                                       seeded_hash(quoted(key), seed), "_number")
+        numbered = number_rows_by_hash(df.where(quoted(label).eqNullSafe(F.lit(value))),
+                                       seeded_row_hash(df, quoted(key), seed), "_number")
         draws = spark.range(largest - n).select(
             F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "id"), F.lit(n)).alias("_number"))
-        counted = draws.groupBy("_number").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-        again = numbered.join(counted, "_number").withColumn(
-            "_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*df.columns)
+        counted = draws.groupBy("_number").agg(F.count(F.lit(1)).alias("_copies"))
+        blocks = F.expr(f"sequence(0, (_copies - 1) div {COPY_BLOCK})")
+        inside = F.expr(f"sequence(1, least(_copies - _block * {COPY_BLOCK}, {COPY_BLOCK}))")
+        again = (numbered.join(counted, "_number").withColumn("_block", F.explode(blocks))
+                 .withColumn("_copy", F.explode(inside)).select(*[quoted(c) for c in df.columns]))
         parts = parts.unionByName(again)
     return parts
 
@@ -333,7 +360,10 @@ def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, targe
     ready = settle(vectors)
     train = ready.where("split = 'train'")
     sizes = {r["label"]: r for r in class_weights(train).collect()}
-    n_rows = float(sum(r["n"] for r in sizes.values()))
+    counts = [r["n"] for r in sizes.values()]
+    # Rows that are fitted, by sampling: the penalty is set against their loss.
+    fitted_rows = {"none": sum(counts), "over": len(counts) * max(counts, default=0),
+                   "under": len(counts) * min(counts, default=0)}
 
     middle, slots, notes = [], all_slots, []
     if select != "none":
@@ -355,7 +385,7 @@ def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, targe
                 else:
                     w = {v: r["balanced_weight"] for v, r in sizes.items()}
                 data = data.withColumn("weight", _weight_column(w))
-            estimator = build_estimator(family, task, n_rows, seed, weighted,
+            estimator = build_estimator(family, task, float(fitted_rows[sampling]), seed, weighted,
                                         (params or {}).get(family))
             if middle:
                 data = middle[0].transform(data)

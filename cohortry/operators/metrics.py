@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.tokens import quoted
-from cohortry.operators.quantiles import add_buckets, sketch_borders
+from cohortry.operators.quantiles import add_bucket, bucket_borders
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -25,11 +25,7 @@ def score_counts(df: DataFrame, label: str = "label", score: str = "score",
     """One row per distinct score: positives and negatives at it and below it."""
     pairs = df.select(quoted(score).cast("double").alias("score"),
                       (quoted(label) == 1).alias("positive")).where("score IS NOT NULL")
-    borders = sketch_borders(pairs, ["score"], buckets)
-    if not borders["score"]:
-        bucketed = pairs.withColumn("bucket", F.lit(0))
-    else:
-        bucketed = add_buckets(pairs, borders).withColumn("bucket", F.col("score_bucket").cast("int"))
+    bucketed = add_bucket(pairs, "score", bucket_borders(pairs, "score", buckets))
     # The filter keeps the two uses of ``counts`` alike, so it is computed once.
     counts = bucketed.where("bucket IS NOT NULL").groupBy("bucket", "score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))

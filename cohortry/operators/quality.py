@@ -195,7 +195,7 @@ def numeric_summary(df: DataFrame, columns=None, exact: bool = True) -> DataFram
     quarters = (0.25, 0.5, 0.75)
     numbers = df.selectExpr(*[f"{number_sql(df, c)} AS x{i}" for i, c in enumerate(columns)])
     if exact:
-        cuts = exact_quantiles(numbers, numbers.columns, quarters)
+        cuts = exact_quantiles(numbers, numbers.columns, quarters, infinite=True)
     else:
         found = numbers.approxQuantile(numbers.columns, list(quarters), 0.001)
         cuts = {c: (q or None) for c, q in zip(numbers.columns, found)}

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,23 +12,17 @@ def column(spark, values, name="value"):
     return spark.createDataFrame([(float(v),) for v in values], f"{name} double")
 
 
-def numpy_psi(reference, current, bins=10):
-    edges = np.unique(np.quantile(reference, np.linspace(0, 1, bins + 1)))
-    if edges.size <= 1:
-        return 0.0
-    edges[0], edges[-1] = -np.inf, np.inf
-    r = np.clip(np.histogram(reference, edges)[0] / len(reference), 1e-6, None)
-    c = np.clip(np.histogram(current, edges)[0] / len(current), 1e-6, None)
-    return float(np.sum((c - r) * np.log(c / r)))
-
-
-@pytest.mark.parametrize("bins", [2, 5, 10, 37])
-def test_psi_equals_numpy(spark, bins):
-    rng = np.random.default_rng(7)
-    a, b = rng.normal(0, 1, 500), rng.normal(1.8, 1, 500)
-    got = d.psi(column(spark, a), column(spark, b), ["value"], bins).first().psi
-    assert got == pytest.approx(numpy_psi(a, b, bins), rel=1e-9)
-    assert got > 0.10
+@pytest.mark.parametrize("bins,current,want", [
+    # Reference 0..9 in two bins of five rows; shares 0.5 and 0.5.
+    (2, [0] * 8 + [9] * 2, 0.3 * math.log(1.6) + 0.3 * math.log(2.5)),
+    # Five bins of two rows each against shares .6, .1, .1, .1, .1.
+    (5, [1] * 6 + [3, 5, 7, 9], 0.4 * math.log(3) + 4 * 0.1 * math.log(2)),
+    # An empty bin counts as one millionth.
+    (2, [9] * 4, 0.499999 * math.log(5e5) + 0.5 * math.log(2)),
+])
+def test_psi_by_hand(spark, bins, current, want):
+    got = d.psi(column(spark, range(10)), column(spark, current), ["value"], bins).first().psi
+    assert got == pytest.approx(want, rel=1e-9)
 
 
 def test_psi_special_cases(spark):

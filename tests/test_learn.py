@@ -81,8 +81,9 @@ def test_preprocessor_statistics(spark):
     assert [g[1] for g in got] == [1, 0, 0, 1, 1]
     unknown = model.transform(spark.createDataFrame([(1.0, "zzz")], "x double, c string")).first()
     assert unknown.features.toArray()[1:].tolist() == [0.0, 0.0]
-    with pytest.raises(ValueError, match="too many"):
-        learn.fit_preprocessor(df, ["c"], max_categories=1)
+    hashed = learn.fit_preprocessor(df, ["x", "c"], hashed={"c": 8}).transform(df)
+    vectors = [r.features.toArray()[1:].tolist() for r in hashed.collect()]
+    assert all(sum(v) <= 1.0 for v in vectors) and vectors[0] != vectors[1]
 
 
 def test_awkward_names_and_values(spark):
@@ -116,7 +117,6 @@ def test_shadow_selection_finds_the_signal(spark):
     mixed = shadow.with_shadow(df, "row_key", 1, digits=1).collect()
     assert len(mixed) == 400
     assert sorted(r.features[0] for r in mixed) == sorted(r.shadow[0] for r in mixed)
-    assert shadow.select_features(df, 4, max_slots=3)[0] == []
 
 
 def test_sweep_with_selection(spark):
@@ -209,3 +209,28 @@ def test_jobs_from_file_to_monitoring(spark, tmp_path):
     cells = store.read_rows(spark, f"{base}/confusion_matrix")
     assert cells.agg(F.sum("n")).first()[0] == tested
     assert store.read_rows(spark, f"{base}/pr_curve").count() > 1
+
+
+def test_resampling_with_repeated_and_null_keys(spark):
+    repeated = spark.range(1000).select((F.col("id") % 7).alias("k"), (F.col("id") < 900).cast("int")
+                                        .alias("label"))
+    size = lambda t: {r.label: r["count"] for r in t.groupBy("label").count().collect()}
+    assert size(learn.undersample(repeated, "k")) == {0: 100, 1: 100}
+    assert size(learn.oversample(repeated, "k")) == {0: 900, 1: 900}
+    empty = spark.range(1000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), "id",
+        (F.col("id") < 900).cast("int").alias("label"))
+    assert size(learn.undersample(empty, "k")) == {0: 100, 1: 100}
+    assert size(learn.oversample(empty, "k")) == {0: 900, 1: 900}
+    drawn_often = spark.range(5003).select("id", (F.col("id") < 5000).cast("int").alias("label"))
+    assert size(learn.oversample(drawn_often, "id")) == {0: 5000, 1: 5000}
+
+
+def test_selection_of_more_slots_than_a_dense_matrix_bears(spark):
+    from pyspark.ml.linalg import Vectors
+    wide = 6000
+    df = spark.createDataFrame(
+        [(i, float(i % 2), Vectors.sparse(wide, {0: float(i % 2 + 1), 1 + i % (wide - 1): 1.0}))
+         for i in range(300)], ["row_key", "label", "features"])
+    chosen, note = shadow.select_features(df, wide, rounds=20, trees=100, max_depth=2)
+    assert chosen in ([0], []) and (note is None or "no slot" in note)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import metrics as m
 from cohortry.operators.hashrank import kth_hashes, number_rows_by_hash, seeded_hash
-from cohortry.operators.quality import duplicate_row_count
+from cohortry.operators.quality import duplicate_row_count, numeric_summary
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.skew import attach_group_size
 
@@ -18,10 +18,10 @@ SHARES = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60), st.integers(2, 20))
-def test_quantiles_equal_numpy(spark, values, buckets):
+@given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60), st.integers(1, 20))
+def test_quantiles_equal_numpy(spark, values, small):
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
-    got = exact_quantiles(df, ["x"], SHARES, buckets)["x"]
+    got = exact_quantiles(df, ["x"], SHARES, small=small)["x"]
     assert got == pytest.approx(np.quantile(values, SHARES).tolist(), rel=1e-12, abs=1e-9)
 
 
@@ -38,6 +38,24 @@ def test_quantiles_of_skewed_and_odd_columns(spark):
     assert got["inf"] == pytest.approx(np.quantile(np.arange(1, 3000), SHARES).tolist())
 
 
+def test_infinities_are_ranked_on_demand(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, inf)], "x double")
+    assert exact_quantiles(df, ["x"], (0.25, 0.5), infinite=True)["x"] == [1.75, 2.5]
+    row = numeric_summary(df).first()
+    assert (row.p25, row.p50, row.max) == (1.75, 2.5, inf)
+    both = spark.createDataFrame([(v,) for v in (-inf, -inf, 5.0, inf)], "x double")
+    assert exact_quantiles(both, ["x"], (0.0, 1.0), infinite=True)["x"] == [-inf, inf]
+
+
+def test_scores_that_are_all_infinite(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1, inf), (0, inf), (0, -inf)], "label int, score double")
+    assert m.roc_auc(df).first()[0] == 0.75
+    only = spark.createDataFrame([(1, inf), (0, inf)], "label int, score double")
+    assert m.roc_auc(only).first()[0] == 0.5 and m.pr_curve(only).count() == 2
+
+
 def auc_by_pairs(labels, scores):
     pos = [s for y, s in zip(labels, scores) if y == 1]
     neg = [s for y, s in zip(labels, scores) if y == 0]
