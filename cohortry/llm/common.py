@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 #: A group with more than 1/HOT_PARTS of all rows is hot; there are at most as many.
 HOT_PARTS = 10_000
-#: Rows of one Arrow batch: bounds a Python worker's memory where texts are long.
+#: Rows and bytes of one Arrow batch: bounds of a Python worker's memory.
 BATCH_ROWS = 1024
+BATCH_BYTES = 16 << 20
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,13 @@ _shipped: set[str] = set()
 
 def ready(spark) -> None:
     """Make a session ready for Python tasks: Arrow batches of at most BATCH_ROWS
-    rows, and this package on the tasks' path where it is not there anyway."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    rows and about BATCH_BYTES bytes, and this package on the tasks' path where it
+    is not there anyway."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
     package = Path(__file__).resolve().parent.parent
     known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     app = spark.sparkContext.applicationId

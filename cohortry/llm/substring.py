@@ -6,7 +6,7 @@ the chunk's other documents are already known to repeat it. Hashes travel packed
 by hash range, one binary row per chunk and range, so a passage that a third of
 all documents share costs one entry per chunk. Per range, the windows that also
 start in a smaller document are found and go back to their documents, where they
-merge into maximal removal intervals.
+merge into maximal removal intervals. A team is a fixed share of the documents.
 """
 
 from __future__ import annotations
@@ -22,18 +22,19 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import WordHash, batches_of, ready
 
 WINDOW = 50
-#: Windows held by a task at once, and at most about as many per hash range.
-CHUNK_WINDOWS = 1_000_000
+#: Windows of one chunk, and about the most of one hash range.
+CHUNK_WINDOWS = 500_000
 RANGE_WINDOWS = 2_000_000
+#: Documents whose removed places a task holds at once, about.
+TEAM_ROWS = 2048
 #: Odd multipliers of the two rolling hashes, modulo 2**64.
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 #: The white space that separates words: the other ASCII controls are word characters.
 _BLANKS = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
-_SENT = pa.schema([("range", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()),
-                   ("starts", pa.binary()), ("places", pa.binary()), ("hashes", pa.binary())])
-_SENT_DDL = ("range bigint, kind int, docs binary, starts binary, places binary, hashes binary")
-_BACK = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("places", pa.binary())])
+_SENT = pa.schema([("range", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+_SENT_DDL = "range bigint, kind int, body binary"
+_BACK = pa.schema([("team", pa.int64()), ("body", pa.binary())])
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -83,6 +84,30 @@ def _unplanes(packed: bytes, width: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(f"<i{width}").ravel().astype(np.int64))
 
 
+def pack_places(docs: np.ndarray, rows: np.ndarray, places: np.ndarray) -> bytes:
+    """Places of windows, each with its document and row, in a few bytes each."""
+    order = np.lexsort((places, rows, docs))
+    docs, rows, places = docs[order], rows[order], places[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])
+    first = np.flatnonzero(new)
+    parts = [_planes(docs[first], 8), rows[first].astype("<u4").tobytes(), _planes(first, 8),
+             _planes(places, 4)]
+    return b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
+
+
+def _parts(packed: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(packed, "<u8", n)).tolist()
+    return [packed[8 * n + a:8 * n + b] for a, b in zip([0, *ends], ends)]
+
+
+def unpack_places(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, their rows, where their places begin, and all places."""
+    docs, rows, first, places = _parts(packed, 4)
+    return (_unplanes(docs, 8), np.frombuffer(rows, "<u4").astype(np.int64), _unplanes(first, 8),
+            _unplanes(places, 4))
+
+
 class _Chunk:
     """Windows of some documents, in ascending order of document."""
 
@@ -127,10 +152,10 @@ class _Chunk:
         least = np.minimum.reduceat(ids[owner[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
         settled = ids[owner[order]] > least
         again = np.sort(order[settled])
-        for d in np.unique(owner[again]):
-            lo, hi = np.searchsorted(again, (starts[d], starts[d + 1]))
-            yield (int(rows[d] % self.ranges), 1, ids[d:d + 1].tobytes() + rows[d:d + 1].tobytes(),
-                   b"", (again[lo:hi] - starts[d]).astype("<i4").tobytes(), b"")
+        to = rows[owner[again]] % self.ranges
+        for k in np.unique(to):
+            at = again[to == k]
+            yield (int(k), 1, pack_places(ids[owner[at]], rows[owner[at]], at - starts[owner[at]]))
         # The smallest document's own repeats share its fate: each is sent.
         open_ = order[~settled]
         open_ = open_[np.argsort(ranges[open_].astype(np.uint32), kind="stable")]
@@ -144,9 +169,10 @@ class _Chunk:
             which = owner[at[begin]]
             # Places count from the chunk's first window; starts say where each
             # document's windows begin in it, and how many entries it has here.
-            yield (k, 0, _planes(ids[which], 8) + _planes(rows[which], 8),
-                   _planes(starts[which], 8) + _planes(begin, 8), _planes(at, 4),
-                   hashes[at].tobytes())
+            parts = [_planes(ids[which], 8), rows[which].astype("<u4").tobytes(),
+                     _planes(starts[which], 8), _planes(begin, 8), _planes(at, 4),
+                     hashes[at].tobytes()]
+            yield k, 0, b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
 
 
 def _send(window: int, ranges: int):
@@ -161,108 +187,121 @@ def _send(window: int, ranges: int):
                         yield from chunk.rows()
             yield from chunk.rows()
 
-        yield from batches_of(all_rows(), _SENT, weigh=lambda r: sum(map(len, r[2:])) + 64)
+        yield from batches_of(all_rows(), _SENT, weigh=lambda r: len(r[2]) + 64)
     return run
 
 
-def _halves(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    half = len(packed) // 2
-    return _unplanes(packed[:half], 8), _unplanes(packed[half:], 8)
-
-
-def _decide(entries: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
-    """Of one range: the places of windows that also start in a smaller document."""
+def _decide(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one range: the windows that also start in a smaller document, as
+    documents, rows and places."""
     hashes, docs, rows, places = [], [], [], []
-    for packed_docs, packed_starts, packed_places, packed_hashes in entries:
-        ids, row = _halves(packed_docs)
-        starts, begin = _halves(packed_starts)
-        at = _unplanes(packed_places, 4)
+    for packed in entries:
+        ids, row, starts, begin, at, h = _parts(packed, 6)
+        starts, begin, at = _unplanes(starts, 8), _unplanes(begin, 8), _unplanes(at, 4)
         per_doc = np.diff(np.append(begin, len(at)))
-        hashes.append(np.frombuffer(packed_hashes, np.uint64))
-        docs.append(np.repeat(ids, per_doc))
-        rows.append(np.repeat(row, per_doc))
-        places.append((at - np.repeat(starts, per_doc)).astype("<i4"))
+        hashes.append(np.frombuffer(h, np.uint64))
+        docs.append(np.repeat(_unplanes(ids, 8), per_doc))
+        rows.append(np.repeat(np.frombuffer(row, "<u4"), per_doc))
+        places.append((at - np.repeat(starts, per_doc)).astype(np.int32))
     h, d = np.concatenate(hashes), np.concatenate(docs)
     order = np.argsort(h)
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
     least = np.minimum.reduceat(d[order], np.flatnonzero(new))[np.cumsum(new) - 1]
     gone = order[d[order] > least]
-    d, r, p = d[gone], np.concatenate(rows)[gone], np.concatenate(places)[gone]
-    by_row = np.lexsort((p, r, d))
-    d, r, p = d[by_row], r[by_row], p[by_row]
-    cuts = np.flatnonzero(np.diff(r, prepend=0) | np.diff(d, prepend=0)) if len(r) else []
-    if len(r) and (not len(cuts) or cuts[0]):
-        cuts = np.concatenate([[0], cuts])
-    for a, b in zip(cuts, [*cuts[1:], len(r)]):
-        yield int(d[a]), int(r[a]), p[a:b].tobytes()
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A stream sorted by range: passes kind 1 on, decides kind 0 range by range."""
-    def all_rows() -> Iterator[tuple[int, int, bytes]]:
-        current, held = None, []
-        for batch in batches:
-            for k, kind, docs, starts, places, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind:
-                    yield (*np.frombuffer(docs, np.int64).tolist(), places)
-                    continue
-                if k != current and held:
-                    yield from _decide(held)
-                    held = []
-                current = k
-                held.append((docs, starts, places, hashes))
-        if held:
-            yield from _decide(held)
-
-    yield from batches_of(all_rows(), _BACK, weigh=lambda r: len(r[2]) + 48)
-
-
-def removed_windows(rows: DataFrame, n_bytes: int, window: int = WINDOW) -> DataFrame:
-    """(doc, row, places): for rows (doc, row, text as binary), the first words of
-    all windows whose word sequence also starts in a document with a smaller ``doc``.
-
-    A document has several of these rows. The number of hash ranges follows the bytes of
-    text, so that a range fits into a task at any size of input. Windows are told
-    apart by 64 bits and their range; about one false pair is expected at 10**14
-    bytes, as ranges grow with the input.
+    return d[gone], np.concatenate(rows)[gone].astype(np.int64), np.concatenate(places)[gone]
+
+
+def _judge(teams: int):
+    """For a stream sorted by range: decides range by range, and packs what is
+    removed by the team of documents that it belongs to."""
+    def finished(entries: list[bytes], known: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        parts = [_decide(entries)] if entries else []
+        for packed in known:
+            docs, rows, first, places = unpack_places(packed)
+            n = np.diff(np.append(first, len(places)))
+            parts.append((np.repeat(docs, n), np.repeat(rows, n), places))
+        docs, rows, places = (np.concatenate(c) for c in zip(*parts))
+        team = rows % teams
+        order = np.argsort(team, kind="stable")
+        cuts = np.searchsorted(team[order], np.arange(teams + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[k]:cuts[k + 1]]
+            yield int(k), pack_places(docs[at], rows[at], places[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def all_rows() -> Iterator[tuple[int, bytes]]:
+            current, held = None, ([], [])
+            for batch in batches:
+                for k, kind, body in zip(*(c.to_pylist() for c in batch.columns)):
+                    if k != current and current is not None:
+                        yield from finished(*held)
+                        held = ([], [])
+                    current = k
+                    held[kind].append(body)
+            if current is not None:
+                yield from finished(*held)
+
+        yield from batches_of(all_rows(), _BACK, weigh=lambda r: len(r[1]) + 48)
+    return run
+
+
+def removed_windows(rows: DataFrame, n_bytes: int, teams: int, window: int = WINDOW) -> DataFrame:
+    """(team, body): for rows (row, doc, text as binary), the first words of all
+    windows whose word sequence also starts in a document with a smaller ``doc``,
+    packed (see pack_places) by team, the remainder of ``row``.
+
+    The number of hash ranges follows the bytes of text, so that a range fits into
+    a task at any size of input. Windows are told apart by 64 bits and their
+    range; about one false pair is expected at 10**14 bytes, as ranges grow with
+    the input.
     """
     shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = 1 << max(4, math.ceil(math.log2(max(1, n_bytes // 6 // RANGE_WINDOWS, shuffles))))
     sent = rows.select("doc", "row", "text").mapInArrow(_send(window, ranges), _SENT_DDL)
     return (sent.repartition(F.col("range")).sortWithinPartitions("range")
-            .mapInArrow(_judge, "doc bigint, row bigint, places binary"))
+            .mapInArrow(_judge(teams), "team bigint, body binary"))
+
+
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
+                   ("intervals", pa.list_(pa.list_(pa.int32()))), ("kept_text", pa.binary())])
 
 
 def _strip(window: int):
+    """For a stream sorted by team and kind: first what is removed from a team's
+    documents, then their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, gone, kept, intervals = [], [], [], []
-            for text, parts in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
-                words = split_words(text)
-                n.append(len(words))
-                spans = removal_intervals(parts, window)
-                left, at = [], 0
-                for first, end in spans:
-                    left += words[at:first]
-                    at = end
-                left += words[at:]
-                gone.append(len(words) - len(left))
-                kept.append(b" ".join(left))
-                intervals.append(spans)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array(intervals, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_words", "n_removed", "intervals", "kept_text"])
+        def all_rows() -> Iterator[tuple]:
+            team, gone = None, {}
+            for batch in batches:
+                for t, kind, doc_id, doc, row, body in zip(*(c.to_pylist() for c in batch.columns)):
+                    if t != team:
+                        team, gone = t, {}
+                    if kind == 0:
+                        docs, rows, first, places = unpack_places(body)
+                        for d, r, part in zip(docs.tolist(), rows.tolist(),
+                                              np.split(places, first[1:])):
+                            gone.setdefault((d, r), []).append(part)
+                        continue
+                    words = split_words(body)
+                    spans = removal_intervals(gone.get((doc, row)), window)
+                    left, at = [], 0
+                    for a, b in spans:
+                        left += words[at:a]
+                        at = b
+                    left += words[at:]
+                    yield doc_id, len(words), len(words) - len(left), spans, b" ".join(left)
+
+        yield from batches_of(all_rows(), _KEPT, weigh=lambda r: len(r[4]) + 64)
     return run
 
 
-def removal_intervals(parts: list[bytes] | None, window: int) -> list[list[int]]:
+def removal_intervals(parts: list[np.ndarray] | None, window: int) -> list[list[int]]:
     """Maximal runs of words [first, end) covered by the windows that start at the
     given places."""
     if not parts:
         return []
-    at = np.unique(np.frombuffer(b"".join(parts), "<i4"))
+    at = np.unique(np.concatenate(parts))
     cuts = np.flatnonzero(np.concatenate([[True], np.diff(at) > window]))
     ends = at[np.append(cuts[1:] - 1, len(at) - 1)] + window
     return [[int(a), int(b)] for a, b in zip(at[cuts], ends)]
@@ -283,12 +322,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"),
                        F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
-                       F.xxhash64(key, raw).alias("row"), raw.alias("text"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    gone = (removed_windows(rows, n_bytes, window).groupBy("doc", "row")
-            .agg(F.collect_list("places").alias("parts")))
-    joined = rows.join(gone, ["doc", "row"], "left").select("doc_id", "text", "parts")
-    stripped = joined.mapInArrow(_strip(window), (
-        "doc_id bigint, n_words bigint, n_removed bigint, intervals array<array<int>>, "
-        "kept_text binary"))
+                       F.xxhash64(key, raw).bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"),
+                       raw.alias("text"))
+    n_rows, n_bytes = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    teams = max(4 * shuffles, n_rows // TEAM_ROWS)
+    gone = removed_windows(rows, n_bytes or 0, teams, window).select(
+        "team", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("doc_id"),
+        F.lit(None).cast("bigint").alias("doc"), F.lit(None).cast("bigint").alias("row"), "body")
+    texts = rows.select((F.col("row") % teams).alias("team"), F.lit(1).alias("kind"), "doc_id",
+                        "doc", "row", F.col("text").alias("body"))
+    stripped = gone.union(texts).repartition("team").sortWithinPartitions("team", "kind").mapInArrow(
+        _strip(window), "doc_id bigint, n_words bigint, n_removed bigint, "
+                        "intervals array<array<int>>, kept_text binary")
     return stripped.withColumn("kept_text", F.col("kept_text").cast("string"))

@@ -7,6 +7,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,12 +108,20 @@ def test_substring_dedup_of_odd_rows(spark, odd, clashing, nothing):
 
 
 def test_removal_intervals_are_maximal():
-    pack = lambda *xs: b"".join(x.to_bytes(4, "little") for x in xs)
-    assert substring.removal_intervals([pack(9, 1), pack(3, 40)], 5) == [[1, 8], [9, 14], [40, 45]]
-    assert substring.removal_intervals([pack(1), pack(6)], 5) == [[1, 11]]
+    at = lambda *parts: substring.removal_intervals([np.array(p) for p in parts], 5)
+    assert at([9, 1], [3, 40]) == [[1, 8], [9, 14], [40, 45]]
+    assert at([1], [6]) == [[1, 11]]
     assert substring.removal_intervals(None, 5) == []
 
 
+def test_places_survive_packing():
+    rng = np.random.default_rng(0)
+    docs, rows, places = rng.integers(-5, 5, 200), rng.integers(0, 2, 200) << 31, rng.integers(0, 9999, 200)
+    d, r, first, p = substring.unpack_places(substring.pack_places(docs, rows, places))
+    n = np.diff(np.append(first, len(p)))
+    assert sorted(zip(np.repeat(d, n), np.repeat(r, n), p)) == sorted(zip(docs, rows, places))
+
+
 def contamination_by_hand(rows, items, window):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
