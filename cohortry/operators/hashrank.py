@@ -29,11 +29,11 @@ def seeded_hash(key: Column, seed: int) -> Column:
 
 
 def seeded_row_hash(df: DataFrame, key: Column, seed: int) -> Column:
-    """A hash for drawing rows: never null, and equal only for rows that are
-    equal in all columns, which can stand for each other."""
-    name = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
-    whole = F.xxhash64(*[quoted(c) for c in df.columns])
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), name, whole.cast("string")).cast("binary"))
+    """The key's hash with the row's own behind it, for drawing rows: never null,
+    and equal only for rows that are equal in all columns, which can stand for
+    each other."""
+    name = F.coalesce(seeded_hash(key, seed), seeded_hash(F.lit("null"), seed))
+    return F.concat(name, F.hex(F.xxhash64(*[quoted(c) for c in df.columns])))
 
 
 def share_border(share: float) -> str:

@@ -46,6 +46,9 @@ BOOST_COLUMN_SHARE = "0.9"
 
 # ---------------------------------------------------------------- preprocessing
 
+EMPTY = "(empty)"
+
+
 def most_frequent(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mode (ties to the lowest value) and distinct count per column."""
     cells = [f"struct({i} AS column_index, CAST({sql_name(c)} AS STRING) AS value)"
@@ -96,8 +99,9 @@ def fit_preprocessor(train: DataFrame, inputs: list[str],
             parts.append("numeric__" + c)
     if categorical:
         for r in most_frequent(train, categorical).collect():
-            filled = f"coalesce(CAST({sql_name(r['column'])} AS STRING), " \
-                     f"{sql_text(r['mode'] or '')})"
+            # An empty text is a value like others, but a slot needs a name.
+            filled = f"coalesce(nullif(coalesce(CAST({sql_name(r['column'])} AS STRING), " \
+                     f"{sql_text(r['mode'] or '')}), ''), {sql_text(EMPTY)})"
             columns.append(f"{filled} AS {sql_name('filled__' + r['column'])}")
             if slots := hashed.get(r["column"]):
                 columns.append(f"CAST(pmod(xxhash64({filled}), {slots}) AS DOUBLE) "

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from cohortry.plans import (
-    drift_queries, metric_queries, model_queries, quality_queries, split_queries, text_queries,
+    drift_queries, job_queries, metric_queries, model_queries, quality_queries, split_queries,
+    text_queries,
 )
 
 _MODULES = (quality_queries, split_queries, drift_queries, metric_queries, text_queries,
-            model_queries)
+            model_queries, job_queries)
 
 
 def all_queries() -> dict:
