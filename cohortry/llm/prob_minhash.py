@@ -7,8 +7,9 @@ first. Two documents agree in a slot with their probability Jaccard similarity.
 
 Equal shingle sets are collapsed first, so copies in any number are one node.
 Nodes that share a band are linked to the smallest node of that bucket and
-verified on their texts; what then stays apart inside a bucket is compared in
-blocks. No pair inside a class is emitted, and no link between classes is lost.
+verified on their texts; what then stays apart is compared exactly in blocks.
+Tasks return links that join classes, never pairs inside one, and no link between
+classes is lost.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ THRESHOLD = 0.8
 #: (1 - 0.8**5)**25, about 5 in 100,000.
 BANDS = 25
 ROWS = 5
-#: Members of a mixed bucket that one task compares with as many others.
-BLOCK = 2048
+#: Nodes that one task compares with as many others.
+BLOCK = 1024
 #: Deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 4.5
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -236,45 +237,164 @@ def components(links: DataFrame) -> DataFrame:
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _cross_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Likely pairs with different labels between two blocks of one bucket, or
-    inside one block."""
-    least = least_estimate()
+class _Sets:
+    """Which of n items are joined so far, and the links that joined them."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, own = np.unique(labels, return_index=True, return_inverse=True)
+        self.top = first[own].astype(np.int64)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Link i to one member of each set among ``others`` but its own."""
+        tops, at = np.unique(self.top[others], return_index=True)
+        for top, k in zip(tops.tolist(), at.tolist()):
+            if top != self.top[i]:
+                self.links.append((i, int(others[k])))
+                self.top[self.top == top] = self.top[i]
+
+    def table(self, nodes: np.ndarray) -> pa.Table:
+        pairs = np.array(self.links, np.int64).reshape(-1, 2)
+        return pa.table([nodes[pairs[:, 0]], nodes[pairs[:, 1]]], schema=_PAIRS)
+
+
+def _blocks_of(held: DataFrame, group: str, carried: list[str]) -> DataFrame:
+    """Rows of groups of any ``size`` cut into blocks of about BLOCK nodes, each
+    once for every other block of its group. A block meets itself once, and every
+    other block with one of them as side 0."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    return (held.withColumn("blocks", blocks)
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(group, F.least("own", "other").alias("first"),
+                    F.greatest("own", "other").alias("second"),
+                    (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label",
+                    *carried))
+
+
+def _sides(key: tuple, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the two blocks' rows; the same ones where a block meets itself."""
     side = table.column("side").to_numpy()
+    left = np.flatnonzero(side == 0)
+    return left, left if key[1].as_py() == key[2].as_py() else np.flatnonzero(side == 1)
+
+
+def _likely_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Links that join all nodes of two blocks that are likely pairs with
+    different labels: a spanning forest of those pairs, not the pairs."""
+    least = least_estimate()
+    left, right = _sides(key, table)
     nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
     sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(nodes), -1)
-    same = key[1].as_py() == key[2].as_py()
-    left = np.flatnonzero(side == 0)
-    right = left if same else np.flatnonzero(side == 1)
-    out_a, out_b = [], []
+    sets = _Sets(np.arange(len(nodes)))
     for i in left:
-        others = right[nodes[right] > nodes[i]] if same else right
-        others = others[labels[others] != labels[i]]
-        hit = others[(sigs[others] == sigs[i]).mean(axis=1) >= least]
-        out_a.append(np.minimum(nodes[i], nodes[hit]))
-        out_b.append(np.maximum(nodes[i], nodes[hit]))
-    return pa.table([np.concatenate(out_a) if out_a else np.empty(0, np.int64),
-                     np.concatenate(out_b) if out_b else np.empty(0, np.int64)], schema=_PAIRS)
+        others = right[labels[right] != labels[i]]
+        sets.join(int(i), others[(sigs[others] == sigs[i]).mean(axis=1) >= least])
+    return sets.table(nodes)
+
+
+def _levels(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set as plain elements: element k of a shingle is there when it
+    occurs k times or more, and weighs what the k-th time adds."""
+    each = np.repeat(hashes, counts)
+    k = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
+    added = np.where(k == 0, 1.0, np.log1p(k) - np.log(np.maximum(k, 1)))
+    return each + k.astype(np.uint64) * np.uint64(_STEP), added.astype(np.float32)
+
+
+def _overlaps(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Sums of the smaller weights for all pairs of weighted sets, as products of
+    matrices over the elements that several sets share."""
+    sides = [[_levels(*s) for s in sets] for sets in (left, right)]
+    keys, n = np.unique(np.concatenate([e for side in sides for e, _ in side]), return_counts=True)
+    keys = keys[n > 1]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, len(keys), 2048):
+        part = keys[begin:begin + 2048]
+        matrices = []
+        for side, power in zip(sides, (1.0, 0.0)):
+            m = np.zeros((len(side), len(part)), np.float32)
+            for i, (elements, added) in enumerate(side):
+                at = np.searchsorted(part, elements)
+                hit = (at < len(part)) & (part[np.minimum(at, len(part) - 1)] == elements)
+                m[i, at[hit]] = added[hit] if power else 1.0
+            matrices.append(m)
+        out += matrices[0] @ matrices[1].T
+    return out
+
+
+def _exact_links(threshold: float):
+    def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """Links between nodes of two blocks that reach the threshold and join what
+        is not joined yet.
+
+        With I the sum of smaller weights, the similarity lies between I / (A + B
+        - I) and I / min(A, B), and equals the former where no weight is above 1;
+        only in between is it worked out pair by pair.
+        """
+        left, right = _sides(key, table)
+        nodes = table.column("node").to_numpy()
+        sets = _Sets(table.column("label").to_numpy())
+        weighted = []
+        for h, c in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist()):
+            weighted.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)))
+        sums = np.array([weights_of(c).sum() for _, c in weighted])
+        plain = np.array([c.max() == 1 for _, c in weighted])
+        both = _overlaps([weighted[i] for i in left], [weighted[i] for i in right])
+        for row, i in zip(both, left):
+            # A little slack for sums in single precision; such pairs are worked out.
+            low = row / (sums[i] + sums[right] - row)
+            high = row / np.minimum(sums[i], sums[right])
+            sure = low >= threshold + 1e-5
+            sets.join(int(i), right[sure])
+            unsure = ~sure & (np.where(plain[i] & plain[right], low, high) >= threshold - 1e-5)
+            for j in right[unsure]:
+                if sets.top[i] != sets.top[j]:
+                    (ha, ca), (hb, cb) = weighted[i], weighted[j]
+                    if probability_jaccard(ha, weights_of(ca), hb, weights_of(cb)) >= threshold:
+                        sets.join(int(i), np.array([j]))
+        return sets.table(nodes)
+    return links
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, hashes, counts) of the texts of (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            found = [weighted_shingles(t, known) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()),
+                 pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())],
+                names=["node", "hashes", "counts"])
+    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes binary, counts binary")
+
 
+def _links_between_labels(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame,
+                          threshold: float) -> DataFrame:
+    """Links that join the labels of nodes which share a bucket and reach the
+    threshold.
 
-def _mixed_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely pairs of nodes that share a bucket and have different labels."""
+    First the nodes that likely pairs connect are gathered by component, each once
+    however many buckets it shares; then all nodes of a component that differ in
+    label are compared exactly, block by block. Tasks return links that join, so
+    the rows are as many as the nodes at most, however many pairs are compared.
+    """
     labelled = settle(members.join(labels, "node", "left").select(
-        "bucket", "node", "n", F.coalesce("label", "node").alias("label")))
+        "bucket", "node", F.coalesce("label", "node").alias("label")))
     mixed = settle(labelled.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
         .where("low != high").select("bucket", "size"))
     held = join_groups(labelled, mixed, "bucket", "size", labelled.count()).where("size IS NOT NULL")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    cut = (held.withColumn("blocks", blocks)
-           .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("bucket", "node", "label", F.least("own", "other").alias("first"),
-                   F.greatest("own", "other").alias("second"),
-                   (F.col("own") > F.col("other")).cast("int").alias("side")))
-    # A block meets itself once, and every other block with one of them as side 0.
-    return (cut.join(sigs.select("node", "sig"), "node").groupBy("bucket", "first", "second")
-            .applyInArrow(_cross_pairs, "a bigint, b bigint").distinct())
+    likely = _blocks_of(held, "bucket", []).join(sigs.select("node", "sig"), "node").groupBy(
+        "bucket", "first", "second").applyInArrow(_likely_links, "a bigint, b bigint")
+    parts = settle(components(settle(likely)).withColumnRenamed("label", "part"))
+    sizes = settle(parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")))
+    placed = join_groups(parts, sizes, "part", "size", parts.count()).join(
+        labels, "node", "left").select("part", "node", "size", F.coalesce("label", "node").alias("label"))
+    sets = settle(_shingle_sets(texts.join(parts.select("node"), "node", "left_semi")))
+    return _blocks_of(placed, "part", []).join(sets, "node").groupBy(
+        "part", "first", "second").applyInArrow(_exact_links(threshold), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -308,8 +428,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = settle(_likely(stars, sigs))
     links = settle(_verified(stars, texts, threshold))
     labels = settle(components(links))
-    mixed = _mixed_pairs(members.select("bucket", "node", "n"), labels, sigs)
-    more = settle(_verified(mixed.join(stars, ["a", "b"], "left_anti"), texts, threshold))
+    more = settle(_links_between_labels(members, labels, sigs, texts, threshold))
     if not more.isEmpty():
         labels = settle(components(links.union(more)))
     return _classes(sig, nodes, labels, total)

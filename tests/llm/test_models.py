@@ -112,15 +112,53 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(sizes)
 
 
-def test_mixed_buckets_are_compared_across_classes(spark):
-    """Nodes that only a bucket's other members are similar to."""
-    members = spark.createDataFrame([(7, n, 5) for n in range(5)], "bucket long, node long, n long")
+def test_links_between_labels(spark, monkeypatch):
+    """Nodes that only other members of a bucket are similar to; every block size
+    gives the same classes as all pairs."""
+    rng = random.Random(8)
+    base = [f"u{i}" for i in range(70)] + ["again and once more and again"] * 4
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randrange(7)):
+            words[rng.randrange(len(words))] = f"z{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(words))
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    texts_df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string")
+    members = spark.createDataFrame([(7, n, 40) for n in range(40)], "bucket long, node long, n long")
     labels = spark.createDataFrame([(0, 0), (1, 0)], "node long, label long")
-    sig = lambda x: np.full(pm.BANDS * pm.ROWS, x, "<u4").tobytes()
-    sigs = spark.createDataFrame([(0, sig(1)), (1, sig(2)), (2, sig(2)), (3, sig(3)), (4, sig(3))],
-                                 "node long, sig binary")
-    got = {tuple(r) for r in pm._mixed_pairs(members, labels, sigs).collect()}
-    assert got == {(1, 2), (3, 4)}
+    known = WordHash()
+    sigs = spark.createDataFrame(
+        [(i, (pm.signature(h, pm.weights_of(c), 125) >> np.uint64(32)).astype("<u4").tobytes())
+         for i, (h, c) in enumerate(pm.weighted_shingles(t, known) for t in texts)],
+        "node long, sig binary")
+    want = classes_by_hand(rows)
+    assert 2 < len(set(want.values())) < 40
+    for block in (5, 1000):
+        monkeypatch.setattr(pm, "BLOCK", block)
+        links = [tuple(r) for r in pm._links_between_labels(members, labels, sigs, texts_df, 0.8).collect()]
+        assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in links)
+        got = {r.node: r.label for r in pm.components(
+            spark.createDataFrame([*links, (0, 1)], "a long, b long")).collect()}
+        together = want[0] == want[1]
+        assert not together or {i: got.get(i, i) for i in range(40)} == want
+
+
+def test_overlap_and_its_bounds():
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(30):
+        h = np.unique(rng.integers(0, 40, 25)).astype(np.uint64)
+        sets.append((h, rng.integers(1, 5, len(h))))
+    both = pm._overlaps(sets[:10], sets[10:])
+    for i, (ha, ca) in enumerate(sets[:10]):
+        for j, (hb, cb) in enumerate(sets[10:]):
+            a, b = dict(zip(ha, pm.weights_of(ca))), dict(zip(hb, pm.weights_of(cb)))
+            smaller = sum(min(a[x], b[x]) for x in set(a) & set(b))
+            assert both[i, j] == pytest.approx(smaller, rel=1e-5)
+            exact = pm.probability_jaccard(ha, pm.weights_of(ca), hb, pm.weights_of(cb))
+            total = sum(a.values()), sum(b.values())
+            assert smaller / (sum(total) - smaller) - 1e-9 <= exact <= smaller / min(total) + 1e-9
 
 
 def test_components_of_chains_and_stars(spark):
@@ -373,16 +411,18 @@ def test_token_files_round_trip(spark, odd, clashing, nothing, monkeypatch, limi
     assert tf.round_trip(nothing).count() == 0
 
 
-def test_sequences_are_slices_of_one_buffer(tmp_path):
-    out = tf.SequenceFile(pa.fs.LocalFileSystem(), str(tmp_path / "x.arrow"))
-    docs = [np.arange(n, dtype="<u4") for n in (5, 0, 300_000, 1, 2043)]
+@pytest.mark.parametrize("kind", [pa.uint16(), pa.uint32()])
+def test_sequences_are_slices_of_one_buffer(tmp_path, kind):
+    assert tf.id_type(1 << 16) == pa.uint16() and tf.id_type(65_537) == pa.uint32()
+    out = tf.SequenceFile(pa.fs.LocalFileSystem(), str(tmp_path / "x.arrow"), kind)
+    docs = [np.arange(n, dtype="<u4") % 60_000 for n in (5, 0, 300_000, 1, 2043)]
     for i, ids in enumerate(docs):
         out.add(i, ids.tobytes())
     out.close()
     with pa.memory_map(str(tmp_path / "x.arrow")) as file:
         batches = list(pa.ipc.open_stream(file))
         flat = [b.column("input_ids").flatten().to_numpy(zero_copy_only=True) for b in batches]
-        mask = np.concatenate([b.column("mask").flatten().to_numpy() for b in batches])
+        mask = np.concatenate([b.column("mask").flatten().to_numpy(zero_copy_only=False) for b in batches])
         whole = np.concatenate(docs)
         assert (np.concatenate(flat)[:len(whole)] == whole).all() and mask.sum() == len(whole)
         assert mask[:len(whole)].all() and len(mask) % tf.SEQUENCE == 0
