@@ -2,9 +2,10 @@
 
 All documents' ids, each document closed by an end id, form one stream in
 ascending order of document. A file holds a piece of it, cut into sequences of
-``SEQUENCE`` ids as fixed-size lists, with a mask of the same shape that is 1 for
-ids and 0 for the padding at a file's end. A memory-mapped file gives sequence
-k as a slice of one buffer. Each batch also lists where documents begin.
+``SEQUENCE`` ids as fixed-size lists, with a mask of the same shape, one bit each,
+that is true for ids and false for the padding at a file's end. Ids take two bytes
+where the vocabulary allows. A memory-mapped file gives sequence k as a slice of
+one buffer. Each batch also lists where documents begin.
 
 Files are Arrow stream files: schema, then record batches of BATCH sequences.
 A task's files have names of their own; the written index table names those that
@@ -109,19 +110,26 @@ class WordEncoder:
                 for t, words in zip(texts, split)]
 
 
-_FILE = pa.schema([("input_ids", pa.list_(pa.uint32(), SEQUENCE)),
-                   ("mask", pa.list_(pa.uint8(), SEQUENCE)),
-                   ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32()))])
+_DOC_IDS, _DOC_STARTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _INDEX = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()),
                     ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def id_type(vocabulary: int) -> pa.DataType:
+    """The narrowest type for the ids of a vocabulary."""
+    return pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+
+
 class SequenceFile:
     """One file being written. Ids beyond a full batch are written at once."""
 
-    def __init__(self, store, path: str):
+    def __init__(self, store, path: str, kind: pa.DataType):
+        self.schema = pa.schema([("input_ids", pa.list_(kind, SEQUENCE)),
+                                 ("mask", pa.list_(pa.bool_(), SEQUENCE)),
+                                 ("doc_ids", _DOC_IDS), ("doc_starts", _DOC_STARTS)])
+        self.kind = kind
         self.sink = store.open_output_stream(path, compression=None)
-        self.writer = pa.ipc.new_stream(self.sink, _FILE)
+        self.writer = pa.ipc.new_stream(self.sink, self.schema)
         self.held, self.n, self.starts = [], 0, []
         self.n_docs = self.n_tokens = self.sequences = 0
 
@@ -138,8 +146,8 @@ class SequenceFile:
         """Write the first n sequences, the last one padded where ids run out."""
         ids = np.frombuffer(b"".join(self.held), "<u4")
         size = n * SEQUENCE
-        mask = (np.arange(size) < len(ids)).astype(np.uint8)
-        full = np.zeros(size, np.uint32)
+        mask = np.arange(size) < len(ids)
+        full = np.zeros(size, self.kind.to_pandas_dtype())
         full[:min(size, len(ids))] = ids[:size]
         docs, starts = [[] for _ in range(n)], [[] for _ in range(n)]
         for doc, at in self.starts:
@@ -152,8 +160,8 @@ class SequenceFile:
             self.writer.write_batch(pa.RecordBatch.from_arrays(
                 [pa.FixedSizeListArray.from_arrays(pa.array(full[cut]), SEQUENCE),
                  pa.FixedSizeListArray.from_arrays(pa.array(mask[cut]), SEQUENCE),
-                 pa.array(docs[i:j], _FILE.field("doc_ids").type),
-                 pa.array(starts[i:j], _FILE.field("doc_starts").type)], schema=_FILE))
+                 pa.array(docs[i:j], _DOC_IDS), pa.array(starts[i:j], _DOC_STARTS)],
+                schema=self.schema))
         self.starts = [(doc, at - size) for doc, at in self.starts if at >= size]
         self.held, self.n = [ids[size:].tobytes()], max(0, len(ids) - size)
         self.sequences += n
@@ -174,6 +182,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
         encoder, out, name, done = _encoder(tokenizer), None, "", []
+        kind = id_type(max(len(encoder.ends), end_id + 1))
 
         def finish() -> None:
             out.close()
@@ -184,7 +193,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
             for doc, packed in zip(ids, encoder.encode(texts)):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.arrow"
-                    out = SequenceFile(store, f"{base}/{name}")
+                    out = SequenceFile(store, f"{base}/{name}", kind)
                 out.add(doc, packed + end)
                 if out.sequences >= FILE_SEQUENCES:
                     finish()
@@ -226,7 +235,7 @@ def _documents(stream, before: int) -> Iterator[tuple]:
     doc, start, n, crc, at = None, None, 0, 0, before
     for batch in pa.ipc.open_stream(stream):
         ids = batch.column("input_ids").flatten().to_numpy()
-        real = int(batch.column("mask").flatten().to_numpy().sum())
+        real = batch.column("mask").flatten().true_count
         begins = [(d, i * SEQUENCE + s) for i, (ds, ss) in enumerate(zip(
             batch.column("doc_ids").to_pylist(), batch.column("doc_starts").to_pylist()))
             for d, s in zip(ds, ss)]
