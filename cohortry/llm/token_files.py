@@ -18,6 +18,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,16 @@ BATCH = 64
 FILE_SEQUENCES = 1 << 15
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 400_000
-#: Control characters and others on which the two sides' white space may differ.
+#: Control characters on which the two sides' white space may differ.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
-#: A run of Latin letters and a run of signs. Small letters of these are one
-#: letter each, and none is composed or taken apart.
+#: What keeps a text from being turned into small letters first: those characters,
+#: characters beyond the first 256, whose small letters are not one for one, and
+#: what may begin a special token.
+_UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-\xff]|<\\|")
+#: A run of Latin letters and a run of signs: two pieces. None of these letters is
+#: composed or taken apart.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%#&|()]*)")
+_SIGNS = frozenset(".,!?;:*$%#&|()")
 
 
 def default_tokenizer() -> str:
@@ -53,17 +60,20 @@ class WordEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
     The vocabulary drops white space and never merges across it, so a text's ids
-    are those of its words in turn. A word of plain letters with signs after it
-    is two of its pieces. What is neither goes to the library as it stands, and a
-    text with control characters as a whole.
+    are those of its words in turn. A word of plain letters with signs after it is
+    two pieces, which go straight to the library's model, in the characters that
+    its byte step gives them. Any other word goes through the whole tokenizer, and
+    so does a text with control characters.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        names = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(names.values()) + 1, bool)
-        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.size = self.tokenizer.get_vocab_size()
+        letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.bytes_of = str.maketrans({c: split(c)[0][0] for c in letters})
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -71,40 +81,39 @@ class WordEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """Ids of unknown pieces, many in one call; every piece ends in an id that
-        marks a word's end."""
-        if len(self.pieces) > KEPT_WORDS:
-            self.pieces.clear()
-        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(pieces) or (len(cuts) and cuts[-1] != len(ids)):
-            self.pieces.update((p, self._whole(p)) for p in pieces)
-            return
-        packed, begin = ids.tobytes(), 0
-        for piece, end in zip(pieces, (cuts * 4).tolist()):
-            self.pieces[piece] = packed[begin:end]
-            begin = end
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        split = {w: m.groups() for w in words if (m := _SIMPLE.fullmatch(w))}
-        wanted = {p for a, b in split.values() for p in (a.lower(), b) if p}
-        if unknown := [p for p in wanted if p not in self.pieces]:
-            self._learn_pieces(unknown)
-        for w in words:
-            pair = split.get(w)
-            self.words[w] = self._whole(w) if pair is None else (
-                self.pieces[pair[0].lower()] + (self.pieces[pair[1]] if pair[1] else b""))
+    def _piece(self, piece: str) -> bytes:
+        known = self.pieces.get(piece)
+        if known is None:
+            if len(self.pieces) > KEPT_WORDS:
+                self.pieces.clear()
+            plain = piece if piece.isascii() else piece.translate(self.bytes_of)
+            ids = [t.id for t in self.tokenize(plain)]
+            known = self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
+        return known
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii():
+            # The two commonest forms, without a pattern.
+            if word.isalpha():
+                return self._piece(word.lower())
+            if word[-1] in _SIGNS and word[:-1].isalpha():
+                return self._piece(word[:-1].lower()) + self._piece(word[-1])
+        if found := _SIMPLE.fullmatch(word):
+            letters, signs = found.groups()
+            return self._piece(letters.lower()) + (self._piece(signs) if signs else b"")
+        return self._whole(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        unknown = {w for words in split if words for w in words if w not in self.words}
-        if unknown:
-            fresh = len(self.words) + len(unknown) > KEPT_WORDS
-            self._learn({w for words in split if words for w in words} if fresh else unknown)
+        split = [t.lower().split() if not _UNUSUAL.search(t) else
+                 None if _ODD.search(t) else t.split() for t in texts]
+        wanted = set(chain.from_iterable(words for words in split if words))
+        unknown = wanted.difference(self.words)
+        if len(self.words) + len(unknown) > KEPT_WORDS:
+            self.words.clear()
+            unknown = wanted
+        for word in unknown:
+            self.words[word] = self._word(word)
         known = self.words.__getitem__
         return [self._whole(t) if words is None else b"".join(map(known, words))
                 for t, words in zip(texts, split)]
@@ -182,7 +191,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
         encoder, out, name, done = _encoder(tokenizer), None, "", []
-        kind = id_type(max(len(encoder.ends), end_id + 1))
+        kind = id_type(max(encoder.size, end_id + 1))
 
         def finish() -> None:
             out.close()
