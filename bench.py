@@ -21,7 +21,8 @@ HEADLINES = (
     "feature_stats", "psi_events", "drift_by_feature", "monitoring_summary", "roc_auc_lines",
     "pr_curve_lines", "calibration_curve", "binary_metrics", "multiclass_metrics",
     "resample_under", "resample_over", "mean_abs_contributions", "explained_rows",
-    "prediction_log", "logistic_scores",
+    "prediction_log", "logistic_scores", "feature_split_store", "psi_by_value",
+    "resample_under_repeated_keys", "resample_over_null_keys",
 )
 
 

@@ -28,7 +28,7 @@ from cohortry.operators.metrics import (
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.schema import numeric_and_categorical, require_columns
 from cohortry.operators.shadow import select_features
-from cohortry.sources.scratch import settle
+from cohortry.sources.scratch import allow_checkpoints, settle
 
 FAMILIES = ("logistic_regression", "random_forest", "boosted_trees")
 SAMPLINGS = ("none", "over", "under")
@@ -37,6 +37,7 @@ SAMPLINGS = ("none", "over", "under")
 LOGISTIC_MAX_ITER = 2000
 FOREST_TREES = 400
 FOREST_DEPTH = 30  # the most MLlib takes; the wanted depth is unlimited
+FOREST_MEMORY_MB = 1024  # counts of the nodes split in one pass; deep trees have many
 BOOST_ROUNDS = 350
 BOOST_DEPTH = 6
 BOOST_RATE = 0.05
@@ -249,7 +250,8 @@ def build_estimator(family: str, task: str, n_rows: float, seed: int = 42,
     if family == "random_forest":
         return RandomForestClassifier(**{
             "numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "minInstancesPerNode": 1,
-            "featureSubsetStrategy": "sqrt", "seed": seed, **weight, **params})
+            "featureSubsetStrategy": "sqrt", "maxMemoryInMB": FOREST_MEMORY_MB, "seed": seed,
+            **weight, **params})
     if family == "boosted_trees":
         boosted = GBTClassifier(**{
             "maxIter": BOOST_ROUNDS, "maxDepth": BOOST_DEPTH, "stepSize": BOOST_RATE,
@@ -357,6 +359,7 @@ def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, targe
     estimator settings by family, ``selection`` those of the feature selection.
     """
     samplings = ("none",) if task == "multiclass" else tuple(samplings)
+    allow_checkpoints(splits.sparkSession)
     table = labelled(splits, task, target, labels)
     pre = fit_preprocessor(table.where("split = 'train'"), inputs)
     vectors = pre.transform(table).select(quoted(key).alias("row_key"), "split", "label", "features")

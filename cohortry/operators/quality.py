@@ -24,6 +24,7 @@ from cohortry.operators.schema import (
     FeatureCandidacy, column_role, numeric_and_categorical, require_columns,
 )
 from cohortry.operators.skew import attach_group_size
+from cohortry.sources.scratch import settle
 
 _KINDS = {NULL: "standard_null", QUESTION_MARK: "question_mark", EMPTY: "empty_string",
           BLANK: "whitespace_only"}
@@ -34,14 +35,9 @@ def _one_row_to_many(one_row: DataFrame, structs: list[str]) -> DataFrame:
     return one_row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def missingness(df: DataFrame, columns=None) -> DataFrame:
-    """Missing counts per column by kind, highest rate first.
-
-    A single pass: each cell is classed once, and one aggregation counts the
-    classes of every column.
-    """
-    columns = list(df.columns if columns is None else columns)
-    kinds = df.select(*[cell_kind(df, c).alias(f"k{i}") for i, c in enumerate(columns)])
+def _missing_parts(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str], list]:
+    """Sums over cell kinds k0, k1, ..., the rows made of them, and the cell kinds."""
+    kinds = [cell_kind(df, c).alias(f"k{i}") for i, c in enumerate(columns)]
     sums, rows = ["count(1) AS rows"], []
     for i, name in enumerate(columns):
         is_text = isinstance(df.schema[name].dataType, T.StringType)
@@ -57,7 +53,18 @@ def missingness(df: DataFrame, columns=None) -> DataFrame:
             f"{total} AS missing_count, "
             f"CASE WHEN rows > 0 THEN ({total}) / rows ELSE 0D END AS missing_rate, "
             + ", ".join(f"{v} AS {k}_count" for k, v in counts.items()) + ")")
-    table = _one_row_to_many(kinds.selectExpr(*sums), rows)
+    return sums, rows, kinds
+
+
+def missingness(df: DataFrame, columns=None) -> DataFrame:
+    """Missing counts per column by kind, highest rate first.
+
+    A single pass: each cell is classed once, and one aggregation counts the
+    classes of every column.
+    """
+    columns = list(df.columns if columns is None else columns)
+    sums, rows, kinds = _missing_parts(df, columns)
+    table = _one_row_to_many(df.select(*kinds).selectExpr(*sums), rows)
     return table.orderBy(F.desc("missing_rate"), "column_index")
 
 
@@ -212,22 +219,29 @@ def numeric_summary(df: DataFrame, columns=None, exact: bool = True) -> DataFram
     return _one_row_to_many(numbers.selectExpr(*sums), rows)
 
 
+def _countable(df: DataFrame, columns) -> list[str]:
+    return [c for c in columns if c in df.columns and is_numeric(df.schema[c].dataType)]
+
+
+def _negative_rows(names: list[str]) -> list[str]:
+    return [f"struct({sql_text(c)} AS column, n{i} AS negative_count)" for i, c in enumerate(names)]
+
+
 def negative_counts(df: DataFrame, columns=presets.COUNT_COLUMNS) -> DataFrame:
     """Negative values in count-like numeric columns."""
-    present = [c for c in columns if c in df.columns and is_numeric(df.schema[c].dataType)]
+    present = _countable(df, columns)
     if not present:
         return df.sparkSession.createDataFrame([], "column string, negative_count long")
     one_row = df.selectExpr(*[f"count_if({sql_name(c)} < 0) AS n{i}"
                               for i, c in enumerate(present)])
-    return _one_row_to_many(one_row, [
-        f"struct({sql_text(c)} AS column, n{i} AS negative_count)" for i, c in enumerate(present)])
+    return _one_row_to_many(one_row, _negative_rows(present))
 
 
 def label_issues(df: DataFrame, column: str = presets.TARGET_COLUMN,
                  allowed=presets.CLASS_LABELS) -> DataFrame:
     """Rows (issue, label, n): missing labels, labels not allowed, labels absent."""
-    seen = (df.groupBy(stripped(column).alias("label"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    seen = settle(df.groupBy(stripped(column).alias("label"))
+                  .agg(F.count(F.lit(1)).alias("n")))
     issue = (F.when(F.col("label").isNull(), F.lit("missing"))
              .when(~F.col("label").isin(*allowed), F.lit("unexpected")))
     bad = seen.withColumn("issue", issue).where("issue IS NOT NULL").select("issue", "label", "n")
@@ -270,8 +284,15 @@ def validation_report(df: DataFrame, target: str = presets.TARGET_COLUMN,
         return table.select(F.lit(rule).alias("rule"), subject.alias("subject"),
                             value.cast("double").alias("value"), bad.alias("violated"))
 
-    # Rates and the token total come from one pass over the table.
-    cells = missingness(df).selectExpr(
+    # Rates, the token total and negative values come from one pass over the table.
+    sums, missing_rows, kinds = _missing_parts(df, df.columns)
+    present = _countable(df, count_columns)
+    below = [F.expr(f"{sql_name(c)} < 0").alias(f"b{i}") for i, c in enumerate(present)]
+    one_row = settle(df.select(*kinds, *below).selectExpr(
+        *sums, *[f"count_if(b{i}) AS n{i}" for i in range(len(present))]))
+    negatives = (_one_row_to_many(one_row, _negative_rows(present)) if present
+                 else spark.createDataFrame([], "column string, negative_count long"))
+    cells = _one_row_to_many(one_row, missing_rows).selectExpr(
         "stack(2, 'high_missingness', column, missing_rate, 'question_mark_tokens', '*', "
         "CAST(question_mark_count AS DOUBLE)) AS (rule, subject, value)")
     summed = cells.groupBy("rule", "subject").agg(F.sum("value").alias("value"))
@@ -282,7 +303,7 @@ def validation_report(df: DataFrame, target: str = presets.TARGET_COLUMN,
         rows(duplicate_row_count(df), "duplicate_rows", F.lit("*"),
              F.col("duplicate_rows"), F.col("duplicate_rows") > 0),
         summed.withColumn("violated", is_bad),
-        rows(negative_counts(df, count_columns), "negative_values", F.col("column"),
+        rows(negatives, "negative_values", F.col("column"),
              F.col("negative_count"), F.col("negative_count") > 0),
     ]
     if id_column in df.columns:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.tokens import quoted, sql_name
 from cohortry.sources.scratch import settle
 
-HOT_KEYS = 1000
+HOT_KEYS = 10_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 _ROW_OVERHEAD = 64
 
@@ -20,7 +20,7 @@ def _bytes_of(sizes: DataFrame, keys: list[str]) -> int:
 
 
 def attach_group_size(df: DataFrame, keys: list[str], name: str, at_least: int = 1,
-                      hot_keys: int = HOT_KEYS, salts: int = 256,
+                      hot_keys: int = HOT_KEYS,
                       broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Every row with the number of rows that share its key; null for groups
     smaller than ``at_least`` and for rows with a null key.
@@ -28,12 +28,12 @@ def attach_group_size(df: DataFrame, keys: list[str], name: str, at_least: int =
     A window over the key would put all rows of one key into one task. Sizes
     are counted with map-side combine instead, written once, measured, and
     joined back. A size table below ``broadcast_bytes`` is broadcast, and no row
-    is shuffled. Beyond that the join is shuffled, all but the ``hot_keys``
-    largest groups: these - a list of fixed length - are broadcast, and their
-    rows pass the shuffle under keys of their own that no size row has, spread
-    by the task that read them. A repeated task has the same number, and even
-    equal rows are spread. What is left for one join key is smaller than each
-    of the broadcast groups.
+    is shuffled. Beyond that the join is shuffled, all but the groups with more
+    than 1/``hot_keys`` of the counted rows: there are at most ``hot_keys`` of
+    them, so they are broadcast, and their rows pass the shuffle under keys of
+    their own that no size row has, one for each task that read them. A repeated
+    task has the same number, and even equal rows are spread. What is left for
+    one join key is at most that share of the rows.
     """
     known = " AND ".join(f"{sql_name(k)} IS NOT NULL" for k in keys)
     sizes = settle(df.where(known).groupBy(*[quoted(k) for k in keys])
@@ -42,9 +42,10 @@ def attach_group_size(df: DataFrame, keys: list[str], name: str, at_least: int =
     if _bytes_of(sizes, keys) <= broadcast_bytes:
         return (df.join(F.broadcast(sizes), keys, "left")
                 .select(*rows, F.col("_size").alias(name)))
-    hot = (sizes.orderBy(F.desc("_size"), *[quoted(k) for k in keys]).limit(hot_keys)
+    counted = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    hot = (sizes.where(F.col("_size") * F.lit(hot_keys) > F.lit(counted))
            .withColumnRenamed("_size", "_hot"))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts)) + F.lit(1)
+    spread = F.spark_partition_id() + F.lit(1)
     marked = (df.withColumn("_spread", spread).join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.expr("CASE WHEN _hot IS NOT NULL THEN _spread ELSE 0 END")))
     joined = marked.join(sizes.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left")

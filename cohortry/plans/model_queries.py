@@ -3,8 +3,12 @@
 Model weights have no SQL form, so results here are facts that must hold for a
 fitted model, and SQL gives what they must be: every row scored with proper
 probabilities, metrics that plain counts confirm, a model that has learned what
-the classes differ in. Estimators run with their default settings on all columns
-that a model may read.
+the classes differ in. All columns that a model may read go in.
+
+Every family runs with its default settings in a query of its own (logistic_scores,
+logistic_multiclass_scores, forest_scores, boosted_scores). Queries that fit several
+trees models at once use the smaller settings in SMALL, as the default ones would
+take most of an hour on the test tables.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ from cohortry.sources import store
 from cohortry.sources.scratch import scratch_path, settle
 
 
+SMALL = {"random_forest": {"numTrees": 40, "maxDepth": 10},
+         "boosted_trees": {"maxIter": 10, "maxDepth": 4}}
+
+
 def prepared(spark, sf):
     rows = engineered(spark, sf).withColumn(
         presets.BINARY_TARGET_COLUMN, binary_target("readmitted"))
@@ -44,9 +52,9 @@ def _labels(task: str):
     return None if task == "binary" else list(presets.CLASS_LABELS)
 
 
-def _sweep(rows, task, families, samplings=("none",), select="none"):
+def _sweep(rows, task, families, samplings=("none",), params=None):
     return learn.train_sweep(rows, task, _inputs(rows), "encounter_id", _target(task), families,
-                             samplings, select)
+                             samplings, params=params)
 
 
 def _scored_facts(rows, best, task):
@@ -87,10 +95,10 @@ def _beats_chance(scored, task) -> bool:
     return loss < chance
 
 
-def _scores(family: str, task: str, name: str):
+def _scores(family: str, task: str, name: str, params: dict | None = None):
     def query(spark, sf):
         rows = prepared(spark, sf)
-        _, best = _sweep(rows, task, (family,))
+        _, best = _sweep(rows, task, (family,), params=params)
         return _scored_facts(rows, best, task)
 
     query.__name__ = name
@@ -100,7 +108,7 @@ def _scores(family: str, task: str, name: str):
 def training_sweep(spark, sf):
     """Every family with every sampling: the run table, with the rows measured
     and whether all metrics are there and lie between 0 and 1."""
-    found, best = _sweep(prepared(spark, sf), "binary", learn.FAMILIES, learn.SAMPLINGS)
+    found, best = _sweep(prepared(spark, sf), "binary", learn.FAMILIES, learn.SAMPLINGS, SMALL)
     table = runs.run_table(spark, found)
     shares = F.array(*[F.col(part)[m] for part in ("val", "test")
                        for m in ("precision", "recall", "f1", "roc_auc")])
@@ -185,7 +193,7 @@ def top_linear_features(spark, sf):
 def forest_importances(spark, sf):
     """Importances of all slots: none negative, together 1, largest first, and only
     slots of the model."""
-    _, best = _sweep(prepared(spark, sf), "binary", ("random_forest",))
+    _, best = _sweep(prepared(spark, sf), "binary", ("random_forest",), params=SMALL)
     found = explain.tree_importances(best.model.stages[-1], best.slots, spark, len(best.slots))
     values = [r["importance"] for r in found.collect()]
     return spark.createDataFrame(
@@ -258,7 +266,7 @@ QUERIES = {
     "forest_scores": _scores("random_forest", "multiclass", "forest_scores"),
     "boosted_scores": _scores("boosted_trees", "binary", "boosted_scores"),
     "boosted_multiclass_scores": _scores("boosted_trees", "multiclass",
-                                         "boosted_multiclass_scores"),
+                                         "boosted_multiclass_scores", SMALL),
     **{f.__name__: f for f in (training_sweep, model_store, linear_explanations,
                                logistic_optimum, top_linear_features, forest_importances,
                                column_permutation_loss, feature_selection,

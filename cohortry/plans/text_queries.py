@@ -16,7 +16,7 @@ from cohortry.plans.split_queries import engineered
 from cohortry.plans.visits import FEATURES_SQL, INTAKE_SQL, intake, split_sql, table
 from cohortry.sources import predictions as pr
 from cohortry.sources import raw, store
-from cohortry.sources.scratch import scratch_path
+from cohortry.sources.scratch import scratch_path, settle
 
 # ------------------------------------------------------------------ explanations
 
@@ -110,7 +110,8 @@ _LOG_INPUTS = {"recurrency": "double", "patient_severity": "double", "charge": "
 def prediction_log(spark, sf):
     """Records written, appended once more, and read back."""
     path = scratch_path(spark, "log")
-    records = _records(spark, sf)
+    # Written twice, so made once: both writes must hold the same records.
+    records = settle(_records(spark, sf))
     pr.write_log(records, path)
     pr.write_log(records, path, append=True)
     back = pr.read_log(spark, path, pr.log_schema(_LOG_INPUTS))

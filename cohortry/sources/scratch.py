@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def allow_checkpoints(spark: SparkSession) -> None:
+    """Let fits of many rounds cut their lineage in the shared folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_folder(spark).rstrip('/')}/{context.applicationId}/rounds")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, below the application's own name, so
     that all of a run's tables can be cleared at once."""

@@ -101,7 +101,7 @@ def test_kth_hash_and_numbering(spark):
 def test_group_sizes_with_a_hot_key(spark, hot_keys, broadcast_bytes):
     keys = [0] * 400 + [i % 50 + 1 for i in range(300)] + [1000 + i for i in range(100)]
     df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "row int, k int")
-    limits = {"hot_keys": hot_keys, "broadcast_bytes": broadcast_bytes, "salts": 4}
+    limits = {"hot_keys": hot_keys, "broadcast_bytes": broadcast_bytes}
     rows = attach_group_size(df, ["k"], "n", **limits).collect()
     assert len(rows) == len(keys) and len({r.row for r in rows}) == len(keys)
     assert all(r.n == keys.count(r.k) for r in rows)
@@ -117,7 +117,7 @@ def test_hot_copies_without_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         assert duplicate_row_count(df).first()[0] == 900
-        sized = attach_group_size(df, ["x"], "n", hot_keys=1, salts=4, broadcast_bytes=0)
+        sized = attach_group_size(df, ["x"], "n", hot_keys=2, broadcast_bytes=0)
         counts = {(r.x, r.n): r["count"] for r in sized.groupBy("x", "n").count().collect()}
         assert counts == {("a", 900): 900, ("b", 2): 2, (None, None): 300}
     finally:
