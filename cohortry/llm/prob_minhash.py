@@ -34,6 +34,8 @@ BANDS = 25
 ROWS = 5
 #: Nodes that one task compares with as many others.
 BLOCK = 1024
+#: Buckets of text hashes that tell which texts cannot be wanted.
+FILTER_BUCKETS = 1 << 20
 #: Deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 4.5
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -435,10 +437,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, text). Rows with equal id and text may stand for each other."""
+    """(node, text). Rows with equal id and text may stand for each other.
+
+    Texts whose hash falls into no wanted bucket are left out before the shuffle.
+    The buckets are FILTER_BUCKETS at most, hence the broadcast; where nearly all
+    are wanted, nearly all texts are shuffled.
+    """
     bodies = docs.select(_name(F.col(key).cast("bigint")), F.xxhash64(text).alias("text_hash"),
                          F.col(text).alias("text"))
     wanted = nodes.select(_name(F.col("id")), "text_hash", "node")
+    bucket = F.pmod(F.coalesce("text_hash", F.lit(0)), F.lit(FILTER_BUCKETS)).alias("bucket")
+    buckets = F.broadcast(wanted.select(bucket).distinct())
+    bodies = bodies.withColumn("bucket", bucket).join(buckets, "bucket", "left_semi").drop("bucket")
     return wanted.join(bodies, ["id_name", "text_hash"]).dropDuplicates(["id_name", "text_hash"]).select(
         "node", "text")
 
