@@ -10,6 +10,7 @@ all documents, so the tasks' memory does not grow with it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -22,12 +23,16 @@ from cohortry.llm.common import ready, unmarked
 from cohortry.sources.scratch import settle
 
 WINDOW = 10
+#: Share of its words that a document must keep when passages are cut out.
+LEAST_LEFT = 0.2
 #: Words of the items in one automaton; it has at most twice as many states.
 BLOCK_WORDS = 1_000_000
 #: A to Z become small letters; every other ASCII byte that is no digit and no
 #: small letter becomes a blank. Bytes of other characters stay.
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
                for c in range(256))
+#: The same words, with their places.
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -255,13 +260,62 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                         (F.size("spans") > 0).alias("contaminated"))
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, max_hit: int = 0, max_share: float = 0.0,
-                 window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that have more than ``max_hit`` hit words
-    and more than ``max_share`` of their words hit. With the defaults every
-    document with a hit goes. Columns, nulls and clean documents stay as they are.
+def cut_words(text: bytes, spans: Iterable[Iterable[int]]) -> bytes:
+    """The text without the spans' words and what stands inside the spans. What
+    stands before and after a span stays, so no two words run together."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    kept, done = [], 0
+    for first, end in spans:
+        kept.append(text[done:at[first][0]])
+        done = at[end - 1][1]
+    return b"".join([*kept, text[done:]])
+
+
+def _shorten(rows: DataFrame, names: list[str], text: str) -> DataFrame:
+    """The named columns of ``rows``, with the words of the spans in ``cut`` taken
+    out of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, texts, cuts = batch.columns
+            left = [cut_words(t, c) for t, c in zip(texts.to_pylist(), cuts.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(left, pa.binary())],
+                                             names=batch.schema.names[:-1])
+
+    others = [n for n in names if n != text]
+    schema = T.StructType([*[rows.schema[n] for n in others], T.StructField("left", T.BinaryType())])
+    return (rows.select(*others, F.col(text).cast("binary").alias("left"), "cut")
+            .mapInArrow(run, schema).withColumn(text, F.col("left").cast("string")).select(*names))
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, max_hit: int = 0, max_share: float = 1.0,
+                 window: int = WINDOW, least_left: float = LEAST_LEFT, size: str = "n_chars") -> DataFrame:
+    """``docs`` with the passages of the items cut out of their texts.
+
+    A span of hit words is cut when it has more than ``max_hit`` words, or when
+    the spans of its text cover more than ``max_share`` of the words. A text is
+    looked through again after a cut, because its ends now stand side by side,
+    until nothing is left to cut. A document goes only when cuts leave it no word
+    or less than ``least_left`` of its words. With the defaults no kept text has a
+    window. The column ``size``, where there is one, gets the length of a text that
+    was cut; all else, nulls and clean documents stay as they are.
     """
-    carried = {f"in_{c}": F.col(f"`{c}`") for c in docs.columns}
-    found = find_spans(docs, items, carried, window=window)
-    gone = (hit_words() > max_hit) & (hit_words() > F.lit(max_share) * F.col("n_words"))
-    return found.where(~gone).select(*unmarked(docs.columns))
+    names = [f"in_{c}" for c in docs.columns]
+    exceeds = (hit_words() > F.lit(max_share) * F.col("n_words"))
+    cut = F.filter("spans", lambda s: exceeds | (s[1] - s[0] > max_hit))
+    n_cut = F.aggregate("cut", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    carried = {f"in_{c}": F.col(f"`{c}`") for c in docs.columns} | {
+        "n_first": F.lit(None).cast("bigint")}
+    rows, source, parts = docs, "text", []
+    while True:
+        found = settle(find_spans(rows, items, carried, source, window=window)
+                       .withColumns({"cut": cut, "n_first": F.coalesce("n_first", "n_words")}))
+        parts.append(found.where(F.size("cut") == 0).select(*unmarked(docs.columns)))
+        n_left = F.col("n_words") - n_cut
+        touched = found.where((F.size("cut") > 0) & (n_left > 0)
+                              & (n_left >= F.lit(least_left) * F.col("n_first")))
+        if touched.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        rows = _shorten(touched, [*names, "n_first"], "in_text")
+        if size in docs.columns:
+            rows = rows.withColumn(f"in_{size}", F.length("in_text").cast(docs.schema[size].dataType))
+        carried, source = {n: F.col(f"`{n}`") for n in [*names, "n_first"]}, "in_text"

@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents without passages of the benchmark."""
+    """Cut passages of the benchmark out of the texts; see remove_spans for what goes whole."""
     return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"))
 
 

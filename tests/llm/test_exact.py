@@ -168,6 +168,70 @@ def test_decontamination_keeps_clean_rows(spark, odd, clashing, nothing):
     assert dc.contamination(odd, items.limit(0)).where("contaminated").count() == 0
 
 
+def removal_by_hand(text, items, window, max_hit, max_share, least_left):
+    """The text without its spans, or None where the document goes; cuts are made
+    word by word on a list of (word, what stands before it)."""
+    pieces = re.split(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)", text)
+    gaps, own = pieces[::2], pieces[1::2]
+    small = lambda ws: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws]
+    wanted = set()
+    for item in items:
+        w = small(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", item or ""))
+        m = min(window, len(w))
+        wanted |= {tuple(w[i:i + m]) for i in range(len(w) - m + 1 if m else 0)}
+    first = len(own)
+    while True:
+        w, runs = small(own), []
+        hit = sorted({(i, i + m) for m in {len(k) for k in wanted}
+                      for i in range(len(w) - m + 1) if tuple(w[i:i + m]) in wanted})
+        for a, b in hit:
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
+            else:
+                runs.append([a, b])
+        total = sum(b - a for a, b in runs)
+        cut = [(a, b) for a, b in runs if b - a > max_hit or total > max_share * len(w)]
+        if not cut:
+            return "".join(g + x for g, x in zip(gaps, [*own, ""]))
+        for a, b in reversed(cut):
+            own[a:b], gaps[a:b + 1] = [], [gaps[a] + gaps[b]]
+        if not own or len(own) < least_left * first:
+            return None
+
+
+@pytest.mark.parametrize("max_hit,max_share,least_left", [(0, 1.0, 0.2), (3, 0.4, 0.5), (5, 1.0, 0.0)])
+def test_span_removal_equals_brute_force(spark, max_hit, max_share, least_left):
+    rng = random.Random(max_hit)
+    say = lambda n: " ".join(rng.choice("A b C, d É; f-".split()) for _ in range(n))
+    items = [say(rng.randrange(1, 9)) for _ in range(14)] + [None, "", "q"]
+    rows = [(i, say(rng.randrange(60)), "en", "a", 0) for i in range(80)] + [(80, "q", "en", "a", 0)]
+    rows = [(d, t, x, y, len(t)) for d, t, x, y, _ in rows]
+    got = dc.remove_spans(spark.createDataFrame(rows, SHAPE), spark.createDataFrame(
+        list(enumerate(items)), "item_id long, text string"), max_hit, max_share, 4, least_left)
+    kept = [(r, removal_by_hand(r[1], items, 4, max_hit, max_share, least_left)) for r in rows]
+    want = [(r[0], t, r[2], r[3], len(t)) for r, t in kept if t is not None]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert any(t is None for _, t in kept) or not least_left
+    assert any(t is not None and t != r[1] for r, t in kept)
+
+
+def test_span_removal_keeps_the_rest_of_a_long_text(spark):
+    quote = " ".join(f"q{i}" for i in range(10))
+    clean = " ".join(f"w{i}" for i in range(20_000))
+    # The cut brings the halves of a second quotation together.
+    halves = quote.split()[:5], quote.split()[5:]
+    nested = " ".join([*halves[0], quote, *halves[1]])
+    rows = [(1, f"{clean} {quote}. {clean}", None, None, 1), (2, f"{clean} {nested} end", None, None, 1),
+            (3, quote, None, None, 1), (4, f"{quote} one", None, None, 1), (5, None, None, None, None)]
+    items = spark.createDataFrame([(1, quote)], "item_id long, text string")
+    got = {r.doc_id: r for r in dc.remove_spans(spark.createDataFrame(rows, SHAPE), items).collect()}
+    assert sorted(got) == [1, 2, 5] and got[5].text is None and got[5].n_chars is None
+    assert got[1].text == f"{clean} . {clean}" and got[1].n_chars == len(got[1].text)
+    assert got[2].text.split() == [*clean.split(), "end"]
+    assert dc.contamination(spark.createDataFrame(list(got.values()), SHAPE), items).where(
+        "contaminated").count() == 0
+
+
 PAGES = [(1, "http://a", "x" * 200), (2, "http://b", "x" * 200), (3, None, None), (4, "u\r\nv", ""),
          (5, "c", "short"), (6, "d", "short"), (7, "e", "ü" * 300_000), (0, "f", "x" * 200),
          (0, "f", "x" * 200), (None, "g", "x" * 200)]
