@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 All documents' ids, each document closed by an end id, form one stream in
-ascending order of document. A file holds a piece of it, cut into sequences of
+ascending order of document, or in an order that the caller names. A file holds a piece of it, cut into sequences of
 ``SEQUENCE`` ids as fixed-size lists, with a mask of the same shape, one bit each,
 that is true for ids and false for the padding at a file's end. Ids take two bytes
 where the vocabulary allows. A memory-mapped file gives sequence k as a slice of
@@ -23,7 +23,7 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import batches_of, ready
@@ -223,14 +223,26 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def shuffled_order(seed: int = 42, key: str = "doc_id", text: str = "text") -> list[Column]:
+    """An order for write_sequences in which documents, and copies of a document,
+    are spread over all files. Equal rows are told apart by their number in the
+    table, so it must be a written one."""
+    return [F.xxhash64(F.lit(seed), F.col(key), F.col(text), F.monotonically_increasing_id())]
+
+
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
-                    end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
+                    end_id: int = END_ID, key: str = "doc_id", text: str = "text",
+                    order: list[Column] | None = None) -> DataFrame:
     """Write all documents; the written index (part, number, file, n_docs,
-    n_tokens). Parts ascend with doc_id, and numbers inside a part."""
+    n_tokens). Parts ascend with the columns of ``order``, and numbers inside a
+    part; where they are equal or not given, with doc_id and the text's hash."""
     ready(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    ordered = (docs.select(F.col(key).cast("bigint").alias("doc_id"), body.alias("text"))
-               .orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")))
+    first = {f"order_{i}": c for i, c in enumerate(order or [])}
+    ordered = (docs.select(F.col(key).cast("bigint").alias("doc_id"), body.alias("text"),
+                           *[c.alias(n) for n, c in first.items()])
+               .orderBy(*first, F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+               .select("doc_id", "text"))
     return settle(ordered.mapInArrow(_write(folder, tokenizer or default_tokenizer(), end_id),
                                      "part int, number int, file string, n_docs bigint, n_tokens bigint"))
 
@@ -292,13 +304,14 @@ def read_documents(index: DataFrame, folder: str) -> DataFrame:
         _read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
-def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str | None = None,
+               order: list[Column] | None = None) -> DataFrame:
     """Write all documents and read the files back.
 
-    Null text is empty and has the end id alone. Null ids come first; rows that
-    share an id follow each other by the hash of their texts. Long documents run
+    Null text is empty and has the end id alone. Without ``order``, null ids come
+    first, and rows that share an id follow each other by the hash of their texts. Long documents run
     through several sequences. An empty table gives no files and no rows. Other
     columns are not written.
     """
     folder = scratch_path(docs.sparkSession, "tokens")
-    return read_documents(write_sequences(docs, folder, tokenizer), folder)
+    return read_documents(write_sequences(docs, folder, tokenizer, order=order), folder)

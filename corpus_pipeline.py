@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token files; one row per document, read back from them."""
-    return token_files.round_trip(docs)
+    """Write the token files in shuffled order; one row per copy, read back from them."""
+    return token_files.round_trip(docs, order=token_files.shuffled_order())
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup),

@@ -402,6 +402,22 @@ def check_files(spark, rows, got):
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_pipeline_writes_copies_apart(spark, tmp_path):
+    import corpus_pipeline
+    rows = [(i, f"text {i}", "en", "a", 6) for i in range(600) for _ in range(5)]
+    spark.createDataFrame(rows, SHAPE).orderBy("doc_id").write.parquet(str(tmp_path / "d"))
+    got = corpus_pipeline.token_output(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
+    got.sort(key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert Counter(ids) == Counter(r[0] for r in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert abs(np.corrcoef(ids, range(len(ids)))[0, 1]) < 0.1
+    assert sum(a == b for a, b in zip(ids, ids[1:])) < 30
+    want = {i: (len(x) + 1, zlib.crc32(np.array([*x, tf.END_ID], "<u4").tobytes()))
+            for i in range(600) for x in [encoded(f"text {i}")]}
+    assert all((r.n_tokens, r.ids_crc32) == want[r.doc_id] for r in got)
+
+
 @pytest.mark.parametrize("limit", [2, 1 << 15])
 def test_token_files_round_trip(spark, odd, clashing, nothing, monkeypatch, limit):
     monkeypatch.setattr(tf, "FILE_SEQUENCES", limit)
