@@ -5,8 +5,8 @@ fitted model, and SQL gives what they must be: every row scored with proper
 probabilities, metrics that plain counts confirm, a model that has learned what
 the classes differ in. All columns that a model may read go in.
 
-Logistic models run with their default settings. Tree models run with the settings
-in SMALL: a default forest of 400 trees of depth 30 takes minutes on a thousand rows.
+Every family runs with its default settings in every query, so that the sweep compares
+like with like. A default forest of 400 trees of depth 30 takes minutes on a thousand rows.
 """
 
 from __future__ import annotations
@@ -28,10 +28,6 @@ from cohortry.sources import store
 from cohortry.sources.scratch import scratch_path, settle
 
 
-SMALL = {"random_forest": {"numTrees": 40, "maxDepth": 10},
-         "boosted_trees": {"maxIter": 10, "maxDepth": 4}}
-
-
 def prepared(spark, sf):
     rows = engineered(spark, sf).withColumn(
         presets.BINARY_TARGET_COLUMN, binary_target("readmitted"))
@@ -50,9 +46,9 @@ def _labels(task: str):
     return None if task == "binary" else list(presets.CLASS_LABELS)
 
 
-def _sweep(rows, task, families, samplings=("none",), params=None):
+def _sweep(rows, task, families, samplings=("none",)):
     return learn.train_sweep(rows, task, _inputs(rows), "encounter_id", _target(task), families,
-                             samplings, params=params)
+                             samplings)
 
 
 def _scored_facts(rows, best, task):
@@ -93,10 +89,10 @@ def _beats_chance(scored, task) -> bool:
     return loss < chance
 
 
-def _scores(family: str, task: str, name: str, params: dict | None = None):
+def _scores(family: str, task: str, name: str):
     def query(spark, sf):
         rows = prepared(spark, sf)
-        _, best = _sweep(rows, task, (family,), params=params)
+        _, best = _sweep(rows, task, (family,))
         return _scored_facts(rows, best, task)
 
     query.__name__ = name
@@ -106,7 +102,7 @@ def _scores(family: str, task: str, name: str, params: dict | None = None):
 def training_sweep(spark, sf):
     """Every family with every sampling: the run table, with the rows measured
     and whether all metrics are there and lie between 0 and 1."""
-    found, best = _sweep(prepared(spark, sf), "binary", learn.FAMILIES, learn.SAMPLINGS, SMALL)
+    found, best = _sweep(prepared(spark, sf), "binary", learn.FAMILIES, learn.SAMPLINGS)
     table = runs.run_table(spark, found)
     shares = F.array(*[F.col(part)[m] for part in ("val", "test")
                        for m in ("precision", "recall", "f1", "roc_auc")])
@@ -191,7 +187,7 @@ def top_linear_features(spark, sf):
 def forest_importances(spark, sf):
     """Importances of all slots: none negative, together 1, largest first, and only
     slots of the model."""
-    _, best = _sweep(prepared(spark, sf), "binary", ("random_forest",), params=SMALL)
+    _, best = _sweep(prepared(spark, sf), "binary", ("random_forest",))
     found = explain.tree_importances(best.model.stages[-1], best.slots, spark, len(best.slots))
     values = [r["importance"] for r in found.collect()]
     return spark.createDataFrame(
@@ -261,10 +257,10 @@ QUERIES = {
     "logistic_scores": _scores("logistic_regression", "binary", "logistic_scores"),
     "logistic_multiclass_scores": _scores("logistic_regression", "multiclass",
                                           "logistic_multiclass_scores"),
-    "forest_scores": _scores("random_forest", "multiclass", "forest_scores", SMALL),
-    "boosted_scores": _scores("boosted_trees", "binary", "boosted_scores", SMALL),
+    "forest_scores": _scores("random_forest", "multiclass", "forest_scores"),
+    "boosted_scores": _scores("boosted_trees", "binary", "boosted_scores"),
     "boosted_multiclass_scores": _scores("boosted_trees", "multiclass",
-                                         "boosted_multiclass_scores", SMALL),
+                                         "boosted_multiclass_scores"),
     **{f.__name__: f for f in (training_sweep, model_store, linear_explanations,
                                logistic_optimum, top_linear_features, forest_importances,
                                column_permutation_loss, feature_selection,

@@ -235,3 +235,22 @@ def test_selection_of_more_slots_than_a_dense_matrix_bears(spark):
     # Two rounds cannot prove a slot; what counts is that they were run.
     assert shadow.select_features(df, wide, rounds=2, trees=5, max_depth=2) == (
         [], "selection skipped: no slot was chosen")
+
+
+@pytest.mark.parametrize("name", ["forest_scores", "boosted_scores", "boosted_multiclass_scores",
+                                  "training_sweep", "forest_importances"])
+def test_tree_queries_run_default_settings(monkeypatch, name):
+    from cohortry.plans import model_queries
+
+    class Asked(Exception):
+        pass
+
+    def sweep(*args, params=None, **kwargs):
+        raise Asked(params)
+
+    monkeypatch.setattr(model_queries, "prepared", lambda spark, sf: None)
+    monkeypatch.setattr(model_queries, "_inputs", lambda rows: [])
+    monkeypatch.setattr(learn, "train_sweep", sweep)
+    with pytest.raises(Asked) as asked:
+        model_queries.QUERIES[name](None, None)
+    assert asked.value.args == (None,)
