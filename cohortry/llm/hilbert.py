@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from cohortry.sources.scratch import settle
 
-BITS = 5
+#: Sizes get 64 cells, so that all up to 2 GB, the most a value can have, are told apart.
+BITS = 6
+#: Names are hashed to the first 32 cells of theirs.
+NAME_BITS = 5
 _LOW_33 = (1 << 33) - 1
 
 
@@ -68,7 +71,7 @@ def curve_index(cells: list[Column], bits: int = BITS) -> Column:
     return end["index"]
 
 
-def name_cell(value: Column, bits: int = BITS) -> Column:
+def name_cell(value: Column, bits: int = NAME_BITS) -> Column:
     """A name's cell, from its md5; null and empty share cell 0's hash."""
     digits = F.substring(F.md5(F.coalesce(value, F.lit("")).cast("binary")), 1, 8)
     return (F.conv(digits, 16, 10).cast("bigint") % F.lit(1 << bits)).cast("int")

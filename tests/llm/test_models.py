@@ -352,6 +352,17 @@ def test_shards_of_odd_rows(spark, odd, clashing, nothing):
     assert hilbert.shard_documents(nothing).count() == 0
 
 
+def test_sizes_of_long_texts_have_cells_of_their_own(spark):
+    sizes = spark.createDataFrame([(1 << k,) for k in range(32)], "size long")
+    cells = [r[0] for r in sizes.orderBy("size").select(hilbert.size_cell(F.col("size"))).collect()]
+    assert cells == [min(2 * k, 63) for k in range(32)]
+    rows = spark.createDataFrame([(i, 1 << k, "en", "a") for i in range(20) for k in (17, 20, 24, 30)],
+                                 "doc_id long, size long, lang string, source string")
+    cut = hilbert.hilbert_shards(rows, list(hilbert.document_cells().values()), 4, ["doc_id"])
+    ranges = hilbert.shard_ranges(cut, hilbert.document_cells()).collect()
+    assert sorted((r.size_low, r.size_high) for r in ranges) == [(k, k) for k in (34, 40, 48, 60)]
+
+
 def test_shards_prune(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     cells = hilbert.document_cells()
