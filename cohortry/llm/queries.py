@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm import (
-    decontaminate, hilbert, hyperdim, poisson_mix, prob_minhash, quality, run_merge, substring,
-    token_files, warc,
+    alignment, decontaminate, hard_negatives, hilbert, hyperdim, licenses, poisson_mix, prob_minhash,
+    quality, run_merge, substring, token_files, warc,
 )
 from cohortry.llm.common import table
 
@@ -65,14 +65,33 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("in_text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids divisible by 100 are anchors; every seventh id has its label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_prob_minhash, op3_warc, op4_run_merge, op5_suffix_automaton,
     op6_hilbert_shards, op7_hyperdimensional, op8_rabin_karp, op9_random_indexing,
-    op10_poisson_mix)}
+    op10_poisson_mix, op11_hard_negatives, op12_alignment, op13_diagonal_voting)}
 
 _SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH_WORDS = rf"regexp_extract_all({_SMALL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_NAMED_TEXTS = ", ".join(
+    "({}, '{}', {}, '{}')".format(i, label, i < len(licenses.BASE), text.replace("'", "''"))
+    for i, (label, text) in enumerate([*licenses.BASE, *licenses.TEMPLATES]))
+
 ORACLES = {
     "op3_warc": f"""
         WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
@@ -143,4 +162,57 @@ ORACLES = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source JOIN m USING (doc_id),
              LATERAL (SELECT unnest(range(0, n_copies)) AS copy)""",
+    "op11_hard_negatives": f"""
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x:
+                              CAST(floor({hard_negatives.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                          CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q),
+                              lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+                   FROM v a, v b WHERE a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s
+                   WHERE same AND vec_id != anchor_id QUALIFY row_number() OVER (
+                       PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.POSITIVES})
+        SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND {hard_negatives.LEAST} * positive_score <= 100 * score
+              AND 100 * score <= {hard_negatives.MOST} * positive_score
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER best <= {hard_negatives.NEGATIVES}""",
+    "op13_diagonal_voting": f"""
+        WITH t(template, label, exact, text) AS (VALUES {_NAMED_TEXTS}),
+             tw AS (SELECT template, label, exact, {_BENCH_WORDS} AS w FROM t),
+             tg AS (SELECT template, label, exact, len(w) AS n, p AS place,
+                           array_to_string(w[p + 1:p + {licenses.GRAM}], ' ') AS gram
+                    FROM (SELECT *, unnest(range(0, len(w) - {licenses.GRAM - 1})) AS p FROM tw)),
+             d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+             dg AS (SELECT doc_id, p AS begins, array_to_string(w[p + 1:p + {licenses.GRAM}], ' ') AS gram
+                    FROM (SELECT *, unnest(range(0, len(w) - {licenses.GRAM - 1})) AS p FROM d)),
+             h AS (SELECT doc_id, template, label, exact, n, place, begins - place AS diagonal
+                   FROM dg JOIN tg USING (gram)),
+             l AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template
+                       ORDER BY diagonal) AS gap FROM (SELECT DISTINCT doc_id, template, exact, diagonal FROM h)),
+             r AS (SELECT doc_id, template, diagonal, sum(CASE WHEN exact OR gap IS NULL
+                          OR gap > {licenses.SHIFT} THEN 1 ELSE 0 END) OVER (
+                          PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM l),
+             c AS (SELECT doc_id, template, any_value(label) AS label, any_value(exact) AS exact,
+                          min(diagonal + place) AS first_word,
+                          count(DISTINCT w) / any_value(n)::DOUBLE AS cover
+                   FROM (SELECT *, unnest(range(place, place + {licenses.GRAM})) AS w
+                         FROM h JOIN r USING (doc_id, template, diagonal)) GROUP BY doc_id, template, run),
+             f AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base,
+                          min(first_word) FILTER (WHERE exact) AS first_word,
+                          max(first_word) FILTER (WHERE exact) AS last_word,
+                          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact), '')
+                              AS base_labels,
+                          string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+                   FROM c WHERE cover >= CASE WHEN exact THEN 1 ELSE {licenses.LEAST_COVER} END
+                   GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+               first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN f USING (doc_id)""",
 }
