@@ -13,6 +13,8 @@ once, so the shuffle follows the distinct pairs of a chunk, not the links.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,8 +32,14 @@ from cohortry.sources.scratch import settle
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 #: Bytes of text after which a worker closes a chunk; a longer document is one alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Characters that an encoder gets at once.
+PORTION_CHARS = 1 << 18
 _B_BITS = 32
+# Fixed value: how the byte-level vocabulary splits a text.
+_BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: ASCII without rare controls, and Latin letters and signs.
+_PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
 
 _CHUNK = pa.schema([
     ("chunk", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()),
@@ -59,22 +67,72 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
+def _portions(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about PORTION_CHARS characters, so that an encoder's own lists
+    stay small; a longer text is one alone."""
+    held, weight = [], 0
+    for t in texts:
+        if held and weight + len(t) > PORTION_CHARS:
+            yield held
+            held, weight = [], 0
+        held.append(t)
+        weight += len(t)
+    if held:
+        yield held
+
+
+def _listed(parts: list[bytes]) -> pa.ListArray:
+    """Packed ids of several texts as one list column."""
+    ends = np.cumsum([0, *(len(p) >> 2 for p in parts)]).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))])
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
+def _rank_encoder(tokenizer, vocabulary: list[bytes]):
+    """A quicker encoder of plain texts for the same vocabulary, or None.
+
+    The file's rules join the pair whose rule comes first. Where the rules' products
+    stand in the vocabulary in the rules' order, each from one rule, that is the pair
+    with the smallest id, which is what the other library looks for.
+    """
+    import tiktoken
+    from tokenizers import pre_tokenizers
+    split, model = tokenizer.pre_tokenizer, json.loads(tokenizer.to_str())["model"]
+    if not (tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel)
+            and split.use_regex and not split.add_prefix_space and model.get("merges")):
+        return None
+    rules = [r.split(" ") if isinstance(r, str) else r for r in model["merges"]]
+    products = [model["vocab"].get(a + b, -1) for a, b in rules]
+    if products != sorted(set(products)) or products[0] < 256:
+        return None
+    ranks = {vocabulary[i]: i for i in [*range(products[0]), *products]}
+    return tiktoken.Encoding("ranks", pat_str=_BYTE_PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=2)
 def byte_side(path: str):
-    """Encoder of texts and the bytes of every id, for a byte-level vocabulary."""
+    """Encoder of texts and the bytes of every id, for a byte-level vocabulary. Texts
+    of plain characters take the quicker encoder of the same vocabulary; two versions
+    of a pattern may differ on other characters, so other texts never do."""
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     letters = byte_letters()
     names = sorted(tokenizer.get_vocab().items(), key=lambda item: item[1])
-    size = names[-1][1] + 1
-    vocabulary: list[bytes] = [b""] * size
+    vocabulary: list[bytes] = [b""] * (names[-1][1] + 1)
     for name, number in names:
         vocabulary[number] = bytes(letters[c] for c in name) if all(c in letters for c in name) \
             else name.encode()
+    quick = _rank_encoder(tokenizer, vocabulary)
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(texts: list[str]) -> pa.ListArray:
+        return _listed([
+            packed(quick.encode_ordinary(t)) if quick and _PLAIN.fullmatch(t)
+            else packed(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts])
 
     return encode, pa.array(vocabulary, pa.binary())
 
@@ -89,8 +147,9 @@ def piece_side(path: str):
     vocabulary = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
                   for i, p in enumerate(pieces)]
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        return model.encode([t[1:] for t in texts], num_threads=1)
+    def encode(texts: list[str]) -> pa.ListArray:
+        return _listed([packed(ids) for some in _portions(texts)
+                        for ids in model.encode([t[1:] for t in some], num_threads=1)])
 
     return encode, pa.array(vocabulary, pa.binary())
 
@@ -130,10 +189,6 @@ class Side:
                          name: pa.array(np.arange(len(self.flat), dtype=np.int64))})
 
 
-def _encoded(encode, texts: pa.Array) -> pa.ListArray:
-    return pa.array(encode(texts.to_pylist()), pa.list_(pa.int32()))
-
-
 def encode_both(texts: pa.Array, files: tuple[str, str]) -> tuple[np.ndarray, Side, Side]:
     """Which texts have tokens, and the tokens of those texts on both sides. A text is
     left without tokens when it is null or empty, or when the joined bytes of either
@@ -141,7 +196,8 @@ def encode_both(texts: pa.Array, files: tuple[str, str]) -> tuple[np.ndarray, Si
     (encode_a, words_a), (encode_b, words_b) = byte_side(files[0]), piece_side(files[1])
     there = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
     full = pc.binary_join_element_wise(" ", texts.filter(there), "")
-    a, b = Side.of(_encoded(encode_a, full), words_a), Side.of(_encoded(encode_b, full), words_b)
+    listed = full.to_pylist()
+    a, b = Side.of(encode_a(listed), words_a), Side.of(encode_b(listed), words_b)
     whole = full.cast(pa.binary())
     same = pc.and_(pc.equal(a.joined(), whole), pc.equal(b.joined(), whole))
     if not pc.all(same).as_py():
@@ -229,9 +285,6 @@ def align_chunk(number: int, doc_ids: pa.Array, texts: pa.Array, files: tuple[st
 
 def _chunks(files: tuple[str, str], chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Spark deals the work; a library's own threads would take other tasks' cores.
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         number = TaskContext.get().partitionId() << 32
         held, weight = [], 0
         for batch in batches:

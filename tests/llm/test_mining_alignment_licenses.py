@@ -122,14 +122,38 @@ def test_products_are_exact_at_every_size():
 
 # ------------------------------------------------------------------------ alignment
 
+def _whole_encoders():
+    """Both libraries on whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a_file, b_file = alignment.default_files()
+    a, b = Tokenizer.from_file(a_file), sentencepiece.SentencePieceProcessor(model_file=b_file)
+    a.encode_special_tokens = True
+    return lambda t: a.encode(t, add_special_tokens=False).ids, b.encode
+
+
+def test_pieces_encode_as_whole_texts_do():
+    rng = random.Random(4)
+    letters = "abXYZ    \n\t\r'sdlm.,!?-12àßÿŁ²½ªº\xa0\x85\x1c«»—日\u2581\u0301\U0001F600"
+    words = ["don't", "we're", "x", "  ", "1,000", "naïve", "\n\n", "<s>", "</s>", "<unk>", "<0x41>", "I'LL"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(4000)]
+    texts += [" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(4000)]
+    texts += ["word " * 300_000 + "end", "a" * 5000]
+    whole_a, whole_b = _whole_encoders()
+    a_file, b_file = alignment.default_files()
+    full = [" " + t for t in texts]
+    assert alignment.byte_side(a_file)[0](full).to_pylist() == [whole_a(t) for t in full]
+    assert alignment.piece_side(b_file)[0](full).to_pylist() == [whole_b(t) for t in texts]
+
+
 def _plain_alignment(texts):
-    encode_a, words_a = alignment.byte_side(alignment.default_files()[0])
-    encode_b, words_b = alignment.piece_side(alignment.default_files()[1])
-    words_a, words_b = words_a.to_pylist(), words_b.to_pylist()
+    encode_a, encode_b = _whole_encoders()
+    words_a, words_b = (side(path)[1].to_pylist() for side, path in zip(
+        (alignment.byte_side, alignment.piece_side), alignment.default_files()))
     docs = []
     for text in texts:
         full = " " + (text or "")
-        a, b = (encode_a([full])[0], encode_b([full])[0]) if text else ([], [])
+        a, b = (encode_a(full), encode_b(text)) if text else ([], [])
         ok = bool(text) and all(b"".join(w[i] for i in ids) == full.encode()
                                 for ids, w in ((a, words_a), (b, words_b)))
         if not ok:
