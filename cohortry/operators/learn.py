@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer,
 )
@@ -28,7 +28,9 @@ from cohortry.operators.metrics import (
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.schema import numeric_and_categorical, require_columns
 from cohortry.operators.shadow import select_features
-from cohortry.sources.scratch import allow_checkpoints, settle
+from cohortry.operators.trees import TreeEstimator, TreeSettings, with_settings
+from cohortry.sources import store
+from cohortry.sources.scratch import settle
 
 FAMILIES = ("logistic_regression", "random_forest", "boosted_trees")
 SAMPLINGS = ("none", "over", "under")
@@ -36,13 +38,16 @@ SAMPLINGS = ("none", "over", "under")
 # Estimator settings.
 LOGISTIC_MAX_ITER = 2000
 FOREST_TREES = 400
-FOREST_DEPTH = 30  # the most MLlib takes; the wanted depth is unlimited
-FOREST_MEMORY_MB = 1024  # counts of the nodes split in one pass; deep trees have many
+FOREST_DEPTH = None  # unlimited
 BOOST_ROUNDS = 350
 BOOST_DEPTH = 6
 BOOST_RATE = 0.05
 BOOST_ROW_SHARE = 0.9
-BOOST_COLUMN_SHARE = "0.9"
+BOOST_COLUMN_SHARE = 0.9
+BOOST_PENALTY = 1.0
+
+#: Fits of a sweep that run side by side.
+PARALLEL_FITS = 4
 
 
 # ---------------------------------------------------------------- preprocessing
@@ -235,35 +240,35 @@ def resample(df: DataFrame, strategy: str, key: str, label: str = "label",
 # ------------------------------------------------------------------- estimators
 
 def build_estimator(family: str, task: str, n_rows: float, seed: int = 42,
-                    weighted: bool = False, params: dict | None = None):
+                    weighted: bool = False, params: dict | None = None, classes: int | None = None):
     """The estimator of a model family; ``params`` replaces settings by name.
 
     The logistic penalty is 1/2 |w|^2 against the summed loss, which is 1/n
-    against the mean loss that MLlib minimizes.
+    against the mean loss that MLlib minimizes. Tree families fit a bounded sample of
+    the labelled rows (``fitRows``; see operators/trees.py).
     """
     params = dict(params or {})
-    weight = {"weightCol": "weight"} if weighted else {}
+    weight = "weight" if weighted else None
+    classes = classes or (2 if task == "binary" else len(presets.CLASS_LABELS))
     if family == "logistic_regression":
         return LogisticRegression(**{
             "maxIter": LOGISTIC_MAX_ITER, "regParam": 1.0 / max(n_rows, 1.0),
-            "standardization": False, "family": "auto", **weight, **params})
+            "standardization": False, "family": "auto",
+            **({"weightCol": weight} if weight else {}), **params})
     if family == "random_forest":
-        return RandomForestClassifier(**{
-            "numTrees": FOREST_TREES, "maxDepth": FOREST_DEPTH, "minInstancesPerNode": 1,
-            "featureSubsetStrategy": "sqrt", "maxMemoryInMB": FOREST_MEMORY_MB, "seed": seed,
-            **weight, **params})
-    if family == "boosted_trees":
-        boosted = GBTClassifier(**{
-            "maxIter": BOOST_ROUNDS, "maxDepth": BOOST_DEPTH, "stepSize": BOOST_RATE,
-            "subsamplingRate": BOOST_ROW_SHARE, "featureSubsetStrategy": BOOST_COLUMN_SHARE,
-            "seed": seed, **weight, **params})
-        # Boosting here is binary only: one boosted model per class otherwise.
-        return boosted if task == "binary" else OneVsRest(classifier=boosted)
-    raise ValueError(f"unknown model family: {family}")
+        settings = TreeSettings("forest", classes, FOREST_TREES, FOREST_DEPTH, seed=seed)
+    elif family == "boosted_trees":
+        settings = TreeSettings("boosted", classes, BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE,
+                                BOOST_ROW_SHARE, BOOST_COLUMN_SHARE, BOOST_PENALTY, seed=seed)
+    else:
+        raise ValueError(f"unknown model family: {family}")
+    return TreeEstimator(with_settings(settings, params), weight)
 
 
 def estimator_settings(estimator) -> list[tuple[str, str]]:
     """Parameters in force, as (name, text) pairs for the run table."""
+    if isinstance(estimator, TreeEstimator):
+        return estimator.settings()
     pairs = ((p.name, v) for p, v in estimator.extractParamMap().items())
     return sorted((name, str(value)) for name, value in pairs)
 
@@ -346,32 +351,44 @@ def selection_key(task: str) -> tuple[str, str]:
     return ("f1", "roc_auc") if task == "binary" else ("macro_f1", "accuracy")
 
 
-def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, target: str,
-                families=FAMILIES, samplings=("none",), select: str = "none",
-                labels=presets.CLASS_LABELS, seed: int = 42,
-                params: dict[str, dict] | None = None,
-                selection: dict | None = None) -> tuple[list[Run], Run]:
-    """Fit every family with every sampling on train, measure on val and test,
-    and name the best run by its validation metrics; the first wins a tie.
+@dataclass
+class Prepared:
+    """What all fits of a sweep share."""
+    task: str
+    labels: tuple[str, ...]
+    seed: int
+    pre: PipelineModel
+    inputs: list[str]
+    ready: DataFrame
+    slots: list[str]
+    middle: list
+    notes: list[str]
+    selection: str
+    sizes: dict
+    mark: str
 
-    The feature vectors are computed once, written to the shared folder and
-    read by all runs. Several class labels allow no resampling. ``params`` holds
-    estimator settings by family, ``selection`` those of the feature selection.
-    """
-    samplings = ("none",) if task == "multiclass" else tuple(samplings)
-    allow_checkpoints(splits.sparkSession)
+    @property
+    def train(self) -> DataFrame:
+        return self.ready.where("split = 'train'")
+
+
+def _content_mark(rows: DataFrame) -> str:
+    """A short text that changes with the rows, whatever their order."""
+    total = F.sum(F.xxhash64(*[quoted(c) for c in rows.columns]).cast("decimal(38,0)"))
+    n, mark = rows.agg(F.count(F.lit(1)), total).first()
+    return f"{n}:{mark}"
+
+
+def prepare_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, target: str,
+                  select: str, labels, seed: int, selection: dict | None, marked: bool) -> Prepared:
+    """Feature vectors computed once and written to the shared folder, with the slots
+    that selection leaves."""
     table = labelled(splits, task, target, labels)
     pre = fit_preprocessor(table.where("split = 'train'"), inputs)
     vectors = pre.transform(table).select(quoted(key).alias("row_key"), "split", "label", "features")
     all_slots = slot_names(vectors)
     ready = settle(vectors)
     train = ready.where("split = 'train'")
-    sizes = {r["label"]: r for r in class_weights(train).collect()}
-    counts = [r["n"] for r in sizes.values()]
-    # Rows that are fitted, by sampling: the penalty is set against their loss.
-    fitted_rows = {"none": sum(counts), "over": len(counts) * max(counts, default=0),
-                   "under": len(counts) * min(counts, default=0)}
-
     middle, slots, notes = [], all_slots, []
     if select != "none":
         chosen, note = select_features(train, len(all_slots), seed=seed, **(selection or {}))
@@ -379,41 +396,99 @@ def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, targe
         if chosen:
             slots = [all_slots[i] for i in chosen]
             middle = [VectorSlicer(inputCol="features", outputCol="chosen", indices=chosen)]
+    sizes = {r["label"]: r for r in class_weights(train).collect()}
+    mark = _content_mark(splits.select(quoted(key), "split", quoted(target), *map(quoted, inputs))) if marked else ""
+    return Prepared(task, tuple(labels), seed, pre, list(inputs), ready, slots, middle, notes, select, sizes, mark)
+
+
+def fit_run(p: Prepared, order: int, family: str, sampling: str, params: dict | None) -> Run:
+    """Fit one candidate on train and measure it on val and test."""
+    counts = [r["n"] for r in p.sizes.values()]
+    # Rows that are fitted, by sampling: the penalty is set against their loss.
+    fitted_rows = {"none": sum(counts), "over": len(counts) * max(counts, default=0),
+                   "under": len(counts) * min(counts, default=0)}
+    data = resample(p.train, sampling, "row_key", "label", p.seed)
+    weighted = p.task == "binary" and sampling == "none"
+    if weighted:
+        if family == "boosted_trees":
+            positive = p.sizes.get(1.0)
+            w = {1.0: positive["others_ratio"] if positive else 1.0}
+        else:
+            w = {v: r["balanced_weight"] for v, r in p.sizes.items()}
+        data = data.withColumn("weight", _weight_column(w))
+    estimator = _estimator(p, family, sampling, float(fitted_rows[sampling]), params)
+    if p.middle:
+        data = p.middle[0].transform(data)
+    model = PipelineModel([*p.middle, estimator.fit(data)])
+    labels = None if p.task == "binary" else list(p.labels)
+    scored = settle(score(model, p.ready.where("split != 'train'"), p.task, labels))
+    measured = {split: evaluate(scored.where(F.col("split") == split), p.task, p.labels)
+                for split in ("val", "test")}
+    run_notes = [f"ROC AUC is undefined on {split}: one class only"
+                 for split, m in measured.items() if m.get("roc_auc", 0.0) is None]
+    return Run(name=run_name(p.task, family, sampling, p.selection), task=p.task, family=family,
+               sampling=sampling, selection=p.selection, run_order=order,
+               model=PipelineModel([*p.pre.stages, *model.stages]), inputs=p.inputs, slots=p.slots,
+               val=measured["val"], test=measured["test"], settings=estimator_settings(estimator),
+               warnings=[*p.notes, *run_notes])
+
+
+def _estimator(p: Prepared, family: str, sampling: str, fitted_rows: float, params: dict | None):
+    found = build_estimator(family, p.task, fitted_rows, p.seed, p.task == "binary" and sampling == "none",
+                            (params or {}).get(family), 2 if p.task == "binary" else len(p.labels))
+    return found.setFeaturesCol("chosen") if p.middle else found
+
+
+def run_name(task: str, family: str, sampling: str, selection: str) -> str:
+    return f"{task}_{family}_sampling-{sampling}_fs-{selection}"
 
-    runs: list[Run] = []
-    for family in families:
-        for sampling in samplings:
-            data = resample(train, sampling, "row_key", "label", seed)
-            weighted = task == "binary" and sampling == "none"
-            if weighted:
-                if family == "boosted_trees":
-                    positive = sizes.get(1.0)
-                    w = {1.0: positive["others_ratio"] if positive else 1.0}
-                else:
-                    w = {v: r["balanced_weight"] for v, r in sizes.items()}
-                data = data.withColumn("weight", _weight_column(w))
-            estimator = build_estimator(family, task, float(fitted_rows[sampling]), seed, weighted,
-                                        (params or {}).get(family))
-            if middle:
-                data = middle[0].transform(data)
-                estimator.setFeaturesCol("chosen")
-            fitted = estimator.fit(data)
-            model = PipelineModel([*middle, fitted])
-            measured = {}
-            for split in ("val", "test"):
-                scored = score(model, ready.where(F.col("split") == split), task,
-                               None if task == "binary" else list(labels))
-                measured[split] = evaluate(scored, task, labels)
-            run_notes = [f"ROC AUC is undefined on {split}: one class only"
-                         for split, m in measured.items() if m.get("roc_auc", 0.0) is None]
-            runs.append(Run(
-                name=f"{task}_{family}_sampling-{sampling}_fs-{select}", task=task, family=family,
-                sampling=sampling, selection=select, run_order=len(runs),
-                model=PipelineModel([*pre.stages, *model.stages]), inputs=list(inputs),
-                slots=slots, val=measured["val"], test=measured["test"],
-                settings=estimator_settings(estimator), warnings=[*notes, *run_notes]))
-    if not runs:
+
+def train_sweep(splits: DataFrame, task: str, inputs: list[str], key: str, target: str,
+                families=FAMILIES, samplings=("none",), select: str = "none",
+                labels=presets.CLASS_LABELS, seed: int = 42,
+                params: dict[str, dict] | None = None,
+                selection: dict | None = None, keep: str | None = None,
+                parallel: int = PARALLEL_FITS) -> tuple[list[Run], Run]:
+    """Fit every family with every sampling on train, measure on val and test,
+    and name the best run by its validation metrics; the first wins a tie.
+
+    ``parallel`` fits run side by side, each in a scheduler pool of its own. Several
+    class labels allow no resampling. ``params`` holds estimator settings by
+    family, ``selection`` those of the feature selection. With ``keep``, every run is
+    saved there as soon as it is measured, and a sweep over the same rows with the same
+    settings takes the runs that it finds: a sweep that was stopped goes on.
+    """
+    samplings = ("none",) if task == "multiclass" else tuple(samplings)
+    wanted = [(i, family, sampling) for i, (family, sampling) in
+              enumerate((f, s) for f in families for s in samplings)]
+    if not wanted:
         raise RuntimeError("no training run was asked for")
+    spark = splits.sparkSession
+    shared = prepare_sweep(splits, task, inputs, key, target, select, labels, seed, selection, bool(keep))
+
+    def one(candidate: tuple[int, str, str]) -> Run:
+        order, family, sampling = candidate
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{family}-{sampling}")
+        try:
+            name = run_name(task, family, sampling, select)
+            mark = f"{shared.mark} {seed} {sorted((params or {}).get(family, {}).items())} {shared.slots}"
+            stored = store.load_run(spark, f"{keep}/{name}", mark) if keep else None
+            if stored is not None:
+                model, meta = stored
+                return Run(name, task, family, sampling, select, order, model, meta["inputs"], meta["slots"],
+                           meta["val"], meta["test"], sorted(meta["settings"].items()), meta["warnings"])
+            run = fit_run(shared, order, family, sampling, params)
+            if keep:
+                store.save_model(spark, run, f"{keep}/{name}", labels, mark=mark)
+            return run
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    if parallel > 1 and len(wanted) > 1:
+        with ThreadPoolExecutor(parallel) as pool:
+            runs = list(pool.map(inheritable_thread_target(spark)(one), wanted))
+    else:
+        runs = [one(candidate) for candidate in wanted]
     first, second = selection_key(task)
     best = max(runs, key=lambda r: (r.val.get(first) or 0.0, r.val.get(second) or 0.0))
     return runs, best
