@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortry.llm.common import marked, ready, unmarked
 from cohortry.llm.samples import bounded_sample, held_out
@@ -68,7 +67,7 @@ def grams(text: str | None, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vectors:
-    """Vectors of n-grams, kept in one matrix."""
+    """Vectors of n-grams, kept in one matrix of bytes and cast portion by portion."""
 
     def __init__(self, dims: int = DIMS, n: int = GRAM, kept: int = KEPT_GRAMS):
         self.dims, self.n, self.kept = dims, n, kept
@@ -76,7 +75,7 @@ class Vectors:
 
     def _clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.matrix = np.empty((1024, self.dims), np.float32)
+        self.matrix = np.empty((1024, self.dims), np.int8)
 
     def _rows(self, packed: np.ndarray) -> np.ndarray:
         if len(self.at) + len(packed) > self.kept:
@@ -97,9 +96,9 @@ class Vectors:
     def bundle(self, packed: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the n-grams' vectors; many distinct ones in portions."""
         total = np.zeros(self.dims, np.float32)
-        for i in range(0, len(packed), 4096):
-            part = self._rows(packed[i:i + 4096])
-            total += counts[i:i + 4096].astype(np.float32) @ self.matrix[part]
+        for i in range(0, len(packed), 1024):
+            part = self._rows(packed[i:i + 1024])
+            total += counts[i:i + 1024].astype(np.float32) @ self.matrix[part].astype(np.float32)
         return total
 
 
@@ -138,12 +137,12 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(
         (names, np.array([profiles[n] for n in names], np.float32).reshape(len(names), DIMS)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labels, matrix = shared.value
         vectors = Vectors()
-        for batch in batches:
+        for texts in chunks:
             best, scores = [], []
-            for body in batch.column(batch.num_columns - 1).to_pylist():
+            for body in texts.to_pylist():
                 v = vectors.bundle(*grams(body))
                 norm = float(np.linalg.norm(v))
                 if not norm or not labels:
@@ -155,13 +154,14 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
                 k = int(cosines.argmax())
                 best.append(labels[k])
                 scores.append(float(shares[k] / shares.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names[:-1], lang_name, score_name])
+            yield pa.StructArray.from_arrays(
+                [pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()),
-                           T.StructField(score_name, T.DoubleType())])
-    return docs.select("*", F.col(text).alias("_profiled")).mapInArrow(run, schema)
+    # The text alone goes to Python, once; the rows stay where they are.
+    scorer = F.arrow_udf(score, "lang string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    found = docs.withColumn("_profiled", scorer(F.col(text)))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_profiled.lang").alias(lang_name),
+                        F.col("_profiled.score").alias(score_name))
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
@@ -180,7 +180,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without the rows whose language is unknown or scores below
-    ``least``; same columns."""
+    ``least``; same columns. Null and letterless texts go, whatever their other columns;
+    rows that repeat id or text are judged alike and stay or go together; where no
+    language can be learned every row goes. An empty table gives no rows."""
     found = predict(docs.select(*marked(docs)), learn(docs), "in_text")
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(
         *unmarked(docs.columns))
