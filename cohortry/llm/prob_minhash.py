@@ -34,12 +34,15 @@ BANDS = 25
 ROWS = 5
 #: Nodes that one task compares with as many others.
 BLOCK = 1024
+#: Pairs of one node that are verified together.
+STAR_PAIRS = 256
 #: Buckets of text hashes that tell which texts cannot be wanted.
 FILTER_BUCKETS = 1 << 20
 #: Deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 4.5
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = 0x9E3779B97F4A7C15
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Small letters, digits and all bytes of other characters are words' bytes.
 _BYTES = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -144,7 +147,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     continue
                 sig = signature(hashes, weights_of(counts), BANDS * ROWS)
                 prints.append(xxhash.xxh3_128_digest(hashes.tobytes() + counts.tobytes()))
-                sigs.append((sig >> np.uint64(32)).astype("<u4").tobytes())
+                sigs.append((sig >> np.uint64(56)).astype("u1").tobytes())
                 bands.append(band_hashes(sig))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()),
@@ -159,11 +162,14 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def _equal_share(a: bytes, b: bytes) -> float:
-    return float((np.frombuffer(a, "<u4") == np.frombuffer(b, "<u4")).mean())
+    return float((np.frombuffer(a, "u1") == np.frombuffer(b, "u1")).mean())
 
 
 def least_estimate(threshold: float = THRESHOLD) -> float:
-    return threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / (BANDS * ROWS))
+    """The share of equal bytes below which a pair is ruled out. Unequal slots have equal
+    bytes once in 256, so a pair at the threshold agrees a little more often."""
+    share = threshold + (1 - threshold) / 256
+    return share - MARGIN * math.sqrt(share * (1 - share) / (BANDS * ROWS))
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -182,26 +188,36 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs whose texts reach the threshold."""
+    """Pairs (a, b) whose texts reach the threshold.
+
+    Texts are joined once, by node. A first node's text then goes once to each part of
+    its pairs, of about STAR_PAIRS, with the texts of the other nodes behind it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        last: tuple = (None, None)
-
-        def weighted(text):
-            hashes, counts = weighted_shingles(text, known)
-            return hashes, weights_of(counts)
-
+        first, held = None, None
         for batch in batches:
-            keep = []
-            for a, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if last[0] != a:
-                    last = (a, weighted(text_a))
-                keep.append(probability_jaccard(*last[1], *weighted(text_b)) >= threshold)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for a, part, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes, counts = weighted_shingles(text, known)
+                if b is None:
+                    first, held = (a, part), (hashes, weights_of(counts))
+                elif first == (a, part) and probability_jaccard(*held, hashes, weights_of(counts)) >= threshold:
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[i] for p in out], pa.int64()) for i in range(2)], schema=_PAIRS)
 
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    total = pairs.count()
+    sizes = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    parts = F.ceil(F.col("n") / F.lit(STAR_PAIRS)).cast("bigint")
+    dealt = settle(join_groups(pairs, sizes, "a", "n", total).select(
+        "a", F.pmod(F.xxhash64("b"), parts).alias("part"), "b"))
+    wanted = dealt.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("place")).union(
+        dealt.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("place")).distinct())
+    with_text = wanted.join(texts, "node").select(
+        "a", "part", F.when(F.col("place") == 1, F.col("node")).alias("b"), "text")
+    return (with_text.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,9 +252,6 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 class _Sets:
     """Which of n items are joined so far, and the links that joined them."""
 
@@ -287,7 +300,7 @@ def _likely_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     least = least_estimate()
     left, right = _sides(key, table)
     nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
-    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(len(nodes), -1)
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(len(nodes), -1)
     sets = _Sets(np.arange(len(nodes)))
     for i in left:
         others = right[labels[right] != labels[i]]
