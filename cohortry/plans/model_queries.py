@@ -187,39 +187,6 @@ def boosted_explanations(spark, sf):
         F.sum(F.size(top)).alias("n_top"))
 
 
-def joint_probabilities(spark, sf):
-    """Three classes boosted together against one boosted model per class, on the rows
-    kept from both fits: the joint log loss is not above the other, nor above that of
-    the classes' shares."""
-    rows = prepared(spark, sf)
-    labels = list(presets.CLASS_LABELS)
-    table = learn.labelled(rows, "multiclass", presets.TARGET_COLUMN)
-    pre = learn.fit_preprocessor(table.where("split = 'train'"), _inputs(rows))
-    vectors = settle(pre.transform(table).select("encounter_id", "split", "label", "features"))
-    train, held = vectors.where("split = 'train'"), vectors.where("split != 'train'")
-    n = float(train.count())
-    joint = learn.build_estimator("boosted_trees", "multiclass", n).fit(train)
-    alone = []
-    for i, _ in enumerate(labels):
-        own = train.withColumn("label", (F.col("label") == i).cast("double"))
-        model = learn.build_estimator("boosted_trees", "binary", n).fit(own)
-        alone.append(model.transform(held).select("encounter_id", vector_to_array("probability")[1].alias(f"p{i}")))
-    scored = joint.transform(held).select("encounter_id", "label", vector_to_array("probability").alias("p"))
-    for other in alone:
-        scored = scored.join(other, "encounter_id")
-    place = F.col("label").cast("int")
-    each = F.array(*[f"p{i}" for i in range(len(labels))])
-    whole = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
-    loss = lambda p: F.avg(-F.ln(F.greatest(p, F.lit(1e-12))))
-    found = settle(scored.select("label", "p", each.alias("each"), whole.alias("whole"))).agg(
-        F.count(F.lit(1)).alias("n_rows"), loss(F.get("p", place)).alias("joint"),
-        loss(F.get("each", place) / F.col("whole")).alias("apart"))
-    counts = [r["count"] for r in train.groupBy("label").count().collect()]
-    chance = -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
-    return found.select("n_rows", (F.col("joint") <= F.col("apart") + 0.005).alias("joint_not_worse"),
-                        (F.col("joint") < chance).alias("beats_chance"))
-
-
 def top_linear_features(spark, sf):
     """The tree aggregation of vectors and the mean over exploded rows agree, and
     the order is by size. One row, so that it can be checked."""
@@ -312,7 +279,7 @@ QUERIES = {
     "boosted_multiclass_scores": _scores("boosted_trees", "multiclass",
                                          "boosted_multiclass_scores"),
     **{f.__name__: f for f in (training_sweep, model_store, linear_explanations,
-                               boosted_explanations, joint_probabilities,
+                               boosted_explanations,
                                logistic_optimum, top_linear_features, forest_importances,
                                column_permutation_loss, feature_selection,
                                resample_under_repeated_keys, resample_over_null_keys)},
@@ -339,8 +306,6 @@ t(run_order, family, sampling)""",
 count(*) AS n_adding_up, 3 * count(*) AS n_top FROM features GROUP BY 1""",
     "boosted_explanations": f"""WITH {FEATURES_SQL} SELECT split, count(*) AS n_rows,
 count(*) AS n_adding_up, 3 * count(*) AS n_top FROM features GROUP BY 1""",
-    "joint_probabilities": f"""WITH {FEATURES_SQL} SELECT count(*) AS n_rows, true AS joint_not_worse,
-true AS beats_chance FROM features WHERE split != 'train'""",
     "logistic_optimum": f"""WITH {FEATURES_SQL} SELECT count(*) AS n_rows, true AS flat,
 true AS centred FROM features WHERE split = 'train'""",
     "top_linear_features": "SELECT count(*) > 0 AS all_agree FROM orders",
