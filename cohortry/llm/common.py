@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,6 +51,27 @@ def ready(spark) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
+def released() -> None:
+    """Give memory that was freed back to the system. Spark uses a Python worker
+    again for later tasks, and it would else keep the pages of its largest one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow or an iterator UDF, giving memory back after every
+    batch that it makes."""
+    def task(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            released()
+        released()
+    return task
+
+
 def marked(docs: DataFrame) -> list[Column]:
     """The columns under names that begin with 'in_', so that an operator's own
     names clash with none of them."""
@@ -101,11 +123,15 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema, at_most: int = 4096,
             [pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
+#: Words that a worker keeps with their hashes: some 10 MB.
+KEPT_HASHES = 60_000
+
+
 class WordHash(dict):
     """64-bit hash of each word of UTF-8 bytes; forgotten when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > KEPT_HASHES:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import marked, ready, unmarked
+from cohortry.llm.common import lean, marked, ready, unmarked
 from cohortry.llm.samples import bounded_sample, held_out
 
 DIMS = 1024
@@ -142,8 +142,8 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
         vectors = Vectors()
         for texts in chunks:
             best, scores = [], []
-            for body in texts.to_pylist():
-                v = vectors.bundle(*grams(body))
+            for body in texts:
+                v = vectors.bundle(*grams(body.as_py()))
                 norm = float(np.linalg.norm(v))
                 if not norm or not labels:
                     best.append(UNKNOWN)
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
                 [pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     # The text alone goes to Python, once; the rows stay where they are.
-    scorer = F.arrow_udf(score, "lang string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    scorer = F.arrow_udf(lean(score), "lang string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
     found = docs.withColumn("_profiled", scorer(F.col(text)))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_profiled.lang").alias(lang_name),
                         F.col("_profiled.score").alias(score_name))

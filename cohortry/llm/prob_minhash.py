@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import WordHash, join_groups, marked, ready, unmarked
+from cohortry.llm.common import WordHash, join_groups, lean, marked, ready, unmarked
 from cohortry.sources.scratch import settle
 
 SHINGLE = 5
@@ -140,8 +140,8 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         known = WordHash()
         for batch in batches:
             prints, sigs, bands = [], [], []
-            for body in batch.column(batch.num_columns - 1).to_pylist():
-                hashes, counts = weighted_shingles(body, known)
+            for body in batch.column(batch.num_columns - 1):
+                hashes, counts = weighted_shingles(body.as_py(), known)
                 if not len(hashes):
                     prints.append(None), sigs.append(None), bands.append(None)
                     continue
@@ -157,7 +157,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.monotonically_increasing_id().alias("row"),
                        F.col(key).cast("bigint").alias("id"),
                        F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return settle(rows.mapInArrow(run, "row bigint, id bigint, text_hash bigint, print binary, "
+    return settle(rows.mapInArrow(lean(run), "row bigint, id bigint, text_hash bigint, print binary, "
                                        "sig binary, bands array<bigint>"))
 
 
@@ -184,7 +184,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     with_a = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     both = with_a.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,8 +198,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
         first, held = None, None
         for batch in batches:
             out = []
-            for a, part, b, text in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, counts = weighted_shingles(text, known)
+            for a, part, b, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                hashes, counts = weighted_shingles(text.as_py(), known)
                 if b is None:
                     first, held = (a, part), (hashes, weights_of(counts))
                 elif first == (a, part) and probability_jaccard(*held, hashes, weights_of(counts)) >= threshold:
@@ -217,7 +217,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD)
     with_text = wanted.join(texts, "node").select(
         "a", "part", F.when(F.col("place") == 1, F.col("node")).alias("b"), "text")
     return (with_text.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
-            .mapInArrow(run, "a bigint, b bigint"))
+            .mapInArrow(lean(run), "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -377,12 +377,13 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            found = [weighted_shingles(t, known) for t in batch.column(1).to_pylist()]
+            found = [weighted_shingles(t.as_py(), known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()),
                  pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())],
                 names=["node", "hashes", "counts"])
-    return texts.select("node", "text").mapInArrow(run, "node bigint, hashes binary, counts binary")
+    return texts.select("node", "text").mapInArrow(
+        lean(run), "node bigint, hashes binary, counts binary")
 
 
 def _links_between_labels(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame,
