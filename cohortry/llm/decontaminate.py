@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import ready, unmarked
+from cohortry.llm.common import lean, ready, unmarked
 from cohortry.sources.scratch import settle
 
 WINDOW = 10
@@ -171,30 +171,31 @@ def _blocks(items: list[tuple[str, list[bytes]]], most: int) -> list[list[tuple[
     return out
 
 
-def _scan(docs: DataFrame, names: list[str], automaton: SuffixAutomaton, carry: list[str]) -> DataFrame:
+_FOUND = "n_words bigint, spans array<array<int>>, items array<string>"
+
+
+def _scan(docs: DataFrame, names: list[str], automaton: SuffixAutomaton, text: Column,
+          carry: list[Column]) -> DataFrame:
+    """The carried columns with n_words, spans and items. The text alone goes to
+    Python; the rows stay where they are."""
     shared = docs.sparkSession.sparkContext.broadcast((names, automaton))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(chunks: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own_names, own = shared.value
-        for batch in batches:
+        for texts in chunks:
             n, spans, items = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                words = words_of(text)
+            for body in texts:
+                words = words_of(body.as_py())
                 hit, which = own.spans(words)
                 n.append(len(words))
                 spans.append([list(s) for s in hit])
                 items.append(sorted(own_names[k] for k in which))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                 pa.array(items, pa.list_(pa.string()))],
-                names=[*batch.schema.names[:-1], "n_words", "spans", "items"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+                 pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
-    spans = T.ArrayType(T.ArrayType(T.IntegerType()))
-    schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("n_words", T.LongType()),
-                           T.StructField("spans", spans),
-                           T.StructField("items", T.ArrayType(T.StringType()))])
-    return docs.select(*carry, "_text").mapInArrow(run, schema)
+    scanner = F.arrow_udf(lean(scan), _FOUND, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return docs.select(*carry, scanner(text).alias("_found")).select("*", "_found.*").drop("_found")
 
 
 def find_spans(docs: DataFrame, items: DataFrame, carry: dict[str, Column], text: str = "text",
@@ -212,21 +213,25 @@ def find_spans(docs: DataFrame, items: DataFrame, carry: dict[str, Column], text
     listed = [("null" if r[0] is None else str(r[0]), words_of(bytes(r[1]))) for r in
               items.select(item_id, F.coalesce(F.col(item_text), F.lit("")).cast("binary"))
               .orderBy(item_id).toLocalIterator()]
-    source = docs.select(*[c.alias(n) for n, c in carry.items()],
-                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+    carried = [c.alias(n) for n, c in carry.items()]
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     blocks = _blocks(listed, block_words)
-    if len(blocks) > 1:
-        # The same row must be known again in every block's result.
-        source = settle(source.withColumn("_row", F.monotonically_increasing_id()))
-    named = [c for c in source.columns if c != "_text"]
-    parts = [_scan(source, [n for n, _ in block], SuffixAutomaton([w for _, w in block], window),
-                   named) for block in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, parts).groupBy(*named).agg(
+    if len(blocks) == 1:
+        return _scan(docs, *_automaton(blocks[0], window), body, carried)
+    # The same row must be known again in every block's result.
+    source = settle(docs.select(*carried, body.alias("_text"),
+                                F.monotonically_increasing_id().alias("_row")))
+    found = reduce(DataFrame.unionByName, [
+        _scan(source, *_automaton(block, window), F.col("_text"), [F.col("_row")]) for block in blocks])
+    joined = found.groupBy("_row").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    ).withColumn("spans", _united(F.col("spans"))).drop("_row")
+    ).withColumn("spans", _united(F.col("spans")))
+    return source.drop("_text").join(joined, "_row").drop("_row")
+
+
+def _automaton(block: list[tuple[str, list[bytes]]], window: int) -> tuple[list[str], SuffixAutomaton]:
+    return [name for name, _ in block], SuffixAutomaton([words for _, words in block], window)
 
 
 def _united(spans: Column) -> Column:
@@ -284,7 +289,7 @@ def _shorten(rows: DataFrame, names: list[str], text: str) -> DataFrame:
     others = [n for n in names if n != text]
     schema = T.StructType([*[rows.schema[n] for n in others], T.StructField("left", T.BinaryType())])
     return (rows.select(*others, F.col(text).cast("binary").alias("left"), "cut")
-            .mapInArrow(run, schema).withColumn(text, F.col("left").cast("string")).select(*names))
+            .mapInArrow(lean(run), schema).withColumn(text, F.col("left").cast("string")).select(*names))
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, max_hit: int = 0, max_share: float = 1.0,

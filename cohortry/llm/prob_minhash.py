@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import WordHash, join_groups, lean, marked, ready, unmarked
+from cohortry.llm.common import WordHash, join_groups, lean, marked, ready, released, unmarked
 from cohortry.sources.scratch import settle
 
 SHINGLE = 5
@@ -305,6 +305,8 @@ def _likely_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     for i in left:
         others = right[labels[right] != labels[i]]
         sets.join(int(i), others[(sigs[others] == sigs[i]).mean(axis=1) >= least])
+    del sigs
+    released()
     return sets.table(nodes)
 
 
@@ -368,6 +370,8 @@ def _exact_links(threshold: float):
                     (ha, ca), (hb, cb) = weighted[i], weighted[j]
                     if probability_jaccard(ha, weights_of(ca), hb, weights_of(cb)) >= threshold:
                         sets.join(int(i), np.array([j]))
+        del weighted, both
+        released()
         return sets.table(nodes)
     return links
 
