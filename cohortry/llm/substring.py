@@ -108,6 +108,16 @@ def unpack_places(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             _unplanes(places, 4))
 
 
+def _groups(values: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Values by key, for the keys that occur: work does not grow with the number
+    of keys there might be."""
+    order = np.argsort(keys, kind="stable")
+    values, keys = values[order], keys[order]
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    for k, part in zip(keys[np.append(0, cuts)] if len(keys) else (), np.split(values, cuts)):
+        yield int(k), part
+
+
 class _Chunk:
     """Windows of some documents, in ascending order of document."""
 
@@ -153,18 +163,12 @@ class _Chunk:
         settled = ids[owner[order]] > least
         again = np.sort(order[settled])
         to = rows[owner[again]] % self.ranges
-        for k in np.unique(to):
-            at = again[to == k]
-            yield (int(k), 1, pack_places(ids[owner[at]], rows[owner[at]], at - starts[owner[at]]))
+        for k, at in _groups(again, to):
+            yield k, 1, pack_places(ids[owner[at]], rows[owner[at]], at - starts[owner[at]])
         # The smallest document's own repeats share its fate: each is sent.
         open_ = order[~settled]
-        open_ = open_[np.argsort(ranges[open_].astype(np.uint32), kind="stable")]
-        open_ranges = ranges[open_]
-        cuts = np.searchsorted(open_ranges, np.arange(self.ranges + 1))
-        for k in range(self.ranges):
-            if cuts[k] == cuts[k + 1]:
-                continue
-            at = np.sort(open_[cuts[k]:cuts[k + 1]])
+        for k, at in _groups(open_, ranges[open_]):
+            at = np.sort(at)
             begin = np.flatnonzero(np.diff(owner[at], prepend=-1))
             which = owner[at[begin]]
             # Places count from the chunk's first window; starts say where each
@@ -222,12 +226,8 @@ def _judge(teams: int):
             n = np.diff(np.append(first, len(places)))
             parts.append((np.repeat(docs, n), np.repeat(rows, n), places))
         docs, rows, places = (np.concatenate(c) for c in zip(*parts))
-        team = rows % teams
-        order = np.argsort(team, kind="stable")
-        cuts = np.searchsorted(team[order], np.arange(teams + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k]:cuts[k + 1]]
-            yield int(k), pack_places(docs[at], rows[at], places[at])
+        for k, at in _groups(np.arange(len(rows)), rows % teams):
+            yield k, pack_places(docs[at], rows[at], places[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def all_rows() -> Iterator[tuple[int, bytes]]:
