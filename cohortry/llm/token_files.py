@@ -4,8 +4,9 @@ All documents' ids, each document closed by an end id, form one stream in
 ascending order of document, or in an order that the caller names. A file holds a piece of it, cut into sequences of
 ``SEQUENCE`` ids as fixed-size lists, with a mask of the same shape, one bit each,
 that is true for ids and false for the padding at a file's end. Ids take two bytes
-where the vocabulary allows. A memory-mapped file gives sequence k as a slice of
-one buffer. Each batch also lists where documents begin.
+where the vocabulary allows. Each batch also lists where documents begin. The
+index knows where a file's batches lie, so ``sequence`` opens the batch of sequence
+k alone and gives ids and mask as slices of the mapped file.
 
 Files are Arrow stream files: schema, then record batches of BATCH sequences.
 A task's files have names of their own; the written index table names those that
@@ -14,9 +15,11 @@ count.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 from struct import pack
@@ -48,6 +51,15 @@ _UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-\xff]|<\\|")
 #: composed or taken apart.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%#&|()]*)")
 _SIGNS = frozenset(".,!?;:*$%#&|()")
+#: The rules for which the short ways of WordEncoder hold. They are
+#: those of the vocabulary file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+        "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def default_tokenizer() -> str:
@@ -56,6 +68,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _splits_into_words(tokenizer) -> bool:
+    """Whether a text's ids are those of its words in turn, by the rules above, and
+    nothing but ids of pieces can come out."""
+    rules = [part and json.loads(part.__getstate__())
+             for part in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    return (rules == [_NORMALIZER, _PRE_TOKENIZER] and tokenizer.truncation is None
+            and tokenizer.padding is None and not tokenizer.model.dropout
+            and all(t.content.startswith("<|")
+                    for t in tokenizer.get_added_tokens_decoder().values()))
+
+
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
@@ -63,7 +86,8 @@ class WordEncoder:
     are those of its words in turn. A word of plain letters with signs after it is
     two pieces, which go straight to the library's model, in the characters that
     its byte step gives them. Any other word goes through the whole tokenizer, and
-    so does a text with control characters.
+    so does a text with control characters. Files of other rules are read too: their
+    texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -71,9 +95,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
-        letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
-        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.bytes_of = str.maketrans({c: split(c)[0][0] for c in letters})
+        self.by_words = _splits_into_words(self.tokenizer)
+        if self.by_words:
+            letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.bytes_of = str.maketrans({c: split(c)[0][0] for c in letters})
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -105,6 +131,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [self._whole(t) for t in texts]
         split = [t.lower().split() if not _UNUSUAL.search(t) else
                  None if _ODD.search(t) else t.split() for t in texts]
         wanted = set(chain.from_iterable(words for words in split if words))
@@ -121,7 +149,10 @@ class WordEncoder:
 
 _DOC_IDS, _DOC_STARTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _INDEX = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()),
-                    ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+                    ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
+                    ("batch_firsts", pa.list_(pa.int64())), ("batch_offsets", pa.list_(pa.int64()))])
+_INDEX_DDL = ("part int, number int, file string, n_docs bigint, n_tokens bigint, "
+              "batch_firsts array<bigint>, batch_offsets array<bigint>")
 
 
 def id_type(vocabulary: int) -> pa.DataType:
@@ -130,7 +161,8 @@ def id_type(vocabulary: int) -> pa.DataType:
 
 
 class SequenceFile:
-    """One file being written. Ids beyond a full batch are written at once."""
+    """One file being written. Ids beyond a full batch are written at once.
+    ``firsts`` and ``offsets`` tell each batch's first sequence and first byte."""
 
     def __init__(self, store, path: str, kind: pa.DataType):
         self.schema = pa.schema([("input_ids", pa.list_(kind, SEQUENCE)),
@@ -141,6 +173,7 @@ class SequenceFile:
         self.writer = pa.ipc.new_stream(self.sink, self.schema)
         self.held, self.n, self.starts = [], 0, []
         self.n_docs = self.n_tokens = self.sequences = 0
+        self.firsts, self.offsets = [], []
 
     def add(self, doc: int | None, ids: bytes) -> None:
         self.starts.append((doc, self.n))
@@ -166,6 +199,8 @@ class SequenceFile:
         for i in range(0, n, BATCH):
             j = min(n, i + BATCH)
             cut = slice(i * SEQUENCE, j * SEQUENCE)
+            self.firsts.append(self.sequences + i)
+            self.offsets.append(self.sink.tell())
             self.writer.write_batch(pa.RecordBatch.from_arrays(
                 [pa.FixedSizeListArray.from_arrays(pa.array(full[cut]), SEQUENCE),
                  pa.FixedSizeListArray.from_arrays(pa.array(mask[cut]), SEQUENCE),
@@ -195,7 +230,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
 
         def finish() -> None:
             out.close()
-            done.append((part, len(done), name, out.n_docs, out.n_tokens))
+            done.append((part, len(done), name, out.n_docs, out.n_tokens,
+                         out.firsts, out.offsets))
 
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
@@ -234,8 +270,9 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
                     end_id: int = END_ID, key: str = "doc_id", text: str = "text",
                     order: list[Column] | None = None) -> DataFrame:
     """Write all documents; the written index (part, number, file, n_docs,
-    n_tokens). Parts ascend with the columns of ``order``, and numbers inside a
-    part; where they are equal or not given, with doc_id and the text's hash."""
+    n_tokens, batch_firsts, batch_offsets). Parts ascend with the columns of
+    ``order``, and numbers inside a part; where they are equal or not given, with
+    doc_id and the text's hash."""
     ready(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     first = {f"order_{i}": c for i, c in enumerate(order or [])}
@@ -244,7 +281,27 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
                .orderBy(*first, F.asc_nulls_first("doc_id"), F.xxhash64("text"))
                .select("doc_id", "text"))
     return settle(ordered.mapInArrow(_write(folder, tokenizer or default_tokenizer(), end_id),
-                                     "part int, number int, file string, n_docs bigint, n_tokens bigint"))
+                                     _INDEX_DDL))
+
+
+def sequence(source: pa.NativeFile, firsts: list[int], offsets: list[int],
+             k: int) -> tuple[pa.Array, pa.Array]:
+    """Ids and mask of sequence ``k`` of an open file, from the row of the index that
+    names it. Only the schema and the one batch are opened; where ``source`` is a
+    memory map both arrays are slices of it and nothing is copied. The mask has one
+    bit for each id."""
+    at = bisect_right(firsts, k) - 1
+    if at < 0:
+        raise IndexError(f"no sequence {k}")
+    source.seek(0)
+    schema = pa.ipc.read_schema(source)
+    if at:  # The first batch follows the schema, which is written with it.
+        source.seek(offsets[at])
+    batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+    if k - firsts[at] >= batch.num_rows:
+        raise IndexError(f"no sequence {k}")
+    cut = slice((k - firsts[at]) * SEQUENCE, (k - firsts[at] + 1) * SEQUENCE)
+    return batch.column("input_ids").flatten()[cut], batch.column("mask").flatten()[cut]
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
