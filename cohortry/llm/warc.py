@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -41,12 +42,14 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def record(kind: str, record_id: str, url: str, payload: bytes, digest: str, n_bytes: int,
-           refers_to: str | None = None) -> bytes:
+           refers_to: str | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One record as a gzip member. A revisit's block is empty; its headers tell
-    digest and length of the payload that it stands for."""
+    digest and length of the payload that it stands for. ``date`` is when the
+    record was made, in UTC."""
     block = payload if kind == "response" else b""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>",
-            f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}",
+            f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+            f"WARC-Payload-Digest: sha256:{digest}",
             f"X-Payload-Length: {n_bytes}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{refers_to}>"]
@@ -74,7 +77,10 @@ def _members(stream) -> Iterator[bytes | None]:
     while packed := packed or stream.read(_BLOCK):
         inflater = zlib.decompressobj(31)
         while not inflater.eof:
-            piece = inflater.decompress(packed, _BLOCK)
+            try:
+                piece = inflater.decompress(packed, _BLOCK)
+            except zlib.error as error:
+                raise WarcError(f"a record is not a whole gzip member: {error}") from error
             packed = inflater.unconsumed_tail
             if piece:
                 yield piece
@@ -104,7 +110,10 @@ def read_records(stream, keep_payload: bool = False) -> Iterator[Record]:
             if end < 0:
                 continue
             current = Record(_headers(bytes(head[:end])))
-            current.n_bytes = left = int(current.headers["content-length"])
+            length = current.headers.get("content-length", "")
+            if not (length.isascii() and length.isdigit()):
+                raise WarcError(f"a record's content length is {length!r}")
+            current.n_bytes = left = int(length)
             sha, piece = hashlib.sha256(), bytes(head[end + 4:])
         body, rest = piece[:max(0, left)], piece[max(0, left):]
         sha.update(body)
@@ -124,7 +133,7 @@ def _headers(head: bytes) -> dict[str, str]:
 
 def _verify(found: Record) -> None:
     said = found.headers.get("warc-payload-digest", "").removeprefix("sha256:")
-    if found.headers["warc-type"] == "response" and said != found.sha256:
+    if found.headers.get("warc-type") == "response" and said != found.sha256:
         raise WarcError(f"record {found.headers.get('warc-record-id')} fails its digest")
 
 
@@ -158,7 +167,7 @@ def _text(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
@@ -172,7 +181,7 @@ def _write(folder: str):
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
                 again = first_row is not None and first_row != row
                 packed = record("revisit" if again else "response", f"page:{page}", _text(url),
-                                payload, digest, len(payload), f"page:{first}" if again else None)
+                                payload, digest, len(payload), f"page:{first}" if again else None, date)
                 out.write(packed)
                 size, n = size + len(packed), n + 1
                 if size >= FILE_BYTES:
@@ -186,11 +195,13 @@ def _write(folder: str):
     return run
 
 
-def write_archives(marked: DataFrame, folder: str) -> DataFrame:
-    """Write the rows of ``with_revisits``; the written table (file, records)."""
+def write_archives(marked: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Write the rows of ``with_revisits``; the written table (file, records). All
+    records of a call have one date: ``date``, or the time of the call."""
     ready(marked.sparkSession)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     return settle(marked.select("page_id", "row", "url", "payload", "digest", "first_id", "first_row")
-                  .mapInArrow(_write(folder), "file string, records bigint"))
+                  .mapInArrow(_write(folder, date), "file string, records bigint"))
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()),
@@ -214,7 +225,10 @@ def _read(folder: str):
                     with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                         for r in read_records(stream):
                             h, n = r.headers, n + 1
-                            yield (_page(h["warc-record-id"]), int(h["x-payload-length"]),
+                            # The framed length; a revisit's block is empty.
+                            n_bytes = (int(h["x-payload-length"]) if h["warc-type"] == "revisit"
+                                       else r.n_bytes)
+                            yield (_page(h["warc-record-id"]), n_bytes,
                                    h["warc-payload-digest"].removeprefix("sha256:"),
                                    h["warc-type"], _page(h.get("warc-refers-to")),
                                    h["warc-target-uri"])
