@@ -1,8 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a
 two-layer network with calibrated probabilities.
 
-A word's vector is the sum of the fixed sparse random vectors of the words around
-it in the training texts. A document is the mean of its words' vectors. The
+Every word has a fixed sparse random index vector, made from its hash. A word's
+vector is the sum of the index vectors of the words around it in the training
+texts; a word that those texts lack takes the index vectors around it where it
+stands. A document is the mean of its words' vectors. The
 network is trained with numpy on a bounded sample of labelled rows; a temperature
 fitted on rows that the training left out makes its outputs probabilities.
 """
@@ -12,25 +14,27 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import batches_of, ready
+from cohortry.llm.common import WordHash, batches_of, ready
 from cohortry.llm.samples import bounded_sample, held_out
 from cohortry.sources.scratch import settle
 
 DIMS = 64
 NONZERO = 4
 REACH = 2
-#: Bounds of the labelled sample and of the vocabulary that is learned from it.
+#: Bounds of the labelled sample and of the vectors that are learned from it. Words
+#: beyond the bound, or rarer than LEAST_COUNT, count as words that the sample lacks.
 PER_LABEL = 4000
-VOCABULARY = 20_000
+VOCABULARY = 65_536
 LEAST_COUNT = 3
+#: Places of a text whose vectors are made at once.
+PLACES = 8192
 HIDDEN = 32
 THRESHOLD = 0.7
 SEED = 42
@@ -47,12 +51,12 @@ def tokens(text: str | None) -> list[str]:
             for w, before, earlier in zip(found, ["", *found], ["", "", *found])]
 
 
-def index_vector(token: str) -> np.ndarray:
-    """A sparse random vector of +1 and -1, the same wherever it is made."""
-    rng = np.random.default_rng(xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")))
-    out = np.zeros(DIMS, np.float32)
-    out[rng.choice(DIMS, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return out
+def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse random vectors of words, from seven bits of their hash a place: the
+    places that are not zero, and +1 or -1 for each."""
+    bits = hashes[:, None] >> np.arange(0, 7 * NONZERO, 7, dtype=np.uint64)
+    return ((bits & np.uint64(DIMS - 1)).astype(np.int64),
+            ((bits >> np.uint64(6)) & np.uint64(1)).astype(np.float32) * 2 - 1)
 
 
 def vocabulary(sample: DataFrame, text: str = "text", most: int = VOCABULARY,
@@ -71,39 +75,44 @@ def vocabulary(sample: DataFrame, text: str = "text", most: int = VOCABULARY,
     return {r["token"]: i + 1 for i, r in enumerate(kept)}
 
 
-def _numbers(body: str | None, known: dict[str, int]) -> np.ndarray:
-    return np.array([known.get(t, 0) for t in tokens(body)], np.int64)
+def _numbers(body: str | None, known: dict[str, int],
+             hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and hashes of a text's tokens."""
+    found = tokens(body)
+    return (np.array([known.get(t, 0) for t in found], np.int64),
+            np.array([hashes[t] for t in found], np.uint64))
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms > 0, norms, 1)
 
 
 def word_vectors(sample: DataFrame, known: dict[str, int], text: str = "text") -> np.ndarray:
     """Unit vectors by token number: sums of the index vectors of the tokens at
     most REACH places away, over the bounded sample. The sample is read by a few
     tasks, each of which sends one table of the vocabulary's size."""
-    names = ["<other>", *known]
-    index = np.array([index_vector(t) for t in names])
-    places = np.array([np.flatnonzero(v) for v in index])
-    signs = np.take_along_axis(index, places, axis=1)
-    size = len(names)
-    shared = sample.sparkSession.sparkContext.broadcast((known, places, signs))
+    size = len(known) + 1
+    shared = sample.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, where, sign = shared.value
+        numbers, hashes = shared.value, WordHash()
         sums = np.zeros(size * DIMS)
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                ids = _numbers(body, numbers)
+                ids, hashed = _numbers(body, numbers, hashes)
+                where, sign = index_vectors(hashed)
                 for step in range(1, REACH + 1):
-                    for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-                        at = (a[:, None] * DIMS + where[b]).ravel()
-                        np.add.at(sums, at, sign[b].ravel())
+                    for a, w, s in ((ids[:-step], where[step:], sign[step:]),
+                                    (ids[step:], where[:-step], sign[:-step])):
+                        np.add.at(sums, (a[:, None] * DIMS + w).ravel(), s.ravel())
         yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f4").tobytes()], pa.binary())],
                                          names=["sums"])
 
     parts = sample.select(text).coalesce(4).mapInArrow(run, "sums binary").collect()
     total = sum(np.frombuffer(r["sums"], "<f4").astype(np.float64) for r in parts)
     vectors = (total if len(parts) else np.zeros(size * DIMS)).reshape(size, DIMS)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
+    return _unit(vectors).astype(np.float32)
 
 
 @dataclass
@@ -113,19 +122,40 @@ class Model:
     layers: tuple[np.ndarray, ...]
     temperature: float
 
+    hashes: WordHash = field(default_factory=WordHash, repr=False)
+
     def pooled(self, body: str | None) -> np.ndarray:
         """The mean of the tokens' vectors; zero for a text without tokens."""
-        ids = _numbers(body, self.known)
+        ids, hashes = _numbers(body, self.known, self.hashes)
         if not len(ids):
             return np.zeros(DIMS, np.float32)
         counts = np.bincount(ids)
+        counts[0] = 0
         some = np.flatnonzero(counts)
-        return (counts[some].astype(np.float32) @ self.vectors[some]) / len(ids)
+        total = counts[some].astype(np.float32) @ self.vectors[some]
+        unseen = np.flatnonzero(ids == 0)
+        for begin in range(0, len(unseen), PLACES):
+            total = total + _around(hashes, unseen[begin:begin + PLACES]).sum(axis=0)
+        return (total / len(ids)).astype(np.float32)
 
     def scores(self, pooled: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-_margin(pooled, self.layers) / self.temperature))
 
 
+def _around(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Unit vectors of tokens by the index vectors of the tokens around them in their
+    own text."""
+    cells, signs = [], []
+    for step in (s for r in range(1, REACH + 1) for s in (-r, r)):
+        at = places + step
+        inside = np.flatnonzero((at >= 0) & (at < len(hashes)))
+        where, sign = index_vectors(hashes[at[inside]])
+        cells.append((inside[:, None] * DIMS + where).ravel())
+        signs.append(sign.ravel())
+    sums = np.bincount(np.concatenate(cells), np.concatenate(signs), len(places) * DIMS)
+    return _unit(sums.reshape(-1, DIMS))
+
+
 def _margin(x: np.ndarray, layers: tuple[np.ndarray, ...]) -> np.ndarray:
     mean, scale, w1, b1, w2, b2 = layers
     return np.tanh((x - mean) / scale @ w1 + b1) @ w2 + b2
@@ -173,10 +203,13 @@ def fit_temperature(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> f
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Fit on about ``per_label`` labelled rows of each label, none of them held
     out. Rows are weighted back to the labels' true shares. Every fifth row of
-    the sample is left for the temperature. Without labels the score is 0.5."""
+    the sample is left for the temperature. An id with two different labels teaches
+    nothing; one that repeats a label counts once. Without labels the score is 0.5."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()
                          & ~held_out(F.col("doc_id"))).select(
-        "doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+        "doc_id", F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.max("quality").alias("other")).where(
+        "quality = other").drop("other")
     shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = bounded_sample(known, "quality", per_label)
     sample = settle(docs.select("doc_id", "text").join(chosen, "doc_id"))
