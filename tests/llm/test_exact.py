@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,10 +53,45 @@ def test_exact_dedup_with_hot_groups(spark, parts):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 16])
+def test_merge_tree_with_any_fan(spark, odd, fan):
+    df = odd.repartition(11)
+    assert rows_of(run_merge.exact_dedup(df, fan=fan)) == rows_of(run_merge.exact_dedup(df, fan=5))
+
+
 def test_merge_tree_covers_all_runs():
     for n in (1, 2, 7, 8, 9, 64, 1000, 5000, 100_000):
-        fan, count = run_merge.rounds(n)
-        assert fan ** count >= n
+        for fan in (2, 3, 50):
+            count = run_merge.rounds(n, fan)
+            assert fan ** count >= n and (count == 1 or fan ** (count - 1) < n)
+
+
+def test_equal_texts_are_one_entry_of_each_run(spark):
+    df = spark.range(0, 20_000, 1, 16).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
+    blocks = run_merge.leaf_runs(run_merge.digests(df)).collect()
+    entries = [pa.ipc.read_record_batch(pa.py_buffer(b.body), run_merge._ENTRY) for b in blocks]
+    assert [e.num_rows for e in entries] == [1] * 16
+    assert sum(e.column("copies")[0].as_py() for e in entries) == 20_000
+
+
+def test_blocks_merge_in_order_with_one_open_block_a_run(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(run_merge, "BLOCK", 10)
+    runs, blocks = [], []
+    for run in range(3):
+        rows = sorted({bytes([rng.randrange(256)]) * 32 for _ in range(200)})
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.binary())] + [pa.array([1] * len(rows), pa.int64())] * 6,
+            schema=run_merge._ENTRY)
+        pieces = [batch.slice(i, 5) for i in range(0, len(rows), 5)]
+        blocks += [b[1:] for b in run_merge._packed(pieces, run, 1)]
+        runs += rows
+    assert len(blocks) > 30
+    merged = list(run_merge.merge_blocks(sorted(blocks)))
+    got = [d for b in merged for d in b.column("digest").to_pylist()]
+    assert got == sorted(runs) and max(b.num_rows for b in merged) <= 3 * 10
+    folded = [d for b in run_merge._fold(iter(merged)) for d in b.column("digest").to_pylist()]
+    assert folded == sorted(set(runs))
 
 
 def substring_by_hand(rows, window):
@@ -273,3 +309,20 @@ def test_warc_reader_refuses_damage():
         with pytest.raises(warc.WarcError, match=why):
             list(warc.read_records(io.BytesIO(cut)))
     assert list(warc.read_records(io.BytesIO(b""))) == []
+    plain = gzip.decompress(good)
+    for lines in (plain.replace(b"Content-Length", b"Some-Length"),
+                  plain.replace(b"Content-Length: ", b"Content-Length: x")):
+        with pytest.raises(warc.WarcError, match="content length"):
+            list(warc.read_records(io.BytesIO(gzip.compress(lines))))
+    broken = bytearray(good)
+    broken[len(good) // 2:] = b"\xff" * (len(good) - len(good) // 2)
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(bytes(broken))))
+
+
+def test_warc_records_have_a_date_and_framed_lengths():
+    text = gzip.decompress(warc.record("response", "page:1", "u", b"abc", "0" * 64, 9,
+                                       date="2024-05-06T07:08:09Z"))
+    assert b"\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" in text
+    packed = warc.record("response", "p", "u", b"abc", hashlib.sha256(b"abc").hexdigest(), 9)
+    assert [r.n_bytes for r in warc.read_records(io.BytesIO(packed))] == [3]

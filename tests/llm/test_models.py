@@ -455,5 +455,60 @@ def test_sequences_are_slices_of_one_buffer(tmp_path, kind):
         assert mask[:len(whole)].all() and len(mask) % tf.SEQUENCE == 0
         first = batches[0].column("input_ids")[3].values.to_numpy(zero_copy_only=True)
         assert first.base is not None and len(first) == tf.SEQUENCE
+        for k in (0, 1, 63, 64, 100, out.sequences - 1):
+            ids, real = tf.sequence(file, out.firsts, out.offsets, k)
+            part = whole[k * tf.SEQUENCE:(k + 1) * tf.SEQUENCE]
+            assert len(ids) == len(real) == tf.SEQUENCE and real.true_count == len(part)
+            assert (ids.to_numpy(zero_copy_only=True)[:len(part)] == part).all()
+        assert out.firsts[0] == 0 and len(out.firsts) == len(batches)
+        # A slice of the map itself: inside its address range.
+        file.seek(0)
+        mapped, before = file.read_buffer(), pa.total_allocated_bytes()
+        ids, real = tf.sequence(file, out.firsts, out.offsets, 70)
+        assert pa.total_allocated_bytes() == before
+        for array in (ids, real):
+            assert mapped.address <= array.buffers()[1].address < mapped.address + mapped.size
+        for k in (-1, out.sequences):
+            with pytest.raises(IndexError):
+                tf.sequence(file, out.firsts, out.offsets, k)
     with pa.OSFile(str(tmp_path / "x.arrow")) as file:
         assert [(d, n) for d, _, n, _ in tf._documents(file, 7)] == [(i, len(x)) for i, x in enumerate(docs)]
+
+
+def test_other_vocabulary_files_go_through_the_whole_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    texts = ["Plain Words, and MORE words!", "", "naïve ÀÉ (x) don't", "line\nbreak  two", "\x00 odd"]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encoder, plain = tf.WordEncoder(path), Tokenizer.from_file(path)
+        assert encoder.by_words is by_words
+        want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.encode(texts) == want
+
+
+def test_quality_of_words_that_the_sample_lacks():
+    """A word without a learned vector takes the index vectors around it: pooled by hand."""
+    hashes = quality.WordHash()
+
+    def index(word):
+        (where,), (sign,) = quality.index_vectors(np.array([hashes[word]], np.uint64))
+        out = np.zeros(quality.DIMS)
+        np.add.at(out, where, sign)
+        return out
+
+    known = {"a": 1, "b": 2}
+    vectors = np.random.default_rng(0).normal(size=(3, quality.DIMS)).astype(np.float32)
+    model = quality.Model(known, vectors, (), 1.0)
+    words = "a q b r s a t".split()
+    want = np.zeros(quality.DIMS)
+    for i, w in enumerate(words):
+        if w in known:
+            want += vectors[known[w]]
+        else:
+            near = sum(index(words[j]) for j in range(max(0, i - 2), min(7, i + 3)) if j != i)
+            want += near / np.linalg.norm(near)
+    assert np.allclose(model.pooled(" ".join(words)), want / 7, atol=1e-5)
+    long = " ".join(["q"] + ["x%d" % (i % 7) for i in range(3 * quality.PLACES)])
+    assert np.isfinite(model.pooled(long)).all()
+    assert model.pooled("").sum() == 0 and model.pooled("alone").sum() == 0
