@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cohortry.functions.tokens import quoted
 
 BUCKET_ROWS = 1_000_000
+#: Further digits by which a crowded prefix is cut: 4,096 counts for the driver.
+FINER = 3
 
 
 def prefix_digits(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
@@ -43,44 +45,79 @@ def share_border(share: float) -> str:
     return f"{border:08x}" if border < 2 ** 32 else "g"
 
 
-def kth_hashes(hashes: DataFrame, ranks: list[int], digits: int | None = None) -> list[str]:
+def _located(counts: list[tuple[str, int]], positions: set[int]) -> dict[int, tuple[str, int, int]]:
+    """Per position (from 1): the prefix that holds it, the position inside, and the
+    prefix's rows."""
+    places, seen = {}, 0
+    for prefix, n in sorted(counts):
+        places |= {p: (prefix, p - seen, n) for p in positions if seen < p <= seen + n}
+        seen += n
+    return places
+
+
+def kth_hashes(hashes: DataFrame, ranks: list[int], digits: int | None = None,
+               bucket_rows: int = BUCKET_ROWS) -> list[str]:
     """Hashes at the given ranks (from 1) of a one-column table ``h``.
 
     The driver sees one count per prefix, of which there is about one for each
-    BUCKET_ROWS rows; only the prefixes that hold a wanted rank are ranked, each
-    in a task of its own. Null hashes have no rank.
+    ``bucket_rows`` rows; only the prefixes that hold a wanted rank are ranked, each
+    in a task of its own. One that holds over twice as many rows, as that of a
+    repeated key does, is first cut finer by further digits, FINER at a time, until
+    it is small or holds one hash. Null hashes have no rank.
     """
     hashes = hashes.where("h IS NOT NULL")
-    digits = digits or prefix_digits(hashes.count())
-    prefixed = hashes.select("h", F.substring("h", 1, digits).alias("prefix"))
-    counts = sorted((r["prefix"], r["count"]) for r in prefixed.groupBy("prefix").count().collect())
-    places, seen = {}, 0
-    for prefix, n in counts:
-        for rank in ranks:
-            if seen < rank <= seen + n:
-                places[rank] = (prefix, rank - seen)
-        seen += n
+    digits = digits or prefix_digits(hashes.count(), bucket_rows)
+
+    def counted(rows: DataFrame, n: int) -> list[tuple[str, int]]:
+        return [tuple(r) for r in rows.groupBy(F.substring("h", 1, n)).count().collect()]
+
+    whole = counted(hashes, digits)
+    places = _located(whole, set(ranks))
     if set(places) != set(ranks):
-        raise ValueError(f"ranks {sorted(set(ranks) - set(places))} lie outside 1..{seen}")
-    wanted = hashes.sparkSession.createDataFrame(
-        sorted(set(places.values())), "prefix string, position long")
-    order = Window.partitionBy("prefix").orderBy("h")
-    near = prefixed.where(F.col("prefix").isin(*sorted({p for p, _ in places.values()})))
-    ranked = near.withColumn("position", F.row_number().over(order).cast("long"))
-    found = {(r["prefix"], r["position"]): r["h"] for r in
-             ranked.join(F.broadcast(wanted), ["prefix", "position"]).collect()}
-    return [found[places[rank]] for rank in ranks]
-
-
-def number_rows_by_hash(df: DataFrame, hashed: Column, name: str,
-                        digits: int | None = None) -> DataFrame:
+        raise ValueError(f"ranks {sorted(set(ranks) - set(places))} lie outside "
+                         f"1..{sum(n for _, n in whole)}")
+    length = hashes.agg(F.max(F.length("h"))).first()[0] if places else 0
+    while crowded := {p for p, _, n in places.values()
+                      if n > 2 * bucket_rows and len(p) < length}:
+        for prefix in crowded:
+            inside = {at: rank for rank, (p, at, _) in places.items() if p == prefix}
+            finer = counted(hashes.where(F.col("h").startswith(prefix)), len(prefix) + FINER)
+            found = _located(finer, set(inside))
+            places |= {rank: found[at] for at, rank in inside.items()}
+    # A prefix of full length is the hash.
+    known = {rank: p for rank, (p, _, _) in places.items() if len(p) >= length}
+    wanted = {(p, at) for p, at, _ in places.values() if len(p) < length}
+    if wanted:
+        prefixes = sorted({p for p, _ in wanted})
+        prefix = F.coalesce(*[F.when(F.col("h").startswith(p), p) for p in prefixes])
+        near = hashes.select("h", prefix.alias("prefix")).where("prefix IS NOT NULL")
+        order = Window.partitionBy("prefix").orderBy("h")
+        table = hashes.sparkSession.createDataFrame(sorted(wanted), "prefix string, position long")
+        found = {(r["prefix"], r["position"]): r["h"] for r in near.withColumn(
+            "position", F.row_number().over(order).cast("long")).join(
+            F.broadcast(table), ["prefix", "position"]).collect()}
+        known |= {rank: found[(p, at)] for rank, (p, at, _) in places.items() if (p, at) in found}
+    return [known[rank] for rank in ranks]
+
+
+def number_rows_by_hash(df: DataFrame, hashed: Column, name: str, digits: int | None = None,
+                        bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows numbered 0, 1, 2, ... in hash order.
 
     Rank inside a prefix plus the count of all earlier prefixes. There is about
-    one prefix for each BUCKET_ROWS rows, hence the broadcast of their counts.
+    one prefix for each ``bucket_rows`` rows, hence the broadcast of their counts. A
+    prefix with over twice as many rows, as that of a repeated key, is cut into
+    cells by a hash of the hash, and inside it rows are numbered cell by cell.
     """
-    digits = digits or prefix_digits(df.count())
+    digits = digits or prefix_digits(df.count(), bucket_rows)
     keyed = df.withColumn("_h", hashed).withColumn("_prefix", F.substring("_h", 1, digits))
+    crowded = [(r["_prefix"], prefix_digits(r["count"], bucket_rows)) for r in
+               keyed.groupBy("_prefix").count().where(F.col("count") > 2 * bucket_rows).collect()]
+    if crowded:
+        cells = F.broadcast(df.sparkSession.createDataFrame(crowded, "_prefix string, _more int"))
+        more = F.expr("substring(md5(CAST(_h AS BINARY)), 1, coalesce(_more, 0))")
+        keyed = keyed.join(cells, "_prefix", "left").withColumn(
+            "_prefix", F.concat("_prefix", more)).drop("_more")
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     starts = (keyed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
               .select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))

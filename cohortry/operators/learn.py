@@ -167,13 +167,27 @@ def _weight_column(weights: dict[float, float]) -> Column:
     return chain.otherwise(F.lit(1.0))
 
 
+#: Copies made by one explode; a row that is drawn more often is exploded in
+#: blocks of this many, so no array grows with the data.
+COPY_BLOCK = 1000
+
+
+def _repeated(row: DataFrame, times: int) -> DataFrame:
+    """Each row ``times`` times, made by many tasks where that is often."""
+    blocks = row.withColumn("_block", F.explode(F.expr(
+        f"sequence(0L, {times}L div {COPY_BLOCK})")))
+    size = f"CAST(least({times}L - _block * {COPY_BLOCK}, {COPY_BLOCK}) AS INT)"
+    return blocks.repartition("_block").withColumn(
+        "_copy", F.explode(F.expr(f"array_repeat(0, {size})"))).drop("_block", "_copy")
+
+
 def undersample(df: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """As many rows of each class as the smallest class has, drawn by hash.
 
     Per larger class one hash marks the border, so rows are kept by a filter
     and no class is gathered in one task. Rows that share the border's hash are
-    equal in all columns; as many of them are kept as the size still lacks. Null
-    and repeated keys are drawn like others.
+    equal in all columns, so one of them is repeated as often as the size still
+    lacks rows. Null and repeated keys are drawn like others.
     """
     sizes = {r["label"]: r["n"] for r in class_weights(df, label).collect()}
     smallest = min(sizes.values(), default=0)
@@ -186,17 +200,12 @@ def undersample(df: DataFrame, key: str, label: str = "label", seed: int = 42) -
             (border,) = kth_hashes(rows.select(F.col("_hash").alias("h")), [smallest])
             at_border = rows.where(F.col("_hash") == F.lit(border))
             lacking = smallest - rows.where(F.col("_hash") < F.lit(border)).count()
-            ties.append(at_border.limit(lacking))
+            ties.append(_repeated(at_border.limit(1), lacking))
             of_class = of_class & (F.col("_hash") < F.lit(border))
         keep = keep | of_class
     return reduce(DataFrame.unionByName, ties, hashed.where(keep)).drop("_hash")
 
 
-#: Copies made by one explode; a row that is drawn more often is exploded in
-#: blocks of this many, so no array grows with the data.
-COPY_BLOCK = 1000
-
-
 def oversample(df: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
     """All rows, and per smaller class as many draws with replacement as bring
     it to the size of the largest class.

@@ -9,7 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortry.operators import metrics as m
-from cohortry.operators.hashrank import kth_hashes, number_rows_by_hash, seeded_hash
+from cohortry.operators.hashrank import (
+    kth_hashes, number_rows_by_hash, seeded_hash, seeded_row_hash,
+)
+from cohortry.operators.learn import undersample
 from cohortry.operators.quality import duplicate_row_count, numeric_summary
 from cohortry.operators.quantiles import exact_quantiles
 from cohortry.operators.skew import attach_group_size
@@ -97,6 +100,30 @@ def test_kth_hash_and_numbering(spark):
     assert [r.h for r in numbered] == want
 
 
+def test_ranks_and_numbers_of_a_hot_key(spark):
+    """A third of the keys are null and many rows are equal: no task gets them all."""
+    rows = [(None if i % 3 == 0 else i, i // 2) for i in range(1200)] + [(7, 7)] * 300
+    df = spark.createDataFrame(rows, "k int, x int").repartition(5)
+    hashed = df.withColumn("h", seeded_row_hash(df, F.col("k"), 42))
+    want = sorted(r.h for r in hashed.select("h").collect())
+    ranks = [1, 400, 777, 1200, 1500]
+    got = kth_hashes(hashed.select("h"), ranks, bucket_rows=20)
+    assert got == [want[r - 1] for r in ranks]
+    numbered = number_rows_by_hash(df, seeded_row_hash(df, F.col("k"), 42), "n", bucket_rows=20)
+    assert sorted(r.n for r in numbered.collect()) == list(range(1500))
+    assert [tuple(r) for r in numbered.select("k", "x", "n").orderBy("n").collect()] == [
+        tuple(r) for r in numbered.select("k", "x", "n").orderBy("n").collect()]
+    under = undersample(df.withColumn("label", F.when(F.col("x") < 50, 1).otherwise(0)), "k")
+    assert {r.label: r["count"] for r in under.groupBy("label").count().collect()} == {
+        0: 400, 1: 400}
+
+
+def test_undersampling_equal_rows(spark):
+    df = spark.createDataFrame([(1, 0)] * 5000 + [(i, 1) for i in range(2500)], "k int, label int")
+    got = undersample(df.repartition(4), "k").groupBy("label").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 2500), (1, 2500)]
+
+
 @pytest.mark.parametrize("hot_keys,broadcast_bytes", [(1, 0), (3, 0), (1000, 0), (1000, 10**9)])
 def test_group_sizes_with_a_hot_key(spark, hot_keys, broadcast_bytes):
     keys = [0] * 400 + [i % 50 + 1 for i in range(300)] + [1000 + i for i in range(100)]
