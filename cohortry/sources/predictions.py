@@ -80,7 +80,9 @@ def prediction_records(scored: DataFrame, selected_inputs=presets.MONITORED_COLU
 
 
 def write_log(records: DataFrame, path: str, append: bool = False) -> None:
-    records.write.mode("append" if append else "overwrite").json(path)
+    """JSON lines in gzip files, a file per task: every record repeats all field names.
+    Logs with plain files, or both kinds, are read alike."""
+    records.write.mode("append" if append else "overwrite").json(path, compression="gzip")
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 
 from cohortry.functions import features as fx
 from cohortry.plans import job_queries
+from cohortry.sources import predictions as pr
 from cohortry.sources.scratch import keep_methods_compiled
 
 
@@ -41,3 +42,15 @@ def test_limit_of_methods_is_lowered_and_a_lower_one_stays(spark):
         assert spark.conf.get(name) == "4000"
     finally:
         spark.conf.set(name, before)
+
+
+def test_log_is_written_small_and_read_together_with_plain_files(spark, tmp_path):
+    path = str(tmp_path / "log")
+    records = spark.range(2000).selectExpr("CAST(id % 2 AS INT) AS binary_prediction", "'batch' AS prediction_source")
+    records.write.json(path)
+    plain = sum(f.stat().st_size for f in (tmp_path / "log").glob("*.json"))
+    pr.write_log(records, path, append=True)
+    small = sum(f.stat().st_size for f in (tmp_path / "log").glob("*.json.gz"))
+    assert 0 < small < plain / 4
+    back = pr.read_log(spark, path)
+    assert back.count() == 4000 and back.where("binary_prediction = 1").count() == 2000
