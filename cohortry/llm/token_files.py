@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import batches_of, ready
+from cohortry.llm.common import batches_of, lean, ready, released
 from cohortry.llm.warc import open_store
 from cohortry.sources.scratch import scratch_path, settle
 
@@ -39,8 +39,11 @@ SEQUENCE = 2048
 #: Sequences of one record batch; sequences after which a task begins a new file.
 BATCH = 64
 FILE_SEQUENCES = 1 << 15
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker keeps, twice: those met since the last change, and those met
+#: before it. With their ids they are some 60 MB. Signs after words are counted apart.
+KEPT_WORDS, KEPT_SIGNS = 130_000, 4_000
+#: Characters that are split into words together.
+SPLIT_CHARS = 1 << 19
 #: Control characters on which the two sides' white space may differ.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 #: What keeps a text from being turned into small letters first: those characters,
@@ -101,47 +104,74 @@ class WordEncoder:
             split = self.tokenizer.pre_tokenizer.pre_tokenize_str
             self.bytes_of = str.maketrans({c: split(c)[0][0] for c in letters})
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
+    def _ids(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() else piece.translate(self.bytes_of)
+        ids = [t.id for t in self.tokenize(plain)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of small letters alone, which are a word themselves."""
+        known = self.words.get(piece)
+        if known is None:
+            known = self.older.get(piece)
+            if known is None:
+                known = self._ids(piece)
+            self.words[piece] = known
+        return known
+
+    def _signs(self, piece: str) -> bytes:
+        known = self.signs.get(piece)
         if known is None:
-            if len(self.pieces) > KEPT_WORDS:
-                self.pieces.clear()
-            plain = piece if piece.isascii() else piece.translate(self.bytes_of)
-            ids = [t.id for t in self.tokenize(plain)]
-            known = self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
+            if len(self.signs) >= KEPT_SIGNS:
+                self.signs.clear()
+            known = self.signs[piece] = self._ids(piece)
         return known
 
     def _word(self, word: str) -> bytes:
         if word.isascii():
             # The two commonest forms, without a pattern.
             if word.isalpha():
-                return self._piece(word.lower())
+                return self._letters(word.lower())
             if word[-1] in _SIGNS and word[:-1].isalpha():
-                return self._piece(word[:-1].lower()) + self._piece(word[-1])
+                return self._letters(word[:-1].lower()) + self._signs(word[-1])
         if found := _SIMPLE.fullmatch(word):
             letters, signs = found.groups()
-            return self._piece(letters.lower()) + (self._piece(signs) if signs else b"")
+            return self._letters(letters.lower()) + (self._signs(signs) if signs else b"")
         return self._whole(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.by_words:
             return [self._whole(t) for t in texts]
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= SPLIT_CHARS:
+                out += self._by_words(held)
+                held, size = [], 0
+        return out + self._by_words(held)
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         split = [t.lower().split() if not _UNUSUAL.search(t) else
                  None if _ODD.search(t) else t.split() for t in texts]
         wanted = set(chain.from_iterable(words for words in split if words))
         unknown = wanted.difference(self.words)
         if len(self.words) + len(unknown) > KEPT_WORDS:
-            self.words.clear()
+            # Words that are met again move on; what was not met since is dropped.
+            self.older, self.words = self.words, {}
             unknown = wanted
+        older = self.older.get
         for word in unknown:
-            self.words[word] = self._word(word)
+            known = older(word)
+            self.words[word] = self._word(word) if known is None else known
         known = self.words.__getitem__
         return [self._whole(t) if words is None else b"".join(map(known, words))
                 for t, words in zip(texts, split)]
@@ -243,6 +273,8 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 if out.sequences >= FILE_SEQUENCES:
                     finish()
                     out = None
+            del batch, ids, texts, packed
+            released()
         if out is not None:
             finish()
         yield from batches_of(done, _INDEX)
@@ -358,7 +390,7 @@ def read_documents(index: DataFrame, folder: str) -> DataFrame:
     placed = settle(index.select("file", F.coalesce(F.sum("n_tokens").over(before),
                                                     F.lit(0)).cast("bigint").alias("before"), "n_docs"))
     return (placed.repartition(max(1, placed.count()), "file").mapInArrow(
-        _read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
+        lean(_read(folder)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None,
