@@ -40,10 +40,11 @@ SEQUENCE = 2048
 BATCH = 64
 FILE_SEQUENCES = 1 << 15
 #: Words whose ids a worker keeps, twice: those met since the last change, and those met
-#: before it. With their ids they are some 60 MB. Signs after words are counted apart.
-KEPT_WORDS, KEPT_SIGNS = 130_000, 4_000
+#: before it. More of them take less time; a caller whose workers have little memory
+#: names fewer (``kept``). Signs after words are counted apart.
+KEPT_WORDS, KEPT_SIGNS = 300_000, 4_000
 #: Characters that are split into words together.
-SPLIT_CHARS = 1 << 19
+SPLIT_CHARS = 1 << 21
 #: Control characters on which the two sides' white space may differ.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 #: What keeps a text from being turned into small letters first: those characters,
@@ -93,8 +94,9 @@ class WordEncoder:
     texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         from tokenizers import Tokenizer
+        self.kept = kept or KEPT_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.size = self.tokenizer.get_vocab_size()
@@ -164,7 +166,7 @@ class WordEncoder:
                  None if _ODD.search(t) else t.split() for t in texts]
         wanted = set(chain.from_iterable(words for words in split if words))
         unknown = wanted.difference(self.words)
-        if len(self.words) + len(unknown) > KEPT_WORDS:
+        if len(self.words) + len(unknown) > self.kept:
             # Words that are met again move on; what was not met since is dropped.
             self.older, self.words = self.words, {}
             unknown = wanted
@@ -247,7 +249,7 @@ class SequenceFile:
         self.sink.close()
 
 
-def _write(folder: str, tokenizer: str, end_id: int):
+def _write(folder: str, tokenizer: str, end_id: int, kept: int | None = None):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +257,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         part = TaskContext.get().partitionId()
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        encoder, out, name, done = _encoder(tokenizer), None, "", []
+        encoder, out, name, done = _encoder(tokenizer, kept), None, "", []
         kind = id_type(max(encoder.size, end_id + 1))
 
         def finish() -> None:
@@ -281,14 +283,14 @@ def _write(folder: str, tokenizer: str, end_id: int):
     return run
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int | None], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, kept: int | None = None) -> WordEncoder:
     """A worker's encoder with the words that it has met so far."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS[path, kept] = WordEncoder(path, kept)
+    return _ENCODERS[path, kept]
 
 
 def shuffled_order(seed: int = 42, key: str = "doc_id", text: str = "text") -> list[Column]:
@@ -300,7 +302,7 @@ def shuffled_order(seed: int = 42, key: str = "doc_id", text: str = "text") -> l
 
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
                     end_id: int = END_ID, key: str = "doc_id", text: str = "text",
-                    order: list[Column] | None = None) -> DataFrame:
+                    order: list[Column] | None = None, kept: int | None = None) -> DataFrame:
     """Write all documents; the written index (part, number, file, n_docs,
     n_tokens, batch_firsts, batch_offsets). Parts ascend with the columns of
     ``order``, and numbers inside a part; where they are equal or not given, with
@@ -312,7 +314,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str | None = None,
                            *[c.alias(n) for n, c in first.items()])
                .orderBy(*first, F.asc_nulls_first("doc_id"), F.xxhash64("text"))
                .select("doc_id", "text"))
-    return settle(ordered.mapInArrow(_write(folder, tokenizer or default_tokenizer(), end_id),
+    return settle(ordered.mapInArrow(_write(folder, tokenizer or default_tokenizer(), end_id, kept),
                                      _INDEX_DDL))
 
 
@@ -394,7 +396,7 @@ def read_documents(index: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None,
-               order: list[Column] | None = None) -> DataFrame:
+               order: list[Column] | None = None, kept: int | None = None) -> DataFrame:
     """Write all documents and read the files back.
 
     Null text is empty and has the end id alone. Without ``order``, null ids come
@@ -403,4 +405,4 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None,
     columns are not written.
     """
     folder = scratch_path(docs.sparkSession, "tokens")
-    return read_documents(write_sequences(docs, folder, tokenizer, order=order), folder)
+    return read_documents(write_sequences(docs, folder, tokenizer, order=order, kept=kept), folder)

@@ -13,6 +13,10 @@ from cohortry.llm.common import table
 from cohortry.sources.scratch import settle
 
 
+#: Words that a token worker keeps: it shares its executor's memory with the stages before.
+KEPT_WORDS = 130_000
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is identified."""
     return hyperdim.keep_identified(docs)
@@ -35,7 +39,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token files in shuffled order; one row per copy, read back from them."""
-    return token_files.round_trip(docs, order=token_files.shuffled_order())
+    return token_files.round_trip(docs, order=token_files.shuffled_order(), kept=KEPT_WORDS)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup),

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from cohortry.llm import token_files as tf
 
 
@@ -35,5 +36,8 @@ def test_a_worker_keeps_at_most_two_rounds_of_words(monkeypatch):
     assert sum(map(len, kept)) < 400
 
 
-def test_production_bounds_hold_a_few_ten_megabytes():
-    assert 2 * tf.KEPT_WORDS + tf.KEPT_SIGNS <= 300_000 and tf.SPLIT_CHARS <= 1 << 20
+def test_the_number_of_kept_words_can_be_named():
+    encoder = tf._encoder(tf.default_tokenizer(), 50)
+    assert encoder.kept == 50 and tf._encoder(tf.default_tokenizer(), 50) is encoder
+    assert encoder.encode(_texts(20)) == tf._encoder(tf.default_tokenizer()).encode(_texts(20))
+    assert corpus_pipeline.KEPT_WORDS < tf.KEPT_WORDS
