@@ -21,11 +21,11 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +41,20 @@ BATCH = 64
 FILE_SEQUENCES = 1 << 15
 #: Words whose ids a worker keeps, twice: those met since the last change, and those met
 #: before it. More of them take less time; a caller whose workers have little memory
-#: names fewer (``kept``). Signs after words are counted apart.
+#: names fewer (``kept``). Signs after words are words of their own; those inside the
+#: words of unusual texts are counted apart.
 KEPT_WORDS, KEPT_SIGNS = 300_000, 4_000
-#: Characters that are split into words together.
+#: Bytes of text that are split into words together.
 SPLIT_CHARS = 1 << 21
 #: Control characters on which the two sides' white space may differ.
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 #: What keeps a text from being turned into small letters first: those characters,
 #: characters beyond the first 256, whose small letters are not one for one, and
 #: what may begin a special token.
-_UNUSUAL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-\xff]|<\\|")
+_UNUSUAL = r"[\x00-\x08\x0e-\x1f\x7f-\x{9f}]|[^\x00-\x{ff}]|<\|"
+#: A letter with signs up to the word's end. Letters and signs never share a piece, so
+#: that the signs are a word of their own.
+_SIGNED = r"([a-zß-öø-ÿ])([.,!?;:*$%#&|()]+)(\s|$)"
 #: A run of Latin letters and a run of signs: two pieces. None of these letters is
 #: composed or taken apart.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%#&|()]*)")
@@ -137,6 +141,8 @@ class WordEncoder:
         return known
 
     def _word(self, word: str) -> bytes:
+        if not word:
+            return b""
         if word.isascii():
             # The two commonest forms, without a pattern.
             if word.isalpha():
@@ -148,35 +154,51 @@ class WordEncoder:
             return self._letters(letters.lower()) + (self._signs(signs) if signs else b"")
         return self._whole(word)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_words:
-            return [self._whole(t) for t in texts]
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= SPLIT_CHARS:
-                out += self._by_words(held)
-                held, size = [], 0
-        return out + self._by_words(held)
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        split = [t.lower().split() if not _UNUSUAL.search(t) else
-                 None if _ODD.search(t) else t.split() for t in texts]
-        wanted = set(chain.from_iterable(words for words in split if words))
-        unknown = wanted.difference(self.words)
+            return [self._whole(t) for t in texts.to_pylist()]
+        portion = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum() // SPLIT_CHARS
+        begins = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), len(texts)]
+        return [ids for a, b in zip(begins, begins[1:]) for ids in self._by_words(texts.slice(a, b - a))]
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        unusual = pc.match_substring_regex(texts, _UNUSUAL)
+        small = pc.utf8_lower(pc.if_else(unusual, "", texts))
+        out = self._of_words(pc.utf8_split_whitespace(
+            pc.replace_substring_regex(small, _SIGNED, r"\1 \2 ")))
+        if rare := pc.indices_nonzero(unusual).to_pylist():
+            found = [(i, texts[i].as_py()) for i in rare]
+            split = [[] if _ODD.search(t) else t.split() for _, t in found]
+            for (i, t), ids in zip(found, self._of_words(pa.array(split, pa.list_(pa.string())))):
+                out[i] = self._whole(t) if _ODD.search(t) else ids
+        return out
+
+    def _of_words(self, lists: pa.ListArray) -> list[bytes]:
+        """Ids of each list of words: every distinct word is looked up once, and its ids
+        are copied to the places where it stands."""
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        unknown = [w for w in distinct if w not in self.words]
         if len(self.words) + len(unknown) > self.kept:
             # Words that are met again move on; what was not met since is dropped.
             self.older, self.words = self.words, {}
-            unknown = wanted
+            unknown = distinct
         older = self.older.get
         for word in unknown:
             known = older(word)
             self.words[word] = self._word(word) if known is None else known
-        known = self.words.__getitem__
-        return [self._whole(t) if words is None else b"".join(map(known, words))
-                for t, words in zip(texts, split)]
+        each = [self.words[w] for w in distinct]
+        flat, sizes = np.frombuffer(b"".join(each), "<u4"), np.array([len(i) for i in each], np.int64) // 4
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        ends = n.cumsum()
+        places = np.repeat((sizes.cumsum() - sizes)[at] - (ends - n), n)
+        places += np.arange(len(places))
+        ids = flat[places].tobytes()
+        cuts = (4 * np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _DOC_IDS, _DOC_STARTS = pa.list_(pa.int64()), pa.list_(pa.int32())
@@ -266,7 +288,7 @@ def _write(folder: str, tokenizer: str, end_id: int, kept: int | None = None):
                          out.firsts, out.offsets))
 
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for doc, packed in zip(ids, encoder.encode(texts)):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.arrow"
