@@ -15,3 +15,10 @@ def test_orders_and_lines_are_joined_once(spark):
     files = engineered(spark, SF).inputFiles()
     # Every check and count over the visits used to join them again.
     assert files and not any("lineitem" in f or "orders" in f for f in files)
+
+
+def test_scores_of_the_binary_model_train_no_other(spark, monkeypatch):
+    tasks, sweep = [], learn.train_sweep
+    monkeypatch.setattr(learn, "train_sweep", lambda rows, task, *a, **k: tasks.append(task) or sweep(rows, task, *a, **k))
+    n, n_proper = job_queries.reference_score_rows(spark, SF).first()
+    assert n == n_proper > 0 and tasks == ["binary"]
