@@ -17,6 +17,13 @@ def test_orders_and_lines_are_joined_once(spark):
     assert files and not any("lineitem" in f or "orders" in f for f in files)
 
 
+def test_stored_and_fitted_model_score_the_same_rows_without_a_join(spark):
+    found = model_queries.model_store(spark, SF)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    n_rows, n_same = found.first()
+    assert n_rows == n_same == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
 def test_scores_of_the_binary_model_train_no_other(spark, monkeypatch):
     tasks, sweep = [], learn.train_sweep
     monkeypatch.setattr(learn, "train_sweep", lambda rows, task, *a, **k: tasks.append(task) or sweep(rows, task, *a, **k))
